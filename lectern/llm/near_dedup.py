@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import textkit
 from lectern.llm.components import components
-from lectern.llm.tables import written
+from lectern.llm.tables import sized, written
 
 SHINGLE_WORDS = 5
 PERCENT = 85
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .distinct()
     )
     edges = written(edges, "stars")
-    texts = written(docs.join(mates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
+    texts = written(docs.join(sized(mates.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi"), "candidates")
     degree = edges.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     salted = edges.join(degree, "centre").select("centre", _split("rep", F.col("parts")).alias("salt"), "rep")
     wanted = salted.select(F.col("rep").alias("doc_id"), "centre", "salt", F.lit(False).alias("leads")).unionAll(
