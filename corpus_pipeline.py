@@ -1,10 +1,66 @@
-"""The corpus pipeline (its stages follow)."""
+"""The corpus pipeline: quality, line dedup, near-duplicates, decontamination, packing.
 
-STAGES = []
+Each stage takes the documents that its predecessor kept and works on all of them;
+``run`` writes them as Parquet in between, so that a lost executor costs one stage at most.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lectern.llm import decontam, line_dedup, near_dedup, quality
+from lectern.llm.queries import packed_documents, table
+from lectern.llm.tables import sized, written
 
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not among the rejected ones; rows without a doc_id stay."""
+    return docs.join(sized(rejected.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects."""
+    return _without(docs, quality.score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later repeated runs of lines, and the documents of which no word is left."""
+    edited = line_dedup.edited_documents(docs)
+    return edited.withColumn("n_chars", F.length("text").cast("long")).where("n_removed = 0 OR text RLIKE '[^ \\\\t-\\\\r]'").select(docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near-duplicates."""
+    return _without(docs, near_dedup.near_duplicates(docs).where("NOT kept"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    return _without(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences of token ids."""
+    return packed_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_near_dedup", keep_one_of_each),
+    ("benchmark_decontamination", drop_leaks),
+    ("best_fit_packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder of tables."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
+
+
+#: A fitted classifier and the choice of sequences are not SQL.
 ORACLE_SQL = None
