@@ -10,6 +10,7 @@ among the pieces of the same length.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,10 @@ class ChunkIds(dict):
         return ids
 
 
+#: The tokenizer always cuts between a word and the signs after it; an apostrophe may belong to what follows.
+_WORD_AND_SIGNS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+
+
 class LatinIds(ChunkIds):
     """Chunks of Latin-1 characters, which normalisation only lower-cases one by one, go straight to the tokenizer's own split and merges."""
 
@@ -56,13 +61,19 @@ class LatinIds(ChunkIds):
         self.split, self.merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 64 or max(chunk) > "\xff" or "|" in chunk:  # the last may hold a special token
+        if len(chunk) > 64 or max(chunk) > "\xff" or "|" in chunk[:-1]:  # the last may hold a special token
             return super().__missing__(chunk)
         if len(self) >= CACHE_CHUNKS:
             self.clear()
         low = chunk.lower()
-        parts = [low] if low.isascii() and low.isalpha() else [x for x, _ in self.split(low)]
-        ids = self[chunk] = np.array([t.id for x in parts for t in self.merge(x)], "<u4").tobytes()
+        if low != chunk:
+            ids = self[low]
+        elif found := _WORD_AND_SIGNS.fullmatch(low):
+            ids = self[found[1]] + self[found[2]]
+        else:
+            parts = [low] if low.isascii() and low.isalpha() else [x for x, _ in self.split(low)]
+            ids = np.array([t.id for x in parts for t in self.merge(x)], "<u4").tobytes()
+        self[chunk] = ids
         return ids
 
 
