@@ -127,7 +127,8 @@ class Model:
         model = cls(float(np.clip(quality.mean(), 0.01, 0.99)) if len(quality) else 0.5)
         if len(set(quality.tolist())) < 2:
             return model
-        features, size, per = line_features(*textkit.raw(textkit.texts_of(pa.array(texts, pa.string()))))
+        rows = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+        features, size, per = (np.concatenate(x) for x in zip(*(line_features(data, offsets) for _, data, offsets in textkit.slices(rows, "text"))))
         model.mean[:-1], model.scale[:-1] = features[:, :-1].mean(0), np.maximum(features[:, :-1].std(0), 0.02)
         x = (features - model.mean) / model.scale
         labels, lattice, ascent = np.repeat(quality, per), Lattice(per), Adam(0.1)
