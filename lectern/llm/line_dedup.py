@@ -26,6 +26,8 @@ from lectern.llm.tables import written
 RUN = 2
 MIN_WORDS = 10
 
+#: A column that documents do not have.
+_DROPS = "_drops_of_lines"
 _PRINTS = "doc_id long, text_key long, print long, run_hash long, start int, lines array<int>, leads boolean"
 
 
@@ -87,14 +89,14 @@ def _prints(run: int, min_words: int):
 
 def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, drops = batch.column("text").to_pylist(), batch.column("drops").to_pylist()
+        texts, drops = batch.column("text").to_pylist(), batch.column(_DROPS).to_pylist()
         n_lines = [0 if text is None else text.count("\n") + 1 for text in texts]
         for i, (text, drop) in enumerate(zip(texts, drops)):
             if drop:
                 gone = set(drop)
                 texts[i] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
         new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array([len(x or ()) for x in drops], pa.int64())}
-        names = [c for c in batch.schema.names if c not in ("drops", "n_lines", "n_removed")] + ["n_lines", "n_removed"]
+        names = [c for c in batch.schema.names if c not in (_DROPS, "n_lines", "n_removed")] + ["n_lines", "n_removed"]
         yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
 
 
@@ -117,8 +119,8 @@ def edited_documents(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS
     one text are one document. Columns named n_lines or n_removed are replaced; all others are passed on."""
     docs = docs.drop("n_lines", "n_removed")
     keys = docs.select(F.col("doc_id").cast("long"), "text").withColumn("text_key", F.xxhash64("text"))
-    drops = _later_runs(keys, run, min_words).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "drops")
-    joined = docs.join(drops, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_doc", "_key")
+    drops = _later_runs(keys, run, min_words).select(F.col("doc_id").alias("_drops_doc"), F.col("text_key").alias("_drops_key"), F.col("drops").alias(_DROPS))
+    joined = docs.join(drops, (F.col("doc_id") == F.col("_drops_doc")) & (F.xxhash64("text") == F.col("_drops_key")), "left").drop("_drops_doc", "_drops_key")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_removed long"
     return joined.mapInArrow(_without_lines, schema)
 
