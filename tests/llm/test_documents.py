@@ -134,7 +134,7 @@ def test_decontamination(spark, corpus):
     docs = list(corpus) + [(1000 + k, f"{prose(rng, 400)}\n{t.upper().replace(' ', ', ')} {prose(rng, 30)}") for k, t in text.items()]
     docs += [(2000, " ".join(text[5].split()[:52])), (2001, " ".join(text[5].split()[:30])), (2002, prose(rng, 20_000) + " " + text[4])]
     plain = lambda t: [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
-    grams = lambda t: {tuple(plain(t)[i : i + 5]) for i in range(len(plain(t)) - 4)}
+    grams = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})(plain(t))
     item_sets = collections.defaultdict(set)
     for i, t in items:
         if i is not None:
@@ -142,7 +142,8 @@ def test_decontamination(spark, corpus):
     want = set()
     for d, t in docs:
         if d is not None:
-            want |= {(d, i, len(s), len(s & grams(t))) for i, s in item_sets.items() if s and 100 * len(s & grams(t)) >= 80 * len(s)}
+            own = grams(t)
+            want |= {(d, i, len(s), len(s & own)) for i, s in item_sets.items() if s and 100 * len(s & own) >= 80 * len(s)}
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, key int")
     got = decontam.contaminated(table(spark, docs), bench).collect()
     assert {tuple(r)[:4] for r in got} == want and len(got) == len(want)
