@@ -65,7 +65,26 @@ def _(c):
     return sqlite.scan_snapshots(snapshots, "kjv", "engs string, chap int, sec int, txt string", {"engs": BOOK})
 
 
-@query("schema_profile")
+#: Columns of the tables in order, with Spark's type names (fixed values).
+_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+_PROFILE = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {i} AS place, '{f.split()[0]}' AS column_name, '{f.split()[1]}' AS type, count(*) - count({f.split()[0]}) AS n_null, count(*) AS n_rows FROM {t}"
+    for t, columns in _COLUMNS.items()
+    for i, f in enumerate(columns.split(", "))
+)
+
+
+@query("schema_profile", _PROFILE)
 def _(c):
     return lookup.schema_profile({t: getattr(c, t) for t in TABLES})
 
@@ -466,7 +485,10 @@ def _(c):
     return c.verses_tagged.select(*KEY, fn.text_preview(F.col("txt")).alias("preview"))
 
 
-@query("annotate_fold")
+@query("annotate_fold", """WITH RECURSIVE marked AS (SELECT engs, chap, sec, 0 AS pos, txt FROM verses_plain
+    UNION ALL SELECT m.engs, m.chap, m.sec, t.pos, CASE WHEN strpos(m.txt, t.word) > 0 THEN substr(m.txt, 1, strpos(m.txt, t.word) + length(t.word) - 1) || ' (' || t.lang || t.num || ')' || substr(m.txt, strpos(m.txt, t.word) + length(t.word)) ELSE m.txt END
+    FROM marked m JOIN tagged_tokens t ON m.engs = t.engs AND m.chap = t.chap AND m.sec = t.sec AND t.pos = m.pos + 1)
+    SELECT engs, chap, sec, arg_max(txt, pos) AS txt FROM marked GROUP BY 1, 2, 3""", "verses_plain", "tagged_tokens")
 def _(c):
     return _annotated(c).select(*KEY, fn.annotate(F.col("txt"), F.col("strongs")).alias("txt"))
 

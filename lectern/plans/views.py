@@ -107,6 +107,7 @@ def duck(body: str, *views: str) -> str:
         need(v)
     heads = [f"{v} AS ({VIEWS[v][0].replace('{agg}', _DUCK_AGG.get(v, ''))})" for v in order]
     tail = body.strip()
-    if tail.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(heads) + ",\n" + tail[5:]
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if tail.startswith(start):
+            return start + ",\n".join(heads) + ",\n" + tail[len(start) :]
     return "WITH " + ",\n".join(heads) + "\n" + tail
