@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit
-from lectern.llm.tables import written
+from lectern.llm.tables import sized, written
 
 #: Lines in a row that must be equal, and words that they must hold, to count as a repeat.
 RUN = 2
@@ -104,10 +104,10 @@ def _later_runs(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     """(doc_id, text_key, drops): the numbers of the lines to delete, of the texts that have some."""
     prints = written(docs.where("doc_id IS NOT NULL").mapInArrow(_prints(run, min_words), _PRINTS), "prints")
     shared = prints.groupBy("print").agg(F.count_if("leads").alias("n"))
-    matched = prints.join(shared.where("n > 1").select("print"), "print").select("doc_id", "text_key", "run_hash", "start", "lines").distinct()
+    matched = prints.join(sized(shared.where("n > 1").select("print")), "print").select("doc_id", "text_key", "run_hash", "start", "lines").distinct()
     matched = written(matched, "matched")
     first = matched.groupBy("run_hash").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("run_hash", "first")
-    later = matched.join(first, "run_hash").where("struct(doc_id, start) > first")
+    later = matched.join(sized(first), "run_hash").where("struct(doc_id, start) > first")
     return later.select("doc_id", "text_key", F.explode("lines").alias("line")).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("drops"))
 
 
