@@ -15,6 +15,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = written(least, "least")  # a table, so that a join can split the edges of a node with many
     hung = both.join(least, "u")
     if large:
         hung = hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

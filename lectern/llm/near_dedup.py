@@ -182,6 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     members = classes.select(F.explode("bands").alias("band"), "rep", "n_shingles")
     buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("rep", "n_shingles")).alias("c")).where("n > 1")
+    buckets = written(buckets, "buckets")  # a table, so that a join can split the rows of a large bucket
     mates = written(
         members.join(buckets, "band").select("band", "rep", "n_shingles", F.col("c.rep").alias("centre"), F.col("c.n_shingles").alias("centre_n")), "mates"
     )
