@@ -352,8 +352,9 @@ class Model:
 
 def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> Model:
     """Fits the model on at most ``limit`` pages."""
-    taken = pages.where("html IS NOT NULL").select("page_id", "html").orderBy(F.xxhash64("page_id"), "html").limit(limit)
-    return Model([r["html"] for r in taken.collect()])
+    ids = pages.where("page_id IS NOT NULL AND html IS NOT NULL").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(limit)
+    taken = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").limit(2 * limit)
+    return Model(sorted(r["html"] for r in taken.collect() if r["html"] is not None))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
