@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 DIC_TYPE = {"ot": 1, "nt": 0}
@@ -63,9 +63,7 @@ def lexicon_text_order(x: DataFrame) -> DataFrame:
     return x.select("dic_type", "sn", F.row_number().over(_by("sn")).alias("place"))
 
 
-def _by(*order: str):
-    from pyspark.sql import Window
-
+def _by(*order: str) -> WindowSpec:
     return Window.partitionBy("dic_type").orderBy(*order)
 
 
@@ -73,7 +71,8 @@ def lexicon_counts(x: DataFrame) -> DataFrame:
     return x.groupBy("dic_type").agg(F.count("*").alias("n_entries"))
 
 
-def _record():
+def record_json() -> Column:
+    """An entry as the exported JSON record."""
     fields = F.struct("sn", F.col("txt").alias("dic_text"), "dic_type", "orig")
     return F.to_json(fields, {"ignoreNullFields": "false"})
 
@@ -81,14 +80,14 @@ def _record():
 def lexicon_array(x: DataFrame, a: int, b: int, mode: str = "ot") -> DataFrame:
     """The range as one JSON array in natural order; null if it is empty."""
     rows = lexicon_range(x, a, b, mode).join(x.where(F.col("dic_type") == DIC_TYPE[mode]).select("sn", "dic_type"), "sn")
-    items = F.transform(F.sort_array(F.collect_list(F.struct("num", "sn", _record().alias("j")))), lambda e: e["j"])
+    items = F.transform(F.sort_array(F.collect_list(F.struct("num", "sn", record_json().alias("j")))), lambda e: e["j"])
     return rows.agg(items.alias("i")).select(F.when(F.size("i") > 0, F.concat(F.lit("["), F.array_join("i", ","), F.lit("]"))).alias("doc"))
 
 
 def record_envelope(x: DataFrame, width: int = 100) -> DataFrame:
     """Envelopes with count and records in natural order, one for each ``width`` numbers of a lexicon."""
     grouped = x.groupBy("dic_type", F.floor(F.col("num") / width).cast("int").alias("part")).agg(
-        F.count("*").alias("record_count"), F.sort_array(F.collect_list(F.struct("num", "sn", _record().alias("j")))).alias("r")
+        F.count("*").alias("record_count"), F.sort_array(F.collect_list(F.struct("num", "sn", record_json().alias("j")))).alias("r")
     )
     body = F.concat(F.lit('{"record_count":'), F.col("record_count").cast("string"), F.lit(',"record":['), F.array_join(F.transform("r", lambda e: e["j"]), ","), F.lit("]}"))
     return grouped.select("dic_type", "part", "record_count", body.alias("doc"))

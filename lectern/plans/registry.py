@@ -432,12 +432,12 @@ def _(c):
 
 @query("json_build", f"SELECT sn, {_RECORD} AS doc FROM lexicon", "lexicon")
 def _(c):
-    return c.lexicon.select("sn", lexicon._record().alias("doc"))
+    return c.lexicon.select("sn", lexicon.record_json().alias("doc"))
 
 
 @query("json_parse", "SELECT sn, dic_type, orig FROM lexicon", "lexicon")
 def _(c):
-    parsed = c.lexicon.select(F.from_json(lexicon._record(), "sn string, dic_text string, dic_type int, orig string").alias("r"))
+    parsed = c.lexicon.select(F.from_json(lexicon.record_json(), "sn string, dic_text string, dic_type int, orig string").alias("r"))
     return parsed.select("r.sn", "r.dic_type", "r.orig")
 
 
