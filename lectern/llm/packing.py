@@ -24,7 +24,7 @@ from lectern.llm.tables import written
 CAPACITY = 2048
 END_ID = 0
 #: Each worker remembers the ids of so many white-space-free chunks of text.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 500_000
 MAX_PATTERNS = 12_000
 FIT_STEPS = 1500
 #: Ranks are counted in this many parts of each length at least, and of about so many rows.
