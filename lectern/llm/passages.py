@@ -7,9 +7,10 @@ every subsequence between left and right that holds the centre. Only windows of
 least ``MIN_TOKENS`` tokens are kept, about 2 n / MIN_TOKENS of them. Two passages that share a
 minimum lie in windows with equal centres, so equal centres are joined: each
 window with the first one of its centre, a star. In a pair of texts
-that enough hash functions agree on, the joined centres give diagonals. A window may reach
-beyond what the texts share, so the parts that match best are cut out along the diagonal,
-and each part is confirmed by the Jaccard similarity of its full token sets.
+that enough hash functions agree on, the joined centres are seeds. A window may reach
+beyond what the texts share, so runs of equal tokens are chained from a seed both ways, over
+neighbouring diagonals too, and the longest span through the seed whose full token sets are
+alike by Jaccard similarity is the passage.
 """
 
 from __future__ import annotations
@@ -31,13 +32,15 @@ MIN_TOKENS = MIN_WORDS - SHINGLE_WORDS + 1
 #: share. Exact passages agree in all; at similarity 0.8 two of three agree with probability 0.9, and more above.
 HASHES, ENOUGH = 3, 2
 SIMILARITY = 0.8
+#: Equal places that two spans of MIN_TOKENS at that similarity have at least.
+MIN_COMMON = -(-8 * MIN_TOKENS // 9)
 #: Texts compared with one copy of the text of a star's centre.
 FOLLOWERS = 256
 
 _WINDOWS = "key long, doc_id long, span long"
 #: A span holds the centre and how far the window reaches before and after it, each reach up to 2**18 - 1.
 _REACH_BITS = 18
-_FOUND = "doc_id long, start int, n_words int, source_doc_id long, source_start int, similarity double"
+_FOUND = "doc_id long, start int, n_words int, source_doc_id long, source_start int, similarity double, source_n_words int"
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,46 +89,112 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[owner]), pa.array(span)], ["key", "doc_id", "span"])
 
 
-def matching_parts(equal: np.ndarray) -> list[tuple[int, int]]:
-    """The maximal parts of MIN_TOKENS or more places of which at least 8 in 9 are equal, which is Jaccard similarity 0.8:
-    all best-scoring parts (Ruzzo and Tompa, 1999) where a place counts 1 if equal, else -8."""
-    step = np.diff(np.r_[0, equal.astype(np.int8), 0])
-    parts: list[tuple[int, int, int, int]] = []  # sum before, sum after, start, end
-    total = last = 0
-    for start, end in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()):
-        low = total - 8 * (start - last)
-        total, last = low + end - start, end
-        here = (low, total, start, end)
-        while True:
-            k = len(parts) - 1
-            while k >= 0 and parts[k][0] >= here[0]:
-                k -= 1
-            if k < 0 or parts[k][1] >= here[1]:
-                parts.append(here)
-                break
-            here = (parts[k][0], here[1], parts[k][2], here[3])
-            del parts[k:]
-    return [(a, b) for _, _, a, b in parts if b - a >= MIN_TOKENS]
-
-
-def confirmed(doc: int, src: int, own: np.ndarray, source: np.ndarray, matches: list[dict]) -> list[tuple]:
-    """The passages of a text that a source has too. Joined centres give diagonals, those of most matches first; a diagonal is gone over from end to
-    end, and not at all if its centres lie in passages found before, as in a loop, where one diagonal covers all."""
+class Source:
+    """The tokens of a text by value and place, to look up the place of a token that is nearest to a wanted one."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = tokens
+        self.order = np.argsort(tokens, kind="stable")
+        self.sorted = tokens[self.order]
+        first = np.r_[True, self.sorted[1:] != self.sorted[:-1]]
+        self.rank = np.cumsum(first) - 1
+        self.places = self.rank * (len(tokens) + 1) + self.order
+
+
+def aligned_runs(low: np.ndarray, high: np.ndarray, source: Source, diagonal: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of places that follow each other in both texts: start in the text, start in the source, length. Each place of the text goes with the place of
+    its token that lies nearest to the diagonal, in the same text (``same``) only an earlier one. ``low`` and ``high`` bound its token among the sorted ones."""
+    at = np.flatnonzero(high > low)
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 3
+    low, high, n = low[at], high[at], len(source.tokens)
+    want = np.clip(at - diagonal, 0, n)
+    if same:
+        want = np.minimum(want, np.maximum(at - 1, 0))
+    k = np.searchsorted(source.places, source.rank[low] * (n + 1) + want)
+    after, before = source.order[np.minimum(k, high - 1)], source.order[np.maximum(k - 1, low)]
+    place = np.where(np.abs(after - want) <= np.abs(before - want), after, before)
+    if same:
+        place = np.where((place >= at) & (before < at), before, place)
+        at, place = at[place < at], place[place < at]
+        if not len(at):
+            return (np.zeros(0, np.int64),) * 3
+    start = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(place) != 1)])
+    return at[start], place[start], np.diff(np.r_[start, len(at)])
+
+
+def _chained(i0: np.ndarray, j0: np.ndarray, n: np.ndarray, low: int, seed: int) -> np.ndarray:
+    """The best score of a chain of runs from each of ``low`` .. ``seed`` to the seed: 1 for an equal place, -4 for a place of either text between them."""
+    best = np.full(seed - low + 1, -np.inf)
+    best[-1] = n[seed]
+    for p in range(seed - 1, low - 1, -1):
+        t = slice(p + 1, seed + 1)
+        over = np.maximum(j0[p] + n[p] - j0[t], 0)  # places of the source that both runs take: the first is cut
+        gap = i0[t] - i0[p] - n[p] + over + np.maximum(j0[t] - j0[p] - n[p], 0)
+        best[p - low] = np.max(np.where(over < n[p], best[p + 1 - low :] + n[p] - over - 4 * gap, -np.inf))
+    return best
+
+
+def spans_through(i0: np.ndarray, j0: np.ndarray, n: np.ndarray, seed: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """Spans from a run to a run through the seed's, the longest first, in which 9 equal places or more come on 4 places of both texts, which is Jaccard
+    similarity 0.8: start and end in the text, start and end in the source, and how many places both lack to MIN_TOKENS."""
+    i1, j1, ends = i0 + n, j0 + n, np.cumsum(n)
+    # gaps of the text alone bound how far a span can reach
+    back = 5 * (ends[seed] - ends[: seed + 1] + n[: seed + 1]) - 4 * (i1[seed] - i0[: seed + 1])
+    on = 5 * (ends[seed:] - ends[seed] + n[seed]) - 4 * (i1[seed:] - i0[seed])
+    low = int(np.flatnonzero(back + on.max() - n[seed] >= 0)[0])
+    high = seed + int(np.flatnonzero(on + back.max() - n[seed] >= 0)[-1])
+    if ends[high] - ends[low] + n[low] < MIN_COMMON:
+        return
+    left = _chained(i0, j0, n, low, seed)
+    right = _chained(-i1[::-1], -j1[::-1], n[::-1], len(n) - 1 - high, len(n) - 1 - seed)[::-1]
+    mine = i1[None, seed : high + 1] - i0[low : seed + 1, None]
+    theirs = j1[None, seed : high + 1] - j0[low : seed + 1, None]
+    lack, source_lack = np.maximum(MIN_TOKENS - mine, 0), np.maximum(MIN_TOKENS - theirs, 0)
+    p, q = np.nonzero(left[:, None] + right[None, :] - n[seed] >= 4 * (lack + source_lack))
+    for k in np.argsort(-mine[p, q], kind="stable").tolist():
+        a, b = p[k] + low, q[k] + seed
+        yield int(i0[a]), int(i1[b]), int(j0[a]), int(j1[b]), int(lack[p[k], q[k]]), int(source_lack[p[k], q[k]])
+
+
+def _widened(start: int, end: int, lack: int, size: int) -> tuple[int, int]:
+    end, lack = min(end + lack, size), lack - (min(end + lack, size) - end)
+    return max(start - lack, 0), end
+
+
+def confirmed(doc: int, src: int, own: np.ndarray, source: Source, matches: list[dict]) -> list[tuple]:
+    """The passages of a text that a source has too. A joined centre is the seed of a span that goes on over neighbouring diagonals, as a word put in or
+    left out moves all that follow; centres in passages found before, as in a loop, are passed over, and so are those in a run tried before."""
+    low, high = np.searchsorted(source.sorted, own), np.searchsorted(source.sorted, own, "right")
+    if np.count_nonzero(high > low) < MIN_COMMON and len(np.unique(own)) == len(own):
+        return []
     by: dict[int, list[int]] = {}
     for m in matches:
         by.setdefault(m["at"] - m["source_at"], []).append(m["at"])
     found: list[tuple] = []
+    tried: set[tuple[int, int]] = set()
     for diagonal, centres in sorted(by.items(), key=lambda x: (-len(x[1]), abs(x[0]))):
-        if all(any(f[1] <= c < f[1] + f[2] - SHINGLE_WORDS + 1 for f in found) for c in centres):
-            continue
-        low, high = max(0, diagonal), min(len(own), len(source) + diagonal)
-        for a, b in matching_parts(own[low:high] == source[low - diagonal : high - diagonal]):
-            a, b = a + low, b + low
-            mine, theirs = np.unique(own[a:b]), np.unique(source[a - diagonal : b - diagonal])
-            common = len(np.intersect1d(mine, theirs, True))
-            alike = common / (len(mine) + len(theirs) - common)
-            if alike >= SIMILARITY:
-                found.append((doc, a, b - a + SHINGLE_WORDS - 1, src, a - diagonal, alike))
+        i0 = None
+        for at in sorted(centres):
+            if any(f[1] <= at < f[1] + f[2] - SHINGLE_WORDS + 1 and f[4] <= at - diagonal < f[4] + f[6] - SHINGLE_WORDS + 1 for f in found):
+                continue
+            if i0 is None:
+                i0, j0, n = aligned_runs(low, high, source, diagonal, doc == src)
+            seed = int(np.searchsorted(i0, at, "right")) - 1
+            if seed < 0 or at >= i0[seed] + n[seed] or i0[seed] - j0[seed] != diagonal or (int(i0[seed]), diagonal) in tried:
+                continue
+            tried.add((int(i0[seed]), diagonal))
+            for start, end, source_start, source_end, lack, source_lack in spans_through(i0, j0, n, seed):
+                a, b = _widened(start, end, lack, len(own))
+                c, d = _widened(source_start, source_end, source_lack, len(source.tokens))
+                if min(b - a, d - c) < MIN_TOKENS or (doc == src and c >= a):
+                    continue
+                mine, theirs = np.unique(own[a:b]), np.unique(source.tokens[c:d])
+                common = len(np.intersect1d(mine, theirs, True))
+                alike = common / (len(mine) + len(theirs) - common)
+                if alike >= SIMILARITY:
+                    found.append((doc, a, b - a + SHINGLE_WORDS - 1, src, c, alike, d - c + SHINGLE_WORDS - 1))
+                    break
     # of passages inside a longer one only the longer counts
     whole: list[tuple] = []
     for x in sorted(found, key=lambda x: (-x[2], x[1], x[4])):
@@ -134,6 +203,11 @@ def confirmed(doc: int, src: int, own: np.ndarray, source: np.ndarray, matches:
     return whole
 
 
+def _found(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], [c.split()[0] for c in _FOUND.split(", ")])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (source, salt), the source's own text first."""
     key, source = None, None
@@ -146,20 +220,18 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, (src, salt, leads, doc, matches) in enumerate(zip(d["source"], d["salt"], d["leads"], d["doc_id"], d["matches"])):
                 own = hashes[ends[i] - per[i] : ends[i]]
                 if leads:
-                    key, source = (src, salt), own
+                    key, source = (src, salt), Source(own)
                     continue
                 if key != (src, salt):
                     continue
                 out += confirmed(doc, src, own, source, matches)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["doc_id", "start", "n_words", "source_doc_id", "source_start", "similarity"]
-            )
+            yield _found(out)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) to passages of at least 50 words that stand, alike to 0.8, in an earlier place too:
-    doc_id, start and n_words (in words), source_doc_id, source_start and similarity.
+    doc_id, start and n_words (in words), source_doc_id, source_start, similarity and source_n_words, which differs from n_words where words were put in
+    or left out.
 
     Of the places of a passage the one in the document with the least id is the source of the others, so pairs grow with places, not with
     their square; a passage repeated in its own document is listed as well. Texts of fewer than 50 words, null and empty ones have
@@ -170,7 +242,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     joined = windows.join(sized(first), "key").where("doc_id <> s.doc_id OR span <> s.span")
     reach = lambda shift: F.least(*[F.shiftright(x, shift).bitwiseAND((1 << _REACH_BITS) - 1) for x in (F.col("span"), F.col("s.span"))])
     centre = lambda x: F.shiftright(x, 2 * _REACH_BITS).cast("int")
-    matches = joined.where(reach(_REACH_BITS) + reach(0) >= MIN_TOKENS).select(
+    matches = joined.where(reach(_REACH_BITS) + reach(0) >= MIN_COMMON).select(
         F.col("s.doc_id").alias("source"), "doc_id", F.struct(F.col("key").bitwiseAND(3).alias("hash"), centre(F.col("span")).alias("at"), centre(F.col("s.span")).alias("source_at")).alias("m")
     )
     pairs = written(matches.groupBy("source", "doc_id").agg(F.collect_set("m").alias("matches")).where(f"size(array_distinct(matches.hash)) >= {ENOUGH}"), "pairs")
