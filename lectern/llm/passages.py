@@ -6,8 +6,8 @@ the same minimum: a node is a compact window (left, centre, right) that stands f
 every subsequence between left and right that holds the centre. Only windows of at
 least ``MIN_TOKENS`` tokens are kept, about 2 n / MIN_TOKENS of them. Two passages that share a
 minimum lie in windows with equal centres, so equal centres are joined: each
-window with the first one of its centre, a star. In a pair of texts
-that enough hash functions agree on, the joined centres are seeds. A window may reach
+window with the first one of its centre, a star; windows that are in no passage after
+that are compared with all others of their centre. The joined centres are seeds. A window may reach
 beyond what the texts share, so runs of equal tokens are chained from a seed both ways, over
 neighbouring diagonals too, and the longest span through the seed whose full token sets are
 alike by Jaccard similarity is the passage.
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit
@@ -28,14 +28,15 @@ from lectern.llm.tables import sized, written
 SHINGLE_WORDS = 5
 MIN_WORDS = 50
 MIN_TOKENS = MIN_WORDS - SHINGLE_WORDS + 1
-#: Hash functions, and how many of them must join two texts for these to be compared. One alone often meets in a short line that many texts
-#: share. Exact passages agree in all; at similarity 0.8 two of three agree with probability 0.9, and more above.
-HASHES, ENOUGH = 3, 2
+#: Hash functions. At similarity 0.8 one of three joins two texts with probability 0.992, and more above; exact passages agree in all.
+HASHES = 3
 SIMILARITY = 0.8
 #: Equal places that two spans of MIN_TOKENS at that similarity have at least.
 MIN_COMMON = -(-8 * MIN_TOKENS // 9)
 #: Texts compared with one copy of the text of a star's centre.
 FOLLOWERS = 256
+#: Windows of each side of a comparison block.
+BLOCK = 128
 
 _WINDOWS = "key long, doc_id long, span long"
 #: A span holds the centre and how far the window reaches before and after it, each reach up to 2**18 - 1.
@@ -166,7 +167,7 @@ def confirmed(doc: int, src: int, own: np.ndarray, source: Source, matches: list
     """The passages of a text that a source has too. A joined centre is the seed of a span that goes on over neighbouring diagonals, as a word put in or
     left out moves all that follow; centres in passages found before, as in a loop, are passed over, and so are those in a run tried before."""
     low, high = np.searchsorted(source.sorted, own), np.searchsorted(source.sorted, own, "right")
-    if np.count_nonzero(high > low) < MIN_COMMON and len(np.unique(own)) == len(own):
+    if np.count_nonzero(high > low) < MIN_COMMON:
         return []
     by: dict[int, list[int]] = {}
     for m in matches:
@@ -228,6 +229,108 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _found(out)
 
 
+def _centre(span: Column) -> Column:
+    return F.shiftright(span, 2 * _REACH_BITS).cast("int")
+
+
+def _compared(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """Passages of the pairs of texts (source, doc_id) with joined centres m."""
+    pairs = written(matches.groupBy("source", "doc_id").agg(F.collect_set("m").alias("matches")), "pairs")
+    degree = pairs.groupBy("source").agg(F.ceil(F.count("*") / FOLLOWERS).alias("parts"))
+    salted = pairs.join(degree, "source").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    wanted = salted.select("doc_id", "source", "salt", F.lit(False).alias("leads"), "matches")
+    leads = salted.select("source", "salt").distinct().select(F.col("source").alias("doc_id"), "source", "salt", F.lit(True).alias("leads"), F.lit(None).cast(wanted.schema["matches"].dataType).alias("matches"))
+    ids = pairs.select("doc_id").union(pairs.select("source")).distinct()
+    texts = docs.join(sized(ids), "doc_id", "left_semi")
+    rows = texts.join(wanted.unionAll(leads), "doc_id").repartition("source", "salt").sortWithinPartitions("source", "salt", F.desc("leads"), "doc_id")
+    return rows.select("source", "salt", "leads", "doc_id", "matches", "text").mapInArrow(_confirm, _FOUND).distinct()
+
+
+def _window_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The token hashes of each listed window of a text."""
+    top = (1 << _REACH_BITS) - 1
+    for batch in batches:
+        for rows, data, offsets in textkit.slices(batch, "text"):
+            hashes, per = tokens(data, offsets)
+            first = np.cumsum(per) - per
+            for i, (doc, members) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("members").to_pylist())):
+                own, out = hashes[first[i] : first[i] + per[i]], []
+                for m in members:
+                    at, left, right = m["span"] >> 2 * _REACH_BITS, m["span"] >> _REACH_BITS & top, m["span"] & top
+                    if at < len(own):  # a row of the same doc_id may have another text
+                        out.append((m["key"], doc, m["span"], m["wanted"], own[at - left : at + right].tobytes()))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["key", "doc_id", "span", "wanted", "tokens"])
+
+
+def _shared_places(own: list[np.ndarray]) -> np.ndarray:
+    """How many places of each window have a token of each other one."""
+    n, flat = len(own), np.concatenate(own)
+    owner = np.repeat(np.arange(n), [len(x) for x in own])
+    order = np.lexsort((owner, flat))
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])])
+    times, flat, owner = np.diff(np.r_[first, len(flat)]), flat[first], owner[first]
+    column = np.cumsum(np.r_[False, flat[1:] != flat[:-1]])
+    held = np.bincount(column)[column] > 1
+    owner, times, column = owner[held], times[held], np.unique(column[held], return_inverse=True)[1]
+    counts, width = np.zeros((n, n), np.float32), 4096
+    for low in range(0, int(column.max()) + 1 if len(column) else 0, width):
+        here = slice(*np.searchsorted(column, [low, low + width]))
+        block = np.zeros((n, min(width, int(column.max()) + 1 - low)), np.float32)
+        block[owner[here], column[here] - low] = times[here]
+        counts += block @ (block > 0).T.astype(np.float32)
+    return counts
+
+
+def _compare_block(table: pa.Table) -> pa.Table:
+    """Of the windows with one centre, for each wanted one the first earlier one that holds a passage of it."""
+    d = table.select(["doc_id", "span", "wanted", "side", "tokens"]).to_pydict()
+    order = sorted(range(len(d["span"])), key=lambda i: (d["doc_id"][i], d["span"][i]))
+    own = [np.frombuffer(d["tokens"][i], np.uint64) for i in order]
+    shared = _shared_places(own)
+    near = np.minimum(shared, shared.T) >= MIN_COMMON
+    out, diagonal_block = [], len({d["side"][i] for i in order}) == 1
+    for y, i in enumerate(order):
+        if not d["wanted"][i]:
+            continue
+        for x in np.flatnonzero(near[y, :y]).tolist():
+            k = order[x]
+            if not diagonal_block and d["side"][k] == d["side"][i]:
+                continue
+            at, source_at = d["span"][i] >> 2 * _REACH_BITS, d["span"][k] >> 2 * _REACH_BITS
+            row = (d["doc_id"][k], d["doc_id"][i], {"at": at, "source_at": source_at})
+            if row[0] == row[1]:  # windows of one text may overlap, so they are left to the comparison of texts
+                out.append(row)
+                continue
+            reach = [d["span"][j] >> _REACH_BITS & (1 << _REACH_BITS) - 1 for j in (i, k)]
+            if confirmed(row[1], row[0], own[y], Source(own[x]), [{"at": reach[0], "source_at": reach[1]}]):
+                out.append(row)
+                break
+    at = pa.struct([("at", pa.int32()), ("source_at", pa.int32())])
+    return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], at)], ["source", "doc_id", "m"])
+
+
+def _missed_by_stars(docs: DataFrame, windows: DataFrame, joined: DataFrame, found: DataFrame) -> DataFrame:
+    """Matches (source, doc_id, m) of windows that share a centre but no passage with the first one of it. The first place of a frequent line's centre may
+    hold the line only, while later places share a passage around it: each window of three or more on a centre whose centre stands in no passage found
+    yet is compared with all earlier ones, in blocks of BLOCK by BLOCK windows inside the tasks; only the first match in a block leaves it."""
+    places = found.select(F.col("doc_id").alias("d"), "start", (F.col("start") + F.col("n_words") - SHINGLE_WORDS + 1).alias("end"))
+    crowded = joined.where("n > 2").select("key", "doc_id", "span").withColumn("at", _centre(F.col("span")))
+    missed = crowded.join(places, F.expr("doc_id = d AND at >= start AND at < end"), "left_anti").select("key", "doc_id", "span", F.lit(True).alias("wanted"))
+    missed = written(missed, "missed")
+    keys = missed.groupBy("key").agg(F.count("*").alias("n_wanted"))
+    all_of = windows.join(sized(keys), "key").groupBy("key", "doc_id", "span").agg(F.first("n_wanted").alias("n_wanted"))
+    members = written(all_of.join(missed, ["key", "doc_id", "span"], "left").select("key", "doc_id", "span", F.coalesce("wanted", F.lit(False)).alias("wanted")), "members")
+    parts = sized(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
+    by_doc = members.groupBy("doc_id").agg(F.collect_list(F.struct("key", "span", "wanted")).alias("members"))
+    texts = docs.join(by_doc, "doc_id").select("doc_id", "members", "text").mapInArrow(_window_tokens, "key long, doc_id long, span long, wanted boolean, tokens binary")
+    side = texts.join(parts, "key").withColumn("side", F.pmod(F.xxhash64("doc_id", "span"), F.col("parts")).cast("int"))
+    dealt = side.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    blocks = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "doc_id", "span", "wanted", "side", "tokens")
+    return blocks.groupBy("key", "i", "j").applyInArrow(_compare_block, "source long, doc_id long, m struct<at: int, source_at: int>")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) to passages of at least 50 words that stand, alike to 0.8, in an earlier place too:
     doc_id, start and n_words (in words), source_doc_id, source_start, similarity and source_n_words, which differs from n_words where words were put in
@@ -238,19 +341,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     none. Rows without doc_id are left out, repeated rows are one document, and other columns are ignored."""
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     windows = written(docs.mapInArrow(_windows, _WINDOWS), "windows")
-    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "span")).alias("s"), F.count("*").alias("n")).where("n > 1").select("key", "s")
+    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "span")).alias("s"), F.count("*").alias("n")).where("n > 1")
     joined = windows.join(sized(first), "key").where("doc_id <> s.doc_id OR span <> s.span")
     reach = lambda shift: F.least(*[F.shiftright(x, shift).bitwiseAND((1 << _REACH_BITS) - 1) for x in (F.col("span"), F.col("s.span"))])
-    centre = lambda x: F.shiftright(x, 2 * _REACH_BITS).cast("int")
     matches = joined.where(reach(_REACH_BITS) + reach(0) >= MIN_COMMON).select(
-        F.col("s.doc_id").alias("source"), "doc_id", F.struct(F.col("key").bitwiseAND(3).alias("hash"), centre(F.col("span")).alias("at"), centre(F.col("s.span")).alias("source_at")).alias("m")
+        F.col("s.doc_id").alias("source"), "doc_id", F.struct(_centre(F.col("span")).alias("at"), _centre(F.col("s.span")).alias("source_at")).alias("m")
     )
-    pairs = written(matches.groupBy("source", "doc_id").agg(F.collect_set("m").alias("matches")).where(f"size(array_distinct(matches.hash)) >= {ENOUGH}"), "pairs")
-    degree = pairs.groupBy("source").agg(F.ceil(F.count("*") / FOLLOWERS).alias("parts"))
-    salted = pairs.join(degree, "source").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    wanted = salted.select("doc_id", "source", "salt", F.lit(False).alias("leads"), "matches")
-    leads = salted.select("source", "salt").distinct().select(F.col("source").alias("doc_id"), "source", "salt", F.lit(True).alias("leads"), F.lit(None).cast(wanted.schema["matches"].dataType).alias("matches"))
-    ids = pairs.select("doc_id").union(pairs.select("source")).distinct()
-    texts = docs.join(sized(ids), "doc_id", "left_semi")
-    rows = texts.join(wanted.unionAll(leads), "doc_id").repartition("source", "salt").sortWithinPartitions("source", "salt", F.desc("leads"), "doc_id")
-    return rows.select("source", "salt", "leads", "doc_id", "matches", "text").mapInArrow(_confirm, _FOUND).distinct()
+    found = written(_compared(docs, matches), "found")
+    more = written(_missed_by_stars(docs, windows, joined, found), "more")
+    return found if more.isEmpty() else found.union(_compared(docs, more)).distinct()

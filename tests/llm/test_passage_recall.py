@@ -78,3 +78,14 @@ def test_one_word_in_the_middle(spark):
     rows = [(i, " ".join(prose(rng, 60) + x + prose(rng, 60))) for i, x in enumerate((words, put_in, left_out, swapped))]
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["start"], r["n_words"], r["source_start"], r["source_n_words"]) for r in got if r["source_doc_id"] == 0} == {(1, 60, 81, 60, 80), (2, 60, 79, 60, 80), (3, 60, 80, 60, 80)}
+
+
+def test_first_places_in_other_texts(spark):
+    """Every centre of the passage stands first in a text that holds only a few words around it, so that the stars never join the two that share the passage."""
+    rng = random.Random(6)
+    shared = prose(rng, 70)
+    rows = [(i, " ".join(prose(rng, 60) + shared[a : a + 20] + prose(rng, 60))) for i, a in enumerate(range(0, 51, 5))]
+    rows += [(100 + i, " ".join(prose(rng, 60) + shared + prose(rng, 60))) for i in range(3)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["start"], r["n_words"], r["source_doc_id"]) for r in got} >= {(101, 60, 70, 100), (102, 60, 70, 100)}
+    assert all(r["source_doc_id"] >= 100 for r in got)
