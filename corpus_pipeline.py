@@ -26,7 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines, and the documents of which no word is left."""
-    edited = line_dedup.edited_documents(docs)
+    edited = line_dedup.whole_runs_out(docs)
     return edited.withColumn("n_chars", F.length("text").cast("long")).where("n_removed = 0 OR text RLIKE '[^ \\\\t-\\\\r]'").select(docs.columns)
 
 

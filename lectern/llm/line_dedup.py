@@ -8,6 +8,10 @@ occurs elsewhere are gone on with: the match is extended to the lines before and
 after, as the hashes of all runs of ``RUN`` lines around it. Of equal runs the first one,
 by doc_id and line, stays; the lines of the later ones are deleted. Longer
 repeats are covered by their overlapping runs.
+
+``whole_runs_out`` counts the words of the whole run instead, however many lines it has. A
+repeat of ``MIN_WORDS`` words or more is covered by the shortest windows of that many words
+from each of its lines on and up to each of its lines, so these are hashed.
 """
 
 from __future__ import annotations
@@ -105,12 +109,61 @@ def _later_runs(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     prints = written(docs.where("doc_id IS NOT NULL").mapInArrow(_prints(run, min_words), _PRINTS), "prints")
     shared = prints.groupBy("print").agg(F.count_if("leads").alias("n"))
     matched = prints.join(sized(shared.where("n > 1").select("print")), "print").select("doc_id", "text_key", "run_hash", "start", "lines").distinct()
-    matched = written(matched, "matched")
-    first = matched.groupBy("run_hash").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("run_hash", "first")
-    later = matched.join(sized(first), "run_hash").where("struct(doc_id, start) > first")
+    return _later(written(matched, "matched"))
+
+
+def word_windows(n_words: np.ndarray, per: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (exclusive) of the shortest windows of ``min_words`` words or more from each line on and up to each line, inside its text."""
+    total, n = np.r_[0, np.cumsum(n_words)], np.arange(len(n_words))
+    last = np.repeat(np.cumsum(per), per)
+    end = np.searchsorted(total, total[:-1] + min_words)
+    start = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    on, up = end <= last, start >= last - np.repeat(per, per)
+    both = np.unique(np.stack([np.r_[n[on], start[up]], np.r_[end[on], n[up] + 1]]), axis=1)
+    return both[0], both[1]
+
+
+def _word_runs(min_words: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = textkit.mix64(np.arange(min_words, dtype=np.uint64), 3) | np.uint64(1)
+        for batch in batches:
+            for rows, data, offsets in textkit.slices(batch, "text"):
+                starts, ends, number, n_words, per = _worded_lines(data, offsets)
+                hashes = textkit.span_hashes(data, starts, ends)
+                start, end = word_windows(n_words, per, min_words)
+                size = end - start
+                run_hash = size.astype(np.uint64)
+                for k in range(int(size.max(initial=0))):
+                    longer = size > k
+                    run_hash[longer] += hashes[start[longer] + k] * factors[k]
+                first = np.cumsum(per) - per
+                owner = np.repeat(np.arange(len(per)), per)[start]
+                at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+                lines = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(number[at], pa.int32()))
+                columns = [rows.column("doc_id").take(pa.array(owner)), rows.column("text_key").take(pa.array(owner)), pa.array(textkit.mix64(run_hash, 4).view(np.int64)), pa.array(start - first[owner], pa.int32()), lines]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "run_hash", "start", "lines"])
+
+    return of
+
+
+def _later(runs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, drops): the lines of all runs but the first of each run_hash."""
+    first = runs.groupBy("run_hash").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("run_hash", "first")
+    later = runs.join(sized(first), "run_hash").where("struct(doc_id, start) > first")
     return later.select("doc_id", "text_key", F.explode("lines").alias("line")).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("drops"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text").withColumn("text_key", F.xxhash64("text"))
+
+
+def _edited(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    drops = drops.select(F.col("doc_id").alias("_drops_doc"), F.col("text_key").alias("_drops_key"), F.col("drops").alias(_DROPS))
+    joined = docs.join(drops, (F.col("doc_id") == F.col("_drops_doc")) & (F.xxhash64("text") == F.col("_drops_key")), "left").drop("_drops_doc", "_drops_key")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_removed long"
+    return joined.mapInArrow(_without_lines, schema)
+
+
 def edited_documents(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, all columns, with later repeated runs taken out of text, and two more columns, n_lines and n_removed.
 
@@ -118,11 +171,14 @@ def edited_documents(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS
     empty one has one line. Texts of fewer than ``run`` worded lines and rows without doc_id are returned as they are. Rows of one doc_id and
     one text are one document. Columns named n_lines or n_removed are replaced; all others are passed on."""
     docs = docs.drop("n_lines", "n_removed")
-    keys = docs.select(F.col("doc_id").cast("long"), "text").withColumn("text_key", F.xxhash64("text"))
-    drops = _later_runs(keys, run, min_words).select(F.col("doc_id").alias("_drops_doc"), F.col("text_key").alias("_drops_key"), F.col("drops").alias(_DROPS))
-    joined = docs.join(drops, (F.col("doc_id") == F.col("_drops_doc")) & (F.xxhash64("text") == F.col("_drops_key")), "left").drop("_drops_doc", "_drops_key")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_removed long"
-    return joined.mapInArrow(_without_lines, schema)
+    return _edited(docs, _later_runs(_keyed(docs), run, min_words))
+
+
+def whole_runs_out(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``edited_documents`` for repeated runs of any number of lines that hold ``min_words`` words or more together: one long line, or many short ones."""
+    docs = docs.drop("n_lines", "n_removed")
+    runs = written(_keyed(docs).where("doc_id IS NOT NULL").mapInArrow(_word_runs(min_words), "doc_id long, text_key long, run_hash long, start int, lines array<int>"), "runs")
+    return _edited(docs, _later(runs))
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
