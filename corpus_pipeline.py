@@ -13,6 +13,9 @@ from lectern.llm import decontam, line_dedup, near_dedup, quality
 from lectern.llm.queries import packed_documents, table
 from lectern.llm.tables import sized, written
 
+#: Near copies of this similarity of five-word shingles are dropped. A pair at 0.8 shares no band with probability 5e-5.
+SIMILAR_PERCENT = 80
+
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows whose doc_id is not among the rejected ones; rows without a doc_id stay."""
@@ -32,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near-duplicates."""
-    return _without(docs, near_dedup.near_duplicates(docs).where("NOT kept"))
+    return _without(docs, near_dedup.near_duplicates(docs, SIMILAR_PERCENT).where("NOT kept"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

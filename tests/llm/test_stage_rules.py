@@ -43,3 +43,38 @@ def test_line_dedup_of_whole_runs(spark):
         assert (got[i]["text"], got[i]["n_removed"]) == (want, len(drop[i]))
     staged = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, frame(spark, rows), "").collect()}
     assert 92 not in staged and staged[94] == got[94]["text"]
+
+
+def shingles(text):
+    words = WORDS.findall(text.lower())
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_near_duplicates_at_80_percent(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(30):
+        words = prose(rng, 100).split()
+        rows.append((10 * k, " ".join(words)))
+        for i in range(1, 4):
+            near = list(words)
+            for at in rng.sample(range(5, 95), 1 + (k + i) % 4):
+                near[at] = f"x{rng.randrange(9999)}"
+            rows.append((10 * k + i, " ".join(near)))
+    sets = {i: shingles(t) for i, t in rows}
+    root, between = {i: i for i in sets}, 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            common, both = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if a < b and 100 * common >= 80 * both:
+                between += 100 * common < 85 * both
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, frame(spark, rows), "").collect()}
+    assert between and kept == {i for i in sets if find(i) == i}
