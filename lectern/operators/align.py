@@ -39,6 +39,23 @@ def concordance(v: DataFrame) -> DataFrame:
     return grouped.select("lang", "num", "n", "n_verses", shown(F.col("a")).alias("first_ref"), shown(F.col("z")).alias("last_ref"))
 
 
+def concordance_references(v: DataFrame) -> DataFrame:
+    """Every reference of each number: how often the number stands there, its place among the number's references by book, chapter and verse, and the number's
+    occurrences and verses in all. Places are counted inside a chapter and moved by the counts of the chapters before, so no task orders all references of a number."""
+    number, ref = ["lang", "num"], F.concat_ws(":", "engs", F.col("chap").cast("string"), F.col("sec").cast("string"))
+    verses = tag_table(v).groupBy(*number, *KEY).agg(F.count("*").alias("times"))
+    chapters = verses.groupBy(*number, "engs", "chap").agg(F.count("*").alias("here"))
+    books = chapters.groupBy(*number, "engs").agg(F.sum("here").alias("in_book"))
+    before = lambda of, by, order: F.coalesce(F.sum(of).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    books = books.withColumn("books_before", before("in_book", number, "engs")).drop("in_book")
+    chapters = chapters.withColumn("chapters_before", before("here", [*number, "engs"], "chap")).drop("here")
+    totals = verses.groupBy(*number).agg(F.sum("times").alias("n"), F.count("*").alias("n_verses"))
+    placed = verses.withColumn("k", F.row_number().over(Window.partitionBy(*number, "engs", "chap").orderBy("sec")))
+    joined = placed.join(chapters, [*number, "engs", "chap"]).join(books, [*number, "engs"]).join(totals, number)
+    shown = joined.select(*number, (F.col("k") + F.col("chapters_before") + F.col("books_before")).alias("place"), ref.alias("ref"), "times", "n", "n_verses")
+    return shown.orderBy("lang", "num", "place")
+
+
 def renderings(v: DataFrame) -> DataFrame:
     return tagged_spans(v).groupBy("lang", "num", F.col("span").alias("word")).agg(F.count("*").alias("n"))
 

@@ -596,6 +596,13 @@ def _(c):
     return align.concordance(c.verses_tagged)
 
 
+@query("concordance_references", """SELECT lang, num, row_number() OVER (PARTITION BY lang, num ORDER BY engs, chap, sec) AS place,
+    engs || ':' || chap || ':' || sec AS ref, times, CAST(sum(times) OVER (PARTITION BY lang, num) AS BIGINT) AS n, count(*) OVER (PARTITION BY lang, num) AS n_verses
+    FROM (SELECT lang, num, engs, chap, sec, count(*) AS times FROM tagged_tokens GROUP BY ALL)""", "tagged_tokens")
+def _(c):
+    return align.concordance_references(c.verses_tagged)
+
+
 @query("renderings", "SELECT lang, num, word, count(*) AS n FROM tagged_tokens GROUP BY 1, 2, 3", "tagged_tokens")
 def _(c):
     return align.renderings(c.verses_tagged)
