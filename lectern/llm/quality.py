@@ -12,16 +12,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit
 from lectern.llm.crf import Adam, Lattice, gradients, marginals
+from lectern.llm.tables import sampled
 
-#: The field is fitted on at most so many labelled documents, taken by a hash of their id.
-TRAIN_DOCS = 4000
+#: The field is fitted on at most so many labelled documents and bytes of text, taken by a hash of their id.
+TRAIN_DOCS, TRAIN_BYTES = 4000, 24 << 20
 THRESHOLD = 0.3
 STEPS = 150
 
@@ -147,12 +147,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
-    """Fits the field on at most ``limit`` labelled documents outside the held-out fifth."""
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, limit_bytes: int = TRAIN_BYTES) -> Model:
+    """Fits the field on at most ``limit`` labelled documents outside the held-out fifth. A document with two labels takes the lower one."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id")).limit(limit)
-    rows: pd.DataFrame = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality").limit(2 * limit).toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    rows = sampled(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality"), "doc_id", "text", limit, limit_bytes)
     return Model.fit(rows["text"].tolist(), rows["quality"].to_numpy(np.int64))
 
 
