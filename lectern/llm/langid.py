@@ -20,33 +20,41 @@ from pyspark.sql import functions as F
 
 from lectern.llm import textkit
 from lectern.llm.crf import Adam, Lattice, gradients, marginals
+from lectern.llm.tables import BROADCAST_ROWS, sampled, written
 
-#: The field is fitted on at most so many documents of each language, and so many languages, the most frequent ones.
-TRAIN_DOCS_PER_LANG = 150
-MAX_LANGS = 64
+#: The field is fitted on at most so many documents of each language, and bytes of text of all of them together. Every language is learned: the more there
+#: are, the fewer documents each has, but at least 10.
+TRAIN_DOCS_PER_LANG, TRAIN_DOCS, TRAIN_BYTES = 150, 9600, 32 << 20
 #: Words of one training sequence are drawn from runs of at most so many words of one language.
 RUN_WORDS = 24
 STEPS = 40
-BITS = 16
+#: Weights have tables of 2**BITS rows, or fewer so that all have at most 2**WEIGHT_BITS numbers.
+BITS, WEIGHT_BITS = 16, 24
 NONE = "und"
 
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+_WORD_SIGN = re.compile(r"[^\W\d_]")  # letters, and signs such as a circled or a Roman number
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode categories L stands in a text."""
+    return any(m[0].isalpha() for m in _WORD_SIGN.finditer(text))
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 class Words:
-    """Hashed features of the words of one slice: letters, ASCII lower-cased, all other bytes as a blank edge."""
+    """Hashed features of the words of one slice: letters, ASCII lower-cased, all other bytes as a blank edge. Features are the numbers below 2**BITS."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         letter = _LETTER[data]
-        # Latin-1 signs such as no-break space and guillemets
+        # Latin-1 signs such as no-break space and guillemets, but for its three letters
         lead = np.flatnonzero(data == 0xC2)
         lead = lead[lead + 1 < len(data)]
+        lead = lead[~np.isin(data[lead + 1], [0xAA, 0xB5, 0xBA])]
         letter[lead] = letter[lead + 1] = False
         self.starts, self.ends, self.per = textkit.runs(letter, offsets)
         low = textkit.lower_ascii(data)
@@ -67,17 +75,19 @@ class Words:
 
     def scores(self, tables: np.ndarray) -> np.ndarray:
         """tables: four of them, with a column per language."""
-        at = tables[0][self.grams[0]] + tables[1][self.grams[1]] + tables[2][self.grams[2]]
+        rows = tables.shape[1] - 1
+        at = tables[0][self.grams[0] & rows] + tables[1][self.grams[1] & rows] + tables[2][self.grams[2] & rows]
         total = np.zeros((len(at) + 1, at.shape[1]), np.float64)
         np.cumsum(at, axis=0, out=total[1:])
         # the blank before a word stands at its start, as the text is moved by one
-        return (total[self.ends + 1] - total[self.starts] + tables[3][self.lexicon]).astype(np.float32)
+        return (total[self.ends + 1] - total[self.starts] + tables[3][self.lexicon & rows]).astype(np.float32)
 
 
 class Model:
     def __init__(self, langs: list[str]):
         n = len(langs)
-        self.langs, self.tables = langs, np.zeros((4, 1 << BITS, n), np.float32)
+        rows = 1 << max(4, min(BITS, WEIGHT_BITS - 2 - max(n - 1, 0).bit_length()))
+        self.langs, self.tables = langs, np.zeros((4, rows, n), np.float32)
         self.trans, self.start = np.zeros((n, n)), np.zeros(n)
 
     @classmethod
@@ -104,9 +114,10 @@ class Model:
         size = words.ends[first] - words.starts[first] + 1
         rows = np.repeat(np.arange(len(kinds)), size)
         at = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(words.starts[first], size)
-        feats = [g[at].astype(np.int64) for g in words.grams]
-        lexicon = words.lexicon[first]
-        known = np.zeros((4, 1 << BITS, n), np.float32)
+        width = model.tables.shape[1]
+        feats = [g[at].astype(np.int64) & (width - 1) for g in words.grams]
+        lexicon = words.lexicon[first] & (width - 1)
+        known = np.zeros((4, width, n), np.float32)
         tables, ascent = model.tables, Adam(0.05)
         sums = lambda v: np.add.reduceat(v, np.cumsum(size) - size, axis=0)
         for _ in range(STEPS):
@@ -115,7 +126,7 @@ class Model:
             slope = np.stack([np.bincount(kind, node[:, k], len(kinds)) for k in range(n)], 1)
             for t, at_feat, of in ((0, feats[0], rows), (1, feats[1], rows), (2, feats[2], rows), (3, lexicon, np.arange(len(kinds)))):
                 for k in range(n):
-                    known[t, :, k] = np.bincount(at_feat, slope[of, k], 1 << BITS)
+                    known[t, :, k] = np.bincount(at_feat, slope[of, k], width)
             known[1:3, 0] = 0  # cut n-grams weigh nothing
             ascent.step(w=(tables, known / len(order) - 1e-6 * tables), t=(model.trans, pair / len(order)), s=(model.start, begin / len(lengths)))
         return model
@@ -142,7 +153,7 @@ class Model:
         best = share.argmax(1)
         score = np.clip(share[np.arange(len(per)), best], 0, 1)
         texts = batch.column("text")
-        lettered = [p > 0 and n > 0 and _ANY_LETTER.search(texts[i].as_py()) is not None for i, p in enumerate(per.tolist())]
+        lettered = [p > 0 and n > 0 and has_letter(texts[i].as_py()) for i, p in enumerate(per.tolist())]
         return [self.langs[b] if ok else NONE for b, ok in zip(best.tolist(), lettered)], np.where(lettered, score, 0.0)
 
 
@@ -156,14 +167,14 @@ def _word_keys(words: Words) -> np.ndarray:
 
 def train(docs: DataFrame, per_lang: int = TRAIN_DOCS_PER_LANG) -> Model:
     """Fits the field on at most ``per_lang`` documents of each language outside the held-out third, taken by a hash of their id."""
-    known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~is_held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return Model([])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chance = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(int(min(1_000_000, 2_000_000 * per_lang / r["count"])))) for r in counts], F.lit(0))
-    rows = known.where(draw < chance).select("doc_id", "lang", "text").limit(4 * per_lang * len(counts)).toPandas()
-    rows = rows.sort_values(["lang", "doc_id", "text"]).groupby("lang").head(per_lang)
+    known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~is_held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    counts = written(known.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    n_langs = max(counts.count(), 1)
+    per_lang = min(per_lang, max(10, TRAIN_DOCS // n_langs))
+    draw, sides = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), F.broadcast(counts) if n_langs <= BROADCAST_ROWS else counts
+    # about twice as many as wanted, so that the exact choice sorts few rows
+    few = known.join(sides, "lang").where(draw * F.col("n") < 2_000_000 * per_lang).drop("n")
+    rows = sampled(few, "doc_id", "text", per_lang, TRAIN_BYTES // n_langs, "lang")
     return Model.fit(rows["text"].tolist(), rows["lang"].tolist())
 
 
@@ -171,7 +182,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text, lang) to doc_id, held_out, lang_pred and score, the weighted share of words in that language.
 
     A text that is null or has no letter gets ``und`` and 0, as does every text if no row has a lang to learn from. held_out is false for a
-    null doc_id. Repeated rows are predicted each; other columns are ignored."""
+    null doc_id. Every language that a training row has is learned, on at least 10 documents where it has them; a language of held-out rows alone is not known.
+    Repeated rows are predicted each; other columns are ignored."""
     model = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
