@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.boost import BoostedTrees
+from lectern.llm.tables import sampled
 
-#: The trees are fitted on nodes of at most so many pages, taken by a hash of their id, and on so many layouts made from their texts.
-TRAIN_PAGES, TRAIN_LAYOUTS = 200, 500
+#: The trees are fitted on nodes of at most so many pages and bytes, taken by a hash of their id, and on so many layouts made from their texts.
+TRAIN_PAGES, TRAIN_BYTES, TRAIN_LAYOUTS = 200, 16 << 20, 500
 #: Share of its subtree's text that an element's own evidence weighs.
 CONTAINER_WEIGHT = 0.5
 PAGES_AT_ONCE = 200
@@ -50,18 +52,80 @@ TOKEN_KINDS = [
 ]
 _KIND_OF_TAG = {t: k for k, tags in enumerate(TAG_KINDS) for t in tags}
 _KIND_OF_TOKEN = {t: k for k, tokens in enumerate(TOKEN_KINDS) for t in tokens}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"""[<>"']""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _SENTENCE = re.compile(r"[.!?,;]")
 
 
+#: Elements at which the search for an element to end stops.
+_FENCES = frozenset("ul ol dl table div section article nav body".split())
+_STOPS = _FENCES.union(*ENDS.values())
+
+
+class Tags:
+    """Finds the tags of a page one after the other. Each end of a quoted value and of an element is looked for once, so time is in proportion to the page."""
+
+    def __init__(self, source: str):
+        self.source, self.ends, self.unclosed = source, {}, set()
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether it closes, name and attributes of the next tag; comments and declarations have no name. None if there is no more."""
+        source = self.source
+        while True:
+            start = source.find("<", at)
+            if start < 0:
+                return None
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(source), False, "", ""
+            name = _NAME.match(source, start + 1)
+            if name or source[start + 1 : start + 2] in ("!", "?", "/"):
+                end = self._end(name.end()) if name else -1
+                if end < 0:  # a stray < or quote: the tag ends at once
+                    end = source.find(">", start)
+                if end < 0:
+                    return None
+                return (start, end + 1, bool(name[1]), name[2].lower(), source[name.end() : end]) if name else (start, end + 1, False, "", "")
+            at = start + 1
+
+    def _end(self, at: int) -> int:
+        """The > that ends a tag, outside of quotes, or -1."""
+        passed, end = [], -1
+        while (mark := _MARK.search(self.source, at)) and mark[0] != "<":
+            k = mark.start()
+            if mark[0] == ">":
+                end = k
+                break
+            if k in self.ends:
+                end = self.ends[k]
+                break
+            passed.append(k)
+            at = self.source.find(mark[0], k + 1) + 1
+            if not at:
+                break
+        self.ends.update(dict.fromkeys(passed, end))
+        return end
+
+    def after(self, name: str, at: int) -> int:
+        """Where the element of this name that is open here is over, or -1."""
+        if name in self.unclosed:
+            return -1
+        gone = re.compile(rf"</{re.escape(name)}\b", re.I).search(self.source, at)
+        end = self.source.find(">", gone.end()) if gone else -1
+        if end < 0:
+            self.unclosed.add(name)
+        return end + 1 if end >= 0 else -1
+
+
 class Page:
     """Nodes in page order: parent, tag, kinds of attribute tokens, text (of runs), and characters of the run inside links."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.kinds, self.text, self.linked = [-1], ["body"], [0], [None], [0]
-        stack, piece, linked, in_link = [0], [], 0, 0
+        # open elements, of each the nearest one up to it at which a search stops, and how many are open by tag
+        stack, stops, open_tags, piece, linked, in_link = [0], [0], Counter(), [], 0, 0
 
         def close_run() -> None:
             nonlocal linked
@@ -72,20 +136,22 @@ class Page:
                     self._add(stack[-1], "#text", 0, text, min(linked, len(text)))
             linked = 0
 
-        at, end = 0, len(source)
+        def close_down_to(k: int) -> None:
+            open_tags.subtract(self.tag[i] for i in stack[k:])
+            del stack[k:], stops[k:]
+
+        at, end, tags = 0, len(source), Tags(source)
         while at < end:
-            m = _TAG.search(source, at)
-            stop = m.start() if m else end
+            found = tags.next(at)
+            stop = found[0] if found else end
             if stop > at:
                 piece.append(source[at:stop])
                 linked += (stop - at) * (in_link > 0)
-            if not m:
+            if not found:
                 break
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
+            _, at, closing, name, attributes = found
             if not name:
                 continue
-            closing = bool(m[1] or m[4])
             if name == "br":
                 piece.append(" ")
             elif name in INLINE:
@@ -93,9 +159,9 @@ class Page:
                     in_link = 0 if closing else 1
             elif name in SKIPPED:
                 piece.append(" ")
-                if not closing and not (m[3] or m[6] or "").endswith("/"):
-                    gone = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                    at = gone.end() if gone else (end if name in ("script", "style") else at)
+                if not closing and not attributes.endswith("/"):
+                    over = tags.after(name, at)
+                    at = over if over >= 0 else (end if name in ("script", "style") else at)
             elif name in VOID:
                 if name == "hr":
                     close_run()
@@ -104,28 +170,34 @@ class Page:
             elif closing:
                 close_run()
                 in_link = 0
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        del stack[k:]
-                        break
+                if open_tags[name] > 0:
+                    k = len(stack) - 1
+                    while self.tag[stack[k]] != name:
+                        k -= 1
+                    close_down_to(k)
             else:
                 close_run()
                 in_link = 0
                 if self.tag[stack[-1]] == "p":
-                    stack.pop()
-                for k in range(len(stack) - 1, 0, -1):
+                    close_down_to(len(stack) - 1)
+                ended = ENDS.get(name, ())
+                k = stops[-1] if ended else 0
+                while k:
                     open_ = self.tag[stack[k]]
-                    if open_ in ENDS.get(name, ()):
-                        del stack[k:]
+                    if open_ in ended:
+                        close_down_to(k)
                         break
-                    if open_ in ("ul", "ol", "dl", "table", "div", "section", "article", "nav", "body"):
+                    if open_ in _FENCES:
                         break
+                    k = stops[k - 1]
                 kinds = 0
-                for found in _NAMES.finditer(m[3] or m[6] or ""):
-                    for token in _TOKEN.findall((found[1] or found[2] or found[3] or "").lower()):
+                for each in _NAMES.finditer(attributes):
+                    for token in _TOKEN.findall((each[1] or each[2] or each[3] or "").lower()):
                         if token in _KIND_OF_TOKEN:
                             kinds |= 1 << _KIND_OF_TOKEN[token]
+                stops.append(len(stack) if name in _STOPS else stops[-1])
                 stack.append(self._add(stack[-1], name, kinds, None, 0))
+                open_tags[name] += 1
         close_run()
 
     def _add(self, parent: int, tag: str, kinds: int, text: str | None, linked: int) -> int:
@@ -350,11 +422,11 @@ class Model:
         return out
 
 
-def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> Model:
+def train(pages: DataFrame, limit: int = TRAIN_PAGES, limit_bytes: int = TRAIN_BYTES) -> Model:
     """Fits the model on at most ``limit`` pages."""
     ids = pages.where("page_id IS NOT NULL AND html IS NOT NULL").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(limit)
-    taken = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").limit(2 * limit)
-    return Model(sorted(r["html"] for r in taken.collect() if r["html"] is not None))
+    taken = pages.where("html IS NOT NULL").select("page_id", "html").join(F.broadcast(ids), "page_id")
+    return Model(sorted(sampled(taken, "page_id", "html", limit, limit_bytes)["html"]))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
