@@ -31,8 +31,8 @@ PERCENT = 85
 #: 25 bands of 5 bins: a pair at similarity 0.85 shares no band with probability 4e-7.
 BANDS, ROWS = 25, 5
 BINS = BANDS * ROWS
-#: Rows of each side of a comparison block, and followers of one copy of a centre.
-BLOCK = 256
+#: Rows and shingles of each side of a comparison block on average, and followers of one copy of a centre.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 _PROBES = np.random.default_rng(5).integers(0, BINS, (4096, BINS))
 _SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
@@ -193,8 +193,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     edges = written(edges, "stars")
     texts = written(docs.join(sized(mates.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi"), "candidates")
-    degree = edges.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    salted = edges.join(degree, "centre").select("centre", _split("rep", F.col("parts")).alias("salt"), "rep")
+    # a centre with many followers is dealt to several tasks; only these few are joined, so that no edges meet by centre before
+    busy = edges.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
+    salted = edges.join(sized(busy), "centre", "left").select("centre", _split("rep", F.coalesce("parts", F.lit(1))).alias("salt"), "rep")
     wanted = salted.select(F.col("rep").alias("doc_id"), "centre", "salt", F.lit(False).alias("leads")).unionAll(
         salted.select(F.col("centre").alias("doc_id"), "centre", "salt", F.lit(True).alias("leads")).distinct()
     )
@@ -234,10 +235,12 @@ def _block_links(mates: DataFrame, texts: DataFrame, first: DataFrame, percent:
     placed = mates.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     centre = F.max(F.when(F.col("rep") == F.col("centre"), F.col("component")))
     torn = placed.groupBy("band").agg(centre.alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "main")
-    torn = written(placed.join(torn, "band").select("band", "rep", "component", (F.col("component") == F.col("main")).alias("is_main")), "torn")
-    parts = torn.groupBy("band").agg(
-        F.ceil(F.count_if("is_main") / BLOCK).cast("int").alias("mains"), F.ceil(F.count_if(~F.col("is_main")) / BLOCK).cast("int").alias("others")
-    )
+    torn = written(placed.join(torn, "band").select("band", "rep", "n_shingles", "component", (F.col("component") == F.col("main")).alias("is_main")), "torn")
+
+    def blocks_of(side: Column) -> Column:
+        return F.ceil(F.greatest(F.count_if(side) / BLOCK, F.coalesce(F.sum(F.when(side, F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+
+    parts = torn.groupBy("band").agg(blocks_of(F.col("is_main")).alias("mains"), blocks_of(~F.col("is_main")).alias("others"))
     # rows of the centre's component meet only the others; the others also meet each other
     own = _split("rep", F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     up_to = lambda n: F.sequence(F.lit(0), n - 1)
