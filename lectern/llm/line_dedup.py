@@ -1,21 +1,20 @@
 """Line deduplication by winnowing over line hashes.
 
-A text is the sequence of its lines that hold a word. In each window of
-``WINDOW`` lines the least line hash (the last one on ties) is a fingerprint, so
-two texts that share ``RUN`` = ``WINDOW`` lines in a row are sure to share a
-fingerprint at the same place of the run. Only places with a fingerprint that
-occurs elsewhere are gone on with: the match is extended to the lines before and
-after, as the hashes of all runs of ``RUN`` lines around it. Of equal runs the first one,
-by doc_id and line, stays; the lines of the later ones are deleted. Longer
-repeats are covered by their overlapping runs.
-
-``whole_runs_out`` counts the words of the whole run instead, however many lines it has. A
-repeat of ``MIN_WORDS`` words or more is covered by the shortest windows of that many words
-from each of its lines on and up to each of its lines, so these are hashed.
+A text is the sequence of its lines that hold a word. A window is a run of such
+lines that is just long enough to hold ``MIN_WORDS`` words, the shortest from a line
+on or up to it; one long line is a window, as are many short ones. The least line
+hash of each window (the last one on ties) is a fingerprint, so two texts that
+share a run of that many words, in however many lines, are sure to share a
+fingerprint at the same place of it. Positions of equal fingerprints are joined, and
+only those that occur elsewhere are gone on with. There the match is extended both ways,
+window by window: the windows around the position that are equal in both places
+overlap and make up the whole run. Of equal windows the first one, by doc_id and
+line, stays; the lines of the later ones are deleted.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,90 +25,23 @@ from pyspark.sql import functions as F
 from lectern.llm import textkit
 from lectern.llm.tables import sized, written
 
-#: Lines in a row that must be equal, and words that they must hold, to count as a repeat.
-RUN = 2
+#: Words that equal lines in a row must hold together to count as a repeat.
 MIN_WORDS = 10
 
 #: A column that documents do not have.
 _DROPS = "_drops_of_lines"
-_PRINTS = "doc_id long, text_key long, print long, run_hash long, start int, lines array<int>, leads boolean"
+_PRINTS = "doc_id long, text_key long, print long, leads boolean, run_a long, run_b long, start int, size int"
+_HAS_WORD = re.compile(r"[^\x20\x09-\x0D]")
 
 
-def _worded_lines(data: np.ndarray, offsets: np.ndarray):
-    """Of the lines with a word: starts, ends, line number in the text, words, and such lines per text."""
-    newline = data == 10
-    starts, ends, _ = textkit.runs(~newline, offsets)
+def _worded_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines with a word: starts, ends, words, and such lines per text."""
+    starts, ends, _ = textkit.runs(data != 10, offsets)
     word_starts, _, _ = textkit.words(data, offsets)
     n_words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
     starts, ends, n_words = starts[n_words > 0], ends[n_words > 0], n_words[n_words > 0]
-    before = np.r_[0, np.cumsum(newline)]
     owner = np.searchsorted(offsets, starts, "right") - 1
-    return starts, ends, before[starts] - before[offsets[owner]], n_words, np.bincount(owner, minlength=len(offsets) - 1)
-
-
-def fingerprints(hashes: np.ndarray, run: int) -> np.ndarray:
-    """Places of the window minima of a sequence of hashes; of equal ones in a window the last."""
-    if len(hashes) < run:
-        return np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(hashes, run)
-    return np.unique(np.arange(len(windows)) + run - 1 - windows[:, ::-1].argmin(1))
-
-
-def _prints(run: int, min_words: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in textkit.slices(batch, "text"):
-                starts, ends, number, n_words, per = _worded_lines(data, offsets)
-                hashes = textkit.span_hashes(data, starts, ends)
-                keys, ids = rows.column("text_key").to_pylist(), rows.column("doc_id").to_pylist()
-                out: list[list] = [[] for _ in range(7)]
-                last = np.cumsum(per)
-                factors = textkit.mix64(np.arange(run, dtype=np.uint64), 3) | np.uint64(1)
-                for i, (a, b) in enumerate(zip((last - per).tolist(), last.tolist())):
-                    if b - a < run:
-                        continue
-                    h, at = hashes[a:b], fingerprints(hashes[a:b], run)
-                    spans = np.lib.stride_tricks.sliding_window_view(h, run)
-                    run_hash = textkit.mix64((spans * factors).sum(1, dtype=np.uint64), 4).view(np.int64)
-                    heavy = np.lib.stride_tricks.sliding_window_view(n_words[a:b], run).sum(1) >= min_words
-                    lines = np.lib.stride_tricks.sliding_window_view(number[a:b], run)
-                    place = np.repeat(at, run)
-                    first = place - np.tile(np.arange(run), len(at))
-                    ok = (first >= 0) & (first < len(spans))
-                    ok[ok] = heavy[first[ok]]
-                    place, first = place[ok], first[ok]
-                    out[0] += [ids[i]] * len(first)
-                    out[1] += [keys[i]] * len(first)
-                    out[2] += h[place].view(np.int64).tolist()
-                    out[3] += run_hash[first].tolist()
-                    out[4] += first.tolist()
-                    out[5] += lines[first].tolist()
-                    out[6] += (place != np.r_[-1, place[:-1]]).tolist()
-                kinds = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int32()), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "text_key", "print", "run_hash", "start", "lines", "leads"])
-
-    return of
-
-
-def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, drops = batch.column("text").to_pylist(), batch.column(_DROPS).to_pylist()
-        n_lines = [0 if text is None else text.count("\n") + 1 for text in texts]
-        for i, (text, drop) in enumerate(zip(texts, drops)):
-            if drop:
-                gone = set(drop)
-                texts[i] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
-        new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array([len(x or ()) for x in drops], pa.int64())}
-        names = [c for c in batch.schema.names if c not in (_DROPS, "n_lines", "n_removed")] + ["n_lines", "n_removed"]
-        yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
-
-
-def _later_runs(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    """(doc_id, text_key, drops): the numbers of the lines to delete, of the texts that have some."""
-    prints = written(docs.where("doc_id IS NOT NULL").mapInArrow(_prints(run, min_words), _PRINTS), "prints")
-    shared = prints.groupBy("print").agg(F.count_if("leads").alias("n"))
-    matched = prints.join(sized(shared.where("n > 1").select("print")), "print").select("doc_id", "text_key", "run_hash", "start", "lines").distinct()
-    return _later(written(matched, "matched"))
+    return starts, ends, n_words, np.bincount(owner, minlength=len(offsets) - 1)
 
 
 def word_windows(n_words: np.ndarray, per: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,64 +55,84 @@ def word_windows(n_words: np.ndarray, per: np.ndarray, min_words: int) -> tuple[
     return both[0], both[1]
 
 
-def _word_runs(min_words: int):
+def fingerprints(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The place of each window's least hash; of equal ones the last."""
+    place = start.copy()
+    for k in range(1, int((end - start).max(initial=0))):
+        at = np.flatnonzero(end - start > k)
+        lower = hashes[start[at] + k] <= hashes[place[at]]
+        place[at[lower]] = start[at[lower]] + k
+    return place
+
+
+def _prints(min_words: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = textkit.mix64(np.arange(min_words, dtype=np.uint64), 3) | np.uint64(1)
+        factors = textkit.mix64(np.arange(2 * min_words, dtype=np.uint64), 3).reshape(2, -1) | np.uint64(1)
         for batch in batches:
             for rows, data, offsets in textkit.slices(batch, "text"):
-                starts, ends, number, n_words, per = _worded_lines(data, offsets)
-                hashes = textkit.span_hashes(data, starts, ends)
+                starts, ends, n_words, per = _worded_lines(data, offsets)
+                hashes = [textkit.span_hashes(data, starts, ends, k) for k in (0, 1)]
                 start, end = word_windows(n_words, per, min_words)
-                size = end - start
-                run_hash = size.astype(np.uint64)
+                size, run = end - start, [np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)]
                 for k in range(int(size.max(initial=0))):
                     longer = size > k
-                    run_hash[longer] += hashes[start[longer] + k] * factors[k]
-                first = np.cumsum(per) - per
+                    for of_run, h, factor in zip(run, hashes, factors):
+                        of_run[longer] += h[start[longer] + k] * factor[k]
+                run = [textkit.mix64(x + size.astype(np.uint64), 4 + k).view(np.int64) for k, x in enumerate(run)]
+                place = fingerprints(hashes[0], start, end)
+                leads = np.zeros(len(place), bool)
+                leads[np.unique(place, return_index=True)[1]] = True
                 owner = np.repeat(np.arange(len(per)), per)[start]
-                at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
-                lines = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(number[at], pa.int32()))
-                columns = [rows.column("doc_id").take(pa.array(owner)), rows.column("text_key").take(pa.array(owner)), pa.array(textkit.mix64(run_hash, 4).view(np.int64)), pa.array(start - first[owner], pa.int32()), lines]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "run_hash", "start", "lines"])
+                first = (np.cumsum(per) - per)[owner]
+                columns = [rows.column(c).take(pa.array(owner)) for c in ("doc_id", "text_key")] + [
+                    pa.array(x) for x in (hashes[0][place].view(np.int64), leads, *run, (start - first).astype(np.int32), size.astype(np.int32))
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PRINTS.split(", ")])
 
     return of
 
 
-def _later(runs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, drops): the lines of all runs but the first of each run_hash."""
-    first = runs.groupBy("run_hash").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("run_hash", "first")
-    later = runs.join(sized(first), "run_hash").where("struct(doc_id, start) > first")
-    return later.select("doc_id", "text_key", F.explode("lines").alias("line")).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("drops"))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").withColumn("text_key", F.xxhash64("text"))
+def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops are (start, size) among the lines with a word."""
+    for batch in batches:
+        texts, drops = batch.column("text").to_pylist(), batch.column(_DROPS).to_pylist()
+        n_lines = [0 if text is None else text.count("\n") + 1 for text in texts]
+        n_removed = [0] * len(texts)
+        for i, (text, drop) in enumerate(zip(texts, drops)):
+            if drop:
+                lines = text.split("\n")
+                worded = [k for k, x in enumerate(lines) if _HAS_WORD.search(x)]
+                gone = {k for d in drop for k in worded[d["start"] : d["start"] + d["size"]]}
+                texts[i], n_removed[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
+        new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
+        names = [c for c in batch.schema.names if c not in (_DROPS, "n_lines", "n_removed")] + ["n_lines", "n_removed"]
+        yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
 
 
-def _edited(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    drops = drops.select(F.col("doc_id").alias("_drops_doc"), F.col("text_key").alias("_drops_key"), F.col("drops").alias(_DROPS))
-    joined = docs.join(drops, (F.col("doc_id") == F.col("_drops_doc")) & (F.xxhash64("text") == F.col("_drops_key")), "left").drop("_drops_doc", "_drops_key")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_removed long"
-    return joined.mapInArrow(_without_lines, schema)
+def _later_runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, text_key, drops): the windows to delete, of the texts that have some."""
+    keyed = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
+    prints = written(keyed.mapInArrow(_prints(min_words), _PRINTS), "prints")
+    shared = prints.groupBy("print").agg(F.count_if("leads").alias("n")).where("n > 1").select("print")
+    around = written(prints.join(sized(shared), "print").drop("print", "leads"), "around")
+    first = around.groupBy("run_a", "run_b").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = around.join(sized(first), ["run_a", "run_b"]).where("struct(doc_id, start) > first")
+    return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "size")).alias("drops"))
 
 
-def edited_documents(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents, all columns, with later repeated runs taken out of text, and two more columns, n_lines and n_removed.
+def edited_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents, all columns, with later repeated runs of lines taken out of text, and two more columns, n_lines and n_removed.
 
-    Lines end at \\n and are compared byte for byte; lines without a word are not compared and stay. A null text stays null with no lines, an
-    empty one has one line. Texts of fewer than ``run`` worded lines and rows without doc_id are returned as they are. Rows of one doc_id and
+    Lines end at \\n and are compared by two 64-bit hashes of their bytes; lines without a word are not compared and stay. A null text stays null with no
+    lines, an empty one has one line. Texts of fewer than ``min_words`` words and rows without doc_id are returned as they are. Rows of one doc_id and
     one text are one document. Columns named n_lines or n_removed are replaced; all others are passed on."""
     docs = docs.drop("n_lines", "n_removed")
-    return _edited(docs, _later_runs(_keyed(docs), run, min_words))
-
-
-def whole_runs_out(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``edited_documents`` for repeated runs of any number of lines that hold ``min_words`` words or more together: one long line, or many short ones."""
-    docs = docs.drop("n_lines", "n_removed")
-    runs = written(_keyed(docs).where("doc_id IS NOT NULL").mapInArrow(_word_runs(min_words), "doc_id long, text_key long, run_hash long, start int, lines array<int>"), "runs")
-    return _edited(docs, _later(runs))
+    drops = _later_runs(docs, min_words).select(F.col("doc_id").alias("_drops_doc"), F.col("text_key").alias("_drops_key"), F.col("drops").alias(_DROPS))
+    joined = docs.join(drops, (F.col("doc_id") == F.col("_drops_doc")) & (F.xxhash64("text") == F.col("_drops_key")), "left").drop("_drops_doc", "_drops_key")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_removed long"
+    return joined.mapInArrow(_without_lines, schema)
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``edited_documents`` with only doc_id, text, n_lines and n_removed."""
-    return edited_documents(docs.select("doc_id", "text"), run, min_words)
+    return edited_documents(docs.select("doc_id", "text"), min_words)

@@ -26,16 +26,17 @@ FROM turns GROUP BY conv_id"""
 
 
 def _lines() -> str:
-    run = line_dedup.RUN
-    parts = ", ".join(f"lead(line, {k}) OVER w AS l{k}, lead(n, {k}) OVER w AS n{k}, lead(words, {k}) OVER w AS w{k}" for k in range(1, run))
-    same, words = ", ".join(["line", *(f"l{k}" for k in range(1, run))]), " + ".join(["words", *(f"w{k}" for k in range(1, run))])
-    gone = " UNION ".join(f"SELECT doc_id, {n} AS n FROM later" for n in ["n", *(f"n{k}" for k in range(1, run))])
+    """All runs of lines that hold MIN_WORDS words, of as many lines at most, as each line has a word; longer repeats are made up of these."""
+    least = line_dedup.MIN_WORDS
     return f"""WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 each AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS n FROM split),
-worded AS (SELECT *, len(list_filter(string_split_regex(line, '{_SPACE}+'), lambda w: w <> '')) AS words FROM each),
-runs AS (SELECT doc_id, line, n, words, {parts} FROM worded WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
-later AS (SELECT *, row_number() OVER (PARTITION BY {same} ORDER BY doc_id, n) AS place FROM runs WHERE l{run - 1} IS NOT NULL AND {words} >= {line_dedup.MIN_WORDS} QUALIFY place > 1),
-gone AS ({gone}),
+counted AS (SELECT *, len(list_filter(string_split_regex(line, '{_SPACE}+'), lambda w: w <> '')) AS words FROM each),
+worded AS (SELECT *, row_number() OVER w AS i, sum(words) OVER w AS upto FROM counted WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+lists AS (SELECT doc_id, list(line ORDER BY n) AS lines FROM worded GROUP BY 1),
+runs AS (SELECT a.doc_id, a.i AS first, b.i AS last, l.lines[a.i : b.i] AS run FROM worded a JOIN worded b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + {least - 1}
+    JOIN lists l ON a.doc_id = l.doc_id WHERE b.upto - a.upto + a.words >= {least}),
+later AS (SELECT doc_id, first, last FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, first) > 1),
+gone AS (SELECT DISTINCT w.doc_id, w.n FROM later r JOIN worded w ON r.doc_id = w.doc_id AND w.i BETWEEN r.first AND r.last),
 kept AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.n) AS text FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.n = g.n WHERE g.n IS NULL GROUP BY 1),
 removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
 SELECT s.doc_id, coalesce(k.text, '') AS text, CAST(len(s.parts) AS BIGINT) AS n_lines, coalesce(r.n, 0) AS n_removed FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id LEFT JOIN removed r ON s.doc_id = r.doc_id"""

@@ -36,7 +36,7 @@ def test_line_dedup_of_whole_runs(spark):
                 run = tuple(texts[k] for k in kept[a:b])
                 if len(WORDS.findall(" ".join(run))) >= 10 and seen.setdefault(run, (i, a)) != (i, a):
                     drop[i].update(kept[a:b])
-    got = {r["doc_id"]: r for r in line_dedup.whole_runs_out(frame(spark, rows)).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.edited_documents(frame(spark, rows)).collect()}
     assert len(drop[94]) == 20 and drop[92] == {0}
     for i, t in rows:
         want = t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[i])
