@@ -2,10 +2,11 @@
 
 The plan depends only on the histogram of piece lengths, at most ``CAPACITY``
 numbers. Patterns of up to four lengths that (nearly) fill a sequence are
-enumerated, their repeat counts fitted to the histogram by non-negative least
-squares and rounded down; what remains is packed best-fit decreasing, whole
-groups of equal sequences at a time. Pieces then find their place by their rank
-among the pieces of the same length.
+enumerated: for each length, the partners at fixed quantiles of what still fits, and
+the greatest that fits last. Their repeat counts are fitted to the histogram by
+non-negative least squares and rounded up, the largest first, as far as pieces are left;
+only what then remains is packed best-fit decreasing, whole groups of equal sequences
+at a time. Pieces find their place by their rank among the pieces of the same length.
 """
 
 from __future__ import annotations
@@ -19,14 +20,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit
-from lectern.llm.tables import written
+from lectern.llm.tables import sized, written
 
 CAPACITY = 2048
 END_ID = 0
 #: Each worker remembers the ids of so many white-space-free chunks of text.
 CACHE_CHUNKS = 500_000
-MAX_PATTERNS = 12_000
+#: Patterns kept of each length, and the shares of the tokens at which partners are looked for.
+PATTERNS_PER_LENGTH, SHARES = 6, (0.05, 0.15, 0.3, 0.45, 0.6, 0.75, 0.9)
+#: Patterns leave at most one part in so many of a sequence empty.
+MAX_WASTE = 128
 FIT_STEPS = 1500
+#: Fitted counts below this are taken for 0.
+LEAST_COUNT = 0.05
 #: Ranks are counted in this many parts of each length at least, and of about so many rows.
 MIN_PARTS, ROWS_PER_PART = 64, 200_000
 
@@ -61,7 +67,7 @@ class LatinIds(ChunkIds):
         self.split, self.merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 64 or max(chunk) > "\xff" or "|" in chunk[:-1]:  # the last may hold a special token
+        if len(chunk) > 64 or max(chunk) > "\xff" or "|" in chunk[:-1]:  # the last may hold an added token's string
             return super().__missing__(chunk)
         if len(self) >= CACHE_CHUNKS:
             self.clear()
@@ -80,9 +86,7 @@ class LatinIds(ChunkIds):
 def tokenizer_of(path: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    return Tokenizer.from_file(path)
 
 
 #: Python counts these as white space, the tokenizer does not.
@@ -124,32 +128,39 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer_path, capacity), _PIECES)
 
 
-def patterns(histogram: np.ndarray, capacity: int, limit: int = MAX_PATTERNS) -> np.ndarray:
-    """Up to ``limit`` patterns of two to four lengths that occur, by how nearly they fill a sequence; unused places are 0."""
-    have = np.flatnonzero(histogram[:capacity])
+def patterns(histogram: np.ndarray, capacity: int, per_length: int = PATTERNS_PER_LENGTH) -> np.ndarray:
+    """Patterns of one to four lengths that occur, those of each first length that fill a sequence most; unused places are 0."""
+    have = np.flatnonzero(histogram[: capacity + 1])
     have = have[have > 0]
     if not len(have):
         return np.zeros((0, 4), np.int64)
     at_most = np.zeros(capacity + 1, np.int64)  # the greatest length that occurs up to each size
     at_most[have] = have
     at_most = np.maximum.accumulate(at_most)
-    rng, found = np.random.default_rng(3), []
-    weight = histogram[have] * have
-    draw = lambda n: rng.choice(have, n, p=weight / weight.sum())
-    pairs = np.stack([have, at_most[capacity - have], 0 * have, 0 * have], 1)
-    found.append(pairs[pairs[:, 1] > 0])
-    for places in (3, 4):
-        rows = np.zeros((4 * limit, 4), np.int64)
-        rows[:, 0] = draw(len(rows))
-        for k in range(1, places - 1):
-            room = capacity - rows.sum(1)
-            some = draw(len(rows))
-            rows[:, k] = np.where(some < room, some, at_most[room // 2])
-        rows[:, places - 1] = at_most[capacity - rows.sum(1)]
-        found.append(rows[(rows > 0).sum(1) == places])
-    every = np.unique(-np.sort(-np.concatenate(found), 1), axis=0)
-    waste = capacity - every.sum(1)
-    return every[np.argsort(waste, kind="stable")[:limit]]
+    tokens = np.cumsum(histogram[have] * have)
+    below = np.r_[0, tokens][np.searchsorted(have, np.arange(capacity + 1), "right")]  # tokens in pieces up to each size
+
+    def partner(room: np.ndarray, share: float) -> np.ndarray:
+        """The length below which that share of the tokens lies, of those in pieces that fit; 0 if none does."""
+        at = np.searchsorted(tokens, below[room] * share, "right")
+        return np.where(below[room] > 0, np.minimum(have[np.minimum(at, len(have) - 1)], at_most[room]), 0)
+
+    zero, found = 0 * have, []
+    rest = capacity - have
+    found.append((have, zero, zero, zero))
+    found.append((have, at_most[rest], zero, zero))
+    for share in SHARES:
+        second = partner(rest, share)
+        left = rest - second
+        found.append((have, second, at_most[left], zero))
+        for again in SHARES[1::2]:
+            third = partner(left, again)
+            found.append((have, second, third, at_most[left - third]))
+    every = np.stack([np.stack(x, 1) for x in found], 1)  # length, way, place
+    waste = capacity - every.sum(2)
+    best = np.argsort(waste, axis=1, kind="stable")[:, :per_length]
+    rows = np.take_along_axis(every, best[:, :, None], 1).reshape(-1, 4)
+    return np.unique(-np.sort(-rows[capacity - rows.sum(1) <= capacity // MAX_WASTE], 1), axis=0)
 
 
 def fit_counts(rows: np.ndarray, histogram: np.ndarray, steps: int = FIT_STEPS) -> np.ndarray:
@@ -199,22 +210,24 @@ def best_fit_decreasing(histogram: np.ndarray, capacity: int) -> list[tuple[tupl
     return [(k, n) for group in rooms for k, n in group.items()]
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths with their repeats, which use up the histogram exactly. Of the plans with and without the fit, the shorter."""
-    plain = best_fit_decreasing(histogram, capacity)
-    rows = patterns(histogram, capacity)
-    counts = np.floor(fit_counts(rows, histogram) + 1e-6).astype(np.int64)
-    left, fitted = histogram.astype(np.int64).copy(), []
-    for row, n in sorted(zip(rows.tolist(), counts.tolist()), key=lambda x: -x[1]):
-        lengths = [x for x in row if x]
-        # rounding alone never asks for too much, but an inexact fit may
-        n = min([n, *(int(left[x]) // lengths.count(x) for x in set(lengths))])
+def fitted(histogram: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Patterns of lengths with their fitted and rounded repeats, and the histogram of what is left."""
+    rows, left, out = patterns(histogram, capacity), histogram.astype(np.int64).copy(), []
+    counts = np.ceil(fit_counts(rows, histogram) - LEAST_COUNT).astype(np.int64)
+    for k in np.lexsort((-counts, -rows[:, 0])).tolist():
+        lengths = [x for x in rows[k].tolist() if x]
+        n = min([int(counts[k]), *(int(left[x]) // lengths.count(x) for x in set(lengths))])
         if n > 0:
-            fitted.append((tuple(lengths), n))
+            out.append((tuple(lengths), n))
             for x in lengths:
                 left[x] -= n
-    fitted += best_fit_decreasing(left, capacity)
-    return min(fitted, plain, key=lambda p: sum(n for _, n in p))
+    return out, left
+
+
+def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths with their repeats, which use up the histogram exactly: the fitted ones, then the rest best-fit decreasing."""
+    out, left = fitted(histogram, capacity)
+    return out + best_fit_decreasing(left, capacity)
 
 
 class Places:
@@ -255,33 +268,47 @@ class Places:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, any other columns); the pieces of a sequence leave no gaps.
 
-    ``pieces`` is used twice, so give a written table. An empty table gives an empty result. At most ``capacity`` counts reach the driver."""
+    ``pieces`` is used twice, so give a written table. An empty table gives an empty result. Columns named sequence_id or offset are replaced, all
+    others are passed on. At most ``capacity`` counts reach the driver."""
+    pieces = pieces.drop("sequence_id", "offset")
     parts = max(MIN_PARTS, pieces.count() // ROWS_PER_PART)
-    keyed = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
-    counts = written(keyed.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
+    keyed = pieces.withColumn("_pack_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    counts = written(keyed.groupBy("length", "_pack_part").agg(F.count("*").alias("_pack_n")), "counts")
     histogram = np.zeros(capacity + 1, np.int64)
-    for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for row in counts.groupBy("length").agg(F.sum("_pack_n").alias("n")).collect():
         histogram[row["length"]] = row["n"]
     places = Places(plan(histogram, capacity), capacity)
-    before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1).join(before, ["length", "part"])
-    slim = ranked.withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
-    names = [c for c in slim.columns if c != "rank"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "rank") + ", sequence_id long, offset long"
+    before = counts.select("length", "_pack_part", (F.sum("_pack_n").over(Window.partitionBy("length").orderBy("_pack_part")) - F.col("_pack_n")).alias("_pack_before"))
+    in_part = F.row_number().over(Window.partitionBy("length", "_pack_part").orderBy("doc_id", "piece")) - 1
+    ranked = keyed.withColumn("_pack_rank", in_part).join(before, ["length", "_pack_part"]).withColumn("_pack_rank", F.col("_pack_rank") + F.col("_pack_before"))
+    names = pieces.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = places.find(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
+            sequence, offset = places.find(batch.column("length").to_numpy(), batch.column("_pack_rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return slim.mapInArrow(run, schema)
+    return ranked.select(*names, "_pack_rank").mapInArrow(run, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """Packed pieces with ids to one row per sequence: sequence_id, ids, and the doc_id and length of each piece in order."""
-    piece = F.struct("offset", "doc_id", "length", "ids")
-    grouped = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    """Packed pieces with ids to one row per sequence: sequence_id, ids, and the pieces in order (offset, doc_id, piece, start, length)."""
+    names = ["offset", "doc_id", "piece", "start", "length"]
+    grouped = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct(*names, "ids"))).alias("p"))
     joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda all_, x: F.concat(all_, x["ids"]))
-    return grouped.select("sequence_id", joined.alias("ids"), F.transform("p", lambda x: F.struct(x["doc_id"], x["length"])).alias("pieces"))
+    return grouped.select("sequence_id", joined.alias("ids"), F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in names])).alias("pieces"))
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+    """Documents (doc_id, text) to packed ``sequences``. Only lengths and keys are sorted and ranked; ids move once, to their sequence."""
+    pieces = written(token_pieces(docs, tokenizer_path, capacity).withColumn("key", F.monotonically_increasing_id()), "pieces")
+    placed = pack(pieces.drop("ids"), capacity)
+    return sequences(pieces.select("key", "ids").join(sized(placed), "key"))
 
 
+def placements(packed_sequences: DataFrame) -> DataFrame:
+    """The pieces of ``sequences``, read back from them: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    each = packed_sequences.select("sequence_id", "ids", F.explode("pieces").alias("p"))
+    ids = F.substring("ids", (4 * F.col("p.offset") + 1).cast("int"), (4 * F.col("p.length")).cast("int"))
+    return each.select("p.doc_id", "p.piece", "p.start", "p.length", F.crc32(ids).alias("ids_crc32"), "sequence_id", "p.offset")

@@ -103,10 +103,11 @@ def test_line_dedup(spark, corpus):
     seen, drop = {}, collections.defaultdict(set)
     for i, t in sorted({r for r in rows if r[0] is not None and r[1]}):
         kept = [k for k, x in enumerate(t.split("\n")) if WORDS.search(x)]
-        for a in range(len(kept) - 1):
-            run = tuple(t.split("\n")[k] for k in kept[a : a + 2])
-            if len(WORDS.findall(" ".join(run))) >= 10 and seen.setdefault(run, (i, a)) != (i, a):
-                drop[i].update(kept[a : a + 2])
+        for a in range(len(kept)):
+            for b in range(a + 1, len(kept) + 1):
+                run = tuple(t.split("\n")[k] for k in kept[a:b])
+                if len(WORDS.findall(" ".join(run))) >= 10 and seen.setdefault(run, (i, a)) != (i, a):
+                    drop[i].update(kept[a:b])
     got = line_dedup.dedup_lines(table(spark, rows)).collect()
     assert len(got) == len(rows)
     texts = collections.defaultdict(list)
@@ -120,11 +121,22 @@ def test_line_dedup(spark, corpus):
 
 
 def test_fingerprints_are_guaranteed():
+    """Every run of ten words or more has a fingerprint, at the same place wherever it stands."""
     rng = np.random.default_rng(0)
     for _ in range(200):
-        h = rng.integers(0, 6, rng.integers(0, 20)).astype(np.uint64)
-        at, run = set(line_dedup.fingerprints(h, 3).tolist()), 3
-        assert all(at & {a, a + 1, a + 2} for a in range(len(h) - run + 1))
+        run, hashes = rng.integers(1, 8, rng.integers(1, 12)), rng.integers(0, 6, 12).astype(np.uint64)
+        if run.sum() < 10:
+            continue
+        seen = []
+        for _ in range(2):
+            before, after = rng.integers(1, 8, rng.integers(0, 6)), rng.integers(1, 8, rng.integers(0, 6))
+            words = np.r_[before, run, after]
+            h = np.r_[rng.integers(0, 6, len(before)), hashes[: len(run)], rng.integers(0, 6, len(after))].astype(np.uint64)
+            start, end = line_dedup.word_windows(words, np.array([len(words)]), 10)
+            at = line_dedup.fingerprints(h, start, end)
+            inside = (start >= len(before)) & (end <= len(before) + len(run))
+            seen.append(set((at[inside] - len(before)).tolist()))
+        assert seen[0] and seen[0] == seen[1]
 
 
 def test_decontamination(spark, corpus):
@@ -225,8 +237,11 @@ def test_rules(spark, corpus):
 
 
 def test_packing(spark, corpus):
+    from tokenizers import Tokenizer
+
+    corpus = [*corpus, (7000, "a <|endoftext|> b"), (7001, "x<|startoftext|>y |> <|"), (7002, "<|ENDOFTEXT|>|")]
     got = packed_documents(table(spark, corpus)).collect()
-    tokenizer = packing.tokenizer_of(word_tokenizer())
+    tokenizer = Tokenizer.from_file(word_tokenizer())
     want = collections.Counter()
     for i, t in corpus:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -246,15 +261,33 @@ def test_packing(spark, corpus):
 
 
 def test_packed_ids(spark, corpus):
-    from lectern.llm.tables import written
+    """Sequences hold the ids of their pieces, end to end."""
+    from tokenizers import Tokenizer
+
+    some = [(i, t) for i, t in corpus if i is not None and i != 3][:60]
+    plain, text = Tokenizer.from_file(word_tokenizer()), dict(some)
+    rows = packing.pack_documents(table(spark, some), word_tokenizer()).collect()
+    assert sorted((p["doc_id"], p["start"]) for r in rows for p in r["pieces"] if p["start"] == 0) == sorted((i, 0) for i in text)
+    for r in rows:
+        got, at = np.frombuffer(bytes(r["ids"]), "<u4").tolist(), 0
+        assert len(got) <= 2048
+        for p in r["pieces"]:
+            ids = [*plain.encode(text[p["doc_id"]] or "", add_special_tokens=False).ids, 0]
+            assert at == p["offset"] and got[at : at + p["length"]] == ids[p["start"] : p["start"] + p["length"]]
+            at += p["length"]
+        assert at == len(got)
 
-    pieces = written(packing.token_pieces(table(spark, corpus[:40]), word_tokenizer()), "pieces")
-    rows = packing.sequences(packing.pack(pieces)).collect()
-    assert all(len(r["ids"]) == 4 * sum(p["length"] for p in r["pieces"]) <= 4 * 2048 for r in rows)
+
+def test_packing_passes_other_columns_on(spark):
+    pieces = spark.createDataFrame([(i, 0, 500 + i, "b", "p", "r", "k", 7, 8) for i in range(40)], "doc_id long, piece int, length long, before string, part string, rank string, key string, sequence_id long, offset long")
+    got = packing.pack(pieces).collect()
+    assert len(got) == 40 and {(r["before"], r["part"], r["rank"], r["key"]) for r in got} == {("b", "p", "r", "k")} and len({r["sequence_id"] for r in got}) <= 13
 
 
 def test_tokens_of_odd_chunks():
-    tokenizer = packing.tokenizer_of(word_tokenizer())
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(word_tokenizer())
     chunks = packing.LatinIds(tokenizer)
     odd = ["don't DON'T I'LL ''s it's.", "áb É é́", "İst ΑΣ ΣΣ. ß ªº", "x\x1cy z w q\x85r", "<|endoftext|> a<|startoftext|>b", "12345 ½ ² ٣ _a_b", "日本語 テスト👍🏽", "Ÿ µ \xa0", "\x00 a", "a" * 99, "A'Sb 're", "…“q” —x", "the,' a!'s THE!! ou*** a|", "São-Tomé? (x)"]
     for text in [*odd, " ".join(odd)]:
@@ -273,6 +306,8 @@ def test_plans_use_up_the_histogram(seed):
         np.add.at(used, list(pattern), n)
     assert (used == histogram).all()
     assert sum(n for _, n in planned) <= 1.01 * -(-lengths.sum() // 2048) + 1
+    by_patterns = sum(sum(pattern) * n for pattern, n in packing.fitted(histogram)[0])
+    assert by_patterns > 0.7 * lengths.sum()
 
 
 def test_empty_tables(spark):
@@ -332,4 +367,4 @@ def test_hot_groups(spark):
     rows = [(i, f"{prose(rng, 30)}\n{common}\n{prose(rng, 30)}") for i in range(200)] + [(i, f"{common}\n{common} end of it") for i in range(200, 300)]
     kept = near_dedup.near_duplicates(table(spark, rows)).where("kept").count()
     assert kept == 201
-    assert line_dedup.dedup_lines(table(spark, rows)).where("n_removed > 0").count() == 99
+    assert line_dedup.dedup_lines(table(spark, rows)).where("n_removed > 0").count() == 299
