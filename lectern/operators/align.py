@@ -102,7 +102,10 @@ def ranked_candidates(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def best_alignment(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    return ranked_candidates(pairs, table).where("rank = 1").select(*KEY, "pos", "word", "sn", "p")
+    """The likeliest number of each word place, by one grouped minimum."""
+    likelier = F.struct((-F.round("p", DIGITS)).alias("less"), "sn")
+    best = pairs.join(table, ["word", "sn"]).groupBy(*KEY, "pos", "word").agg(F.min(likelier).alias("b"))
+    return best.select(*KEY, "pos", "word", "b.sn", (-F.col("b.less")).alias("p"))
 
 
 def project_tags(best: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Lexicon lookups, ranges, gaps and exports. x holds dic_type (1 for H, 0 for G), sn, num, orig, orig_fhl, txt."""
+"""Lexicon lookups, ranges, gaps and exports. x holds dic_type (1 for H, 0 for G), sn, num, orig, orig_alt, txt."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.numbering import numbered
+
 DIC_TYPE = {"ot": 1, "nt": 0}
 
 
@@ -20,8 +22,12 @@ def lexicon_entry(x: DataFrame, sn: str, mode: str = "ot") -> DataFrame:
 
 def lexicon_range(x: DataFrame, a: int, b: int, mode: str = "ot") -> DataFrame:
     """Entries whose number lies from a to b, both included, letters or not."""
+    return _in_range(x, a, b, mode).select("sn", "num", "orig", "txt")
+
+
+def _in_range(x: DataFrame, a: int, b: int, mode: str) -> DataFrame:
     _check(a, b)
-    return x.where(F.col("num").between(a, b) & (F.col("dic_type") == DIC_TYPE[mode])).select("sn", "num", "orig", "txt")
+    return x.where(F.col("num").between(a, b) & (F.col("dic_type") == DIC_TYPE[mode]))
 
 
 def lexicon_by_testament(x: DataFrame, mode: str = "ot") -> DataFrame:
@@ -56,15 +62,13 @@ def lexicon_suffix_probe(x: DataFrame, a: int, b: int, mode: str = "ot") -> Data
 
 
 def lexicon_natural_order(x: DataFrame) -> DataFrame:
-    return x.select("dic_type", "num", "sn", F.row_number().over(_by("num", "sn")).alias("place"))
+    """Entries of each lexicon by number, then key, with their place."""
+    return numbered(x.select("dic_type", "num", "sn"), "dic_type", ["num", "sn"], "place")
 
 
 def lexicon_text_order(x: DataFrame) -> DataFrame:
-    return x.select("dic_type", "sn", F.row_number().over(_by("sn")).alias("place"))
-
-
-def _by(*order: str) -> WindowSpec:
-    return Window.partitionBy("dic_type").orderBy(*order)
+    """Entries of each lexicon by key, with their place."""
+    return numbered(x.select("dic_type", "sn"), "dic_type", ["sn"], "place")
 
 
 def lexicon_counts(x: DataFrame) -> DataFrame:
@@ -79,7 +83,7 @@ def record_json() -> Column:
 
 def lexicon_array(x: DataFrame, a: int, b: int, mode: str = "ot") -> DataFrame:
     """The range as one JSON array in natural order; null if it is empty."""
-    rows = lexicon_range(x, a, b, mode).join(x.where(F.col("dic_type") == DIC_TYPE[mode]).select("sn", "dic_type"), "sn")
+    rows = _in_range(x, a, b, mode)
     items = F.transform(F.sort_array(F.collect_list(F.struct("num", "sn", record_json().alias("j")))), lambda e: e["j"])
     return rows.agg(items.alias("i")).select(F.when(F.size("i") > 0, F.concat(F.lit("["), F.array_join("i", ","), F.lit("]"))).alias("doc"))
 

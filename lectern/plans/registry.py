@@ -61,7 +61,7 @@ FROM chapters GROUP BY 1, 2)"""
 
 @query("sqlite_scan", f"SELECT * FROM verses_tagged WHERE engs = '{BOOK}'", "verses_tagged")
 def _(c):
-    snapshots = landed(sqlite.to_snapshots(c.verses_tagged, "kjv", [*KEY, "txt"], 8), "snapshots")
+    snapshots = landed(sqlite.to_snapshots(c.verses_tagged, "kjv", [*KEY, "txt"]), "snapshots")
     return sqlite.scan_snapshots(snapshots, "kjv", "engs string, chap int, sec int, txt string", {"engs": BOOK})
 
 
@@ -165,32 +165,32 @@ def _(c):
 
 @query("chapter_verses", f"SELECT sec, txt FROM verses_tagged WHERE engs = '{BOOK}' AND chap = {CHAP}", "verses_tagged")
 def _(c):
-    return lookup.chapter_verses(c.verses_tagged, BOOK, CHAP)
+    return lookup.chapter_verses(c.stored("verses_tagged"), BOOK, CHAP)
 
 
 @query("verse_lookup", f"SELECT * FROM verses_tagged WHERE engs = '{BOOK}' AND chap = {CHAP} AND sec = {SEC}", "verses_tagged")
 def _(c):
-    return lookup.verse_lookup(c.verses_tagged, BOOK, CHAP, SEC)
+    return lookup.verse_lookup(c.stored("verses_tagged"), BOOK, CHAP, SEC)
 
 
 @query("book_verses", f"SELECT chap, sec, txt FROM verses_tagged WHERE engs = '{BOOK}'", "verses_tagged")
 def _(c):
-    return lookup.book_verses(c.verses_tagged, BOOK)
+    return lookup.book_verses(c.stored("verses_tagged"), BOOK)
 
 
 @query("lexicon_entry", "SELECT sn, orig, txt FROM lexicon WHERE sn = '00013a' AND dic_type = 1", "lexicon")
 def _(c):
-    return lexicon.lexicon_entry(c.lexicon, "00013a", "ot")
+    return lexicon.lexicon_entry(c.stored("lexicon"), "00013a", "ot")
 
 
 @query("lexicon_range", f"SELECT sn, num, orig, txt FROM lexicon WHERE dic_type = 1 AND num BETWEEN {RANGE[0]} AND {RANGE[1]}", "lexicon")
 def _(c):
-    return lexicon.lexicon_range(c.lexicon, *RANGE)
+    return lexicon.lexicon_range(c.stored("lexicon"), *RANGE)
 
 
 @query("lexicon_by_testament", "SELECT sn, dic_type, orig FROM lexicon WHERE dic_type = 0", "lexicon")
 def _(c):
-    return lexicon.lexicon_by_testament(c.lexicon, "nt")
+    return lexicon.lexicon_by_testament(c.stored("lexicon"), "nt")
 
 
 @query("lexicon_projection", "SELECT sn, txt AS dic_text, dic_type, orig FROM lexicon", "lexicon")
@@ -217,7 +217,7 @@ for _lang, _other in (("H", "G"), ("G", "H")):
 
 @query("chapter_head", f"SELECT * FROM verses_tagged WHERE engs = '{BOOK}' AND chap = {CHAP} ORDER BY sec LIMIT 5", "verses_tagged")
 def _(c):
-    return lookup.chapter_head(c.verses_tagged, BOOK, CHAP)
+    return lookup.chapter_head(c.stored("verses_tagged"), BOOK, CHAP)
 
 
 @query("keyword_verses", "SELECT * FROM verses_plain WHERE contains(txt, 'small_ring')", "verses_plain")
@@ -250,17 +250,17 @@ _ASKED = f"asked AS (SELECT CAST(range AS INT) AS num FROM range({RANGE[0]}, {RA
 
 @query("lexicon_range_probe", f"WITH {_ASKED} SELECT a.num, x.sn, x.orig FROM asked a LEFT JOIN (SELECT * FROM lexicon WHERE dic_type = 1 AND length(sn) = 5) x ON a.num = x.num", "lexicon")
 def _(c):
-    return lexicon.lexicon_range_probe(c.lexicon, *RANGE)
+    return lexicon.lexicon_range_probe(c.stored("lexicon"), *RANGE)
 
 
 @query("lexicon_gaps", f"WITH {_ASKED} SELECT num FROM asked WHERE num NOT IN (SELECT num FROM lexicon WHERE dic_type = 1 AND length(sn) = 5)", "lexicon")
 def _(c):
-    return lexicon.lexicon_gaps(c.lexicon, *RANGE)
+    return lexicon.lexicon_gaps(c.stored("lexicon"), *RANGE)
 
 
 @query("lexicon_suffix_probe", f"WITH {_ASKED} SELECT num, substr(sn, 6) AS suffix, sn, orig FROM lexicon WHERE dic_type = 1 AND num IN (SELECT num FROM asked)", "lexicon")
 def _(c):
-    return lexicon.lexicon_suffix_probe(c.lexicon, *RANGE)
+    return lexicon.lexicon_suffix_probe(c.stored("lexicon"), *RANGE)
 
 
 @query("parallel_verses", "SELECT a.engs, a.chap, a.sec, a.txt AS txt_1, b.txt AS txt_2 FROM verses_plain a LEFT JOIN verses_b b ON a.engs = b.engs AND a.chap = b.chap AND a.sec = b.sec AND b.txt <> ''", "verses_plain", "verses_b")
@@ -344,7 +344,7 @@ def _(c):
 
 @query("lexicon_array", f"SELECT '[' || string_agg({_RECORD}, ',' ORDER BY num, sn) || ']' AS doc FROM lexicon WHERE dic_type = 1 AND num BETWEEN {RANGE[0]} AND {RANGE[1]}", "lexicon")
 def _(c):
-    return lexicon.lexicon_array(c.lexicon, *RANGE)
+    return lexicon.lexicon_array(c.stored("lexicon"), *RANGE)
 
 
 @query("distinct_books", "SELECT DISTINCT engs FROM verses_tagged", "verses_tagged")
@@ -354,7 +354,7 @@ def _(c):
 
 @query("distinct_chapters", f"SELECT DISTINCT chap FROM verses_tagged WHERE engs = '{BOOK}'", "verses_tagged")
 def _(c):
-    return lookup.distinct_chapters(c.verses_tagged, BOOK)
+    return lookup.distinct_chapters(c.stored("verses_tagged"), BOOK)
 
 
 @query("tag_line_counts", """SELECT count(*) FILTER (regexp_matches(txt, '[0-9]{3,5}>')) AS n_tagged,

@@ -1,12 +1,16 @@
 """The corpus views, derived from the star-schema tables: book = nation, chapter = customer, verse = order, word = line item, lexicon = part.
 
-One SQL text per view serves Spark and DuckDB; only the ordered text aggregate differs.
+One SQL text per view serves Spark and DuckDB, but for the texts: Spark gathers the words of each verse by its own number and
+joins the verse's key once. ``Corpus.stored`` has the texts and the lexicon as tables that lookups can prune.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.sources import store
+from lectern.sources.landing import landing_folder
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 _TEXT = "SELECT k.engs, k.chap, k.sec, coalesce({agg}, '') AS txt FROM verse_keys k LEFT JOIN tagged_tokens t ON k.engs = t.engs AND k.chap = t.chap AND k.sec = t.sec GROUP BY k.engs, k.chap, k.sec"
@@ -42,7 +46,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     # type 1 has suffixes and gaps at multiples of 11, type 0 has gaps at multiples of 13
     "lexicon": (
         """SELECT lpad(CAST(p_partkey AS VARCHAR(10)), 5, '0') || CASE WHEN p_partkey % 10 = 3 THEN 'a' ELSE '' END AS sn,
-        CAST(p_partkey AS INT) AS num, p_name AS orig, p_brand AS orig_fhl, concat(p_type, ' ', CAST(p_size AS VARCHAR(10))) AS txt, 1 AS dic_type
+        CAST(p_partkey AS INT) AS num, p_name AS orig, p_brand AS orig_alt, concat(p_type, ' ', CAST(p_size AS VARCHAR(10))) AS txt, 1 AS dic_type
         FROM part WHERE p_partkey % 11 <> 0
         UNION ALL SELECT lpad(CAST(p_partkey AS VARCHAR(10)), 5, '0') || 'b', CAST(p_partkey AS INT), p_name, p_brand, p_type, 1 FROM part WHERE p_partkey % 10 = 3
         UNION ALL SELECT lpad(CAST(p_partkey AS VARCHAR(10)), 5, '0'), CAST(p_partkey AS INT), p_name, p_brand,
@@ -58,10 +62,26 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         ("events",),
     ),
 }
-_SPARK_AGG = {
-    "verses_tagged": "listagg(concat(t.word, t.tag), ' ') WITHIN GROUP (ORDER BY t.pos)",
-    "verses_plain": "listagg(t.word, ' ') WITHIN GROUP (ORDER BY t.pos)",
-    "verses_b": "listagg(t.word_b, ' ') WITHIN GROUP (ORDER BY t.pos DESC)",
+_WORD, _WORD_B = "replace(p.p_name, ' ', '_')", "p.p_brand"
+#: The tag of ``tagged_tokens``, with \x01 for the letter of the language, which only the verse's key tells.
+_TAG = """concat(CASE WHEN l.l_partkey % 5 = 0 THEN '{' ELSE '' END, '<', CASE WHEN l.l_partkey % 2 = 0 THEN 'W' ELSE '' END,
+    CASE WHEN l.l_partkey % 7 = 0 THEN 'T' ELSE '' END, chr(1),
+    lpad(CAST(l.l_partkey AS VARCHAR(10)), CASE WHEN l.l_partkey % 3 = 0 OR l.l_partkey >= 10000 THEN 5 ELSE 4 END, '0'), '>',
+    CASE WHEN l.l_partkey % 5 = 0 THEN '}' ELSE '' END)"""
+
+
+def _spark_text(piece: str, ascending: bool = True) -> str:
+    items = f"sort_array(collect_list(struct(l.l_linenumber AS a, l.l_partkey AS b, {piece} AS w)), {str(ascending).lower()})"
+    return f"""SELECT k.engs, k.chap, k.sec, coalesce(translate(t.txt, chr(1), CASE WHEN k.book_no < 13 THEN 'H' ELSE 'G' END), '') AS txt FROM verse_keys k LEFT JOIN (
+    SELECT l.l_orderkey, array_join(transform({items}, x -> x.w), ' ') AS txt FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey
+    ) t ON k.o_orderkey = t.l_orderkey"""
+
+
+_TEXT_READS = ("verse_keys", "lineitem", "part")
+_SPARK_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
+    "verses_tagged": (_spark_text(f"concat({_WORD}, {_TAG})"), _TEXT_READS),
+    "verses_plain": (_spark_text(_WORD), _TEXT_READS),
+    "verses_b": (_spark_text(_WORD_B, False), _TEXT_READS),
 }
 _DUCK_AGG = {
     "verses_tagged": "string_agg(t.word || t.tag, ' ' ORDER BY t.pos)",
@@ -70,9 +90,25 @@ _DUCK_AGG = {
 }
 
 
+#: Paths of stored views by application, folder of tables and view.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Corpus:
     """The views of one folder of tables as DataFrames."""
 
+    def stored(self, name: str) -> DataFrame:
+        """A text view or the lexicon as a stored table, written at its first use in an application."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = landing_folder(self.spark, name)
+            if name == "lexicon":
+                store.write_lexicon(self.lexicon, path)
+            else:
+                store.write_verses(getattr(self, name), name, path)
+            _STORED[key] = path
+        return store.read_lexicon(self.spark, _STORED[key]) if name == "lexicon" else store.read_verses(self.spark, _STORED[key], name)
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
@@ -83,8 +119,7 @@ class Corpus:
             if name in TABLES:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
-                sql, reads = VIEWS[name]
-                sql = sql.replace("{agg}", _SPARK_AGG.get(name, ""))
+                sql, reads = _SPARK_SQL.get(name) or VIEWS[name]
                 # each name in FROM or JOIN becomes the view's own DataFrame
                 for read in reads:
                     sql = sql.replace(f"FROM {read}", f"FROM [[{read}]]").replace(f"JOIN {read} ", f"JOIN [[{read}]] ")

@@ -14,7 +14,7 @@ LEXICON = T.StructType(
         T.StructField("sn", T.StringType()),
         T.StructField("num", T.IntegerType()),
         T.StructField("orig", T.StringType()),
-        T.StructField("orig_fhl", T.StringType()),
+        T.StructField("orig_alt", T.StringType()),
         T.StructField("txt", T.StringType()),
     ]
 )

@@ -8,6 +8,7 @@ simple comparisons inside SQLite.
 
 from __future__ import annotations
 
+import os
 import sqlite3
 from collections.abc import Iterator
 
@@ -20,22 +21,41 @@ from pyspark.sql.types import StructType
 _OPS: dict[type, str] = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
+#: Rows of one snapshot made here, which stays far below the 2 GB of a binary value.
+ROWS_PER_FILE = 500_000
+#: Bytes of a large snapshot that one task reads, and rows of one Arrow batch.
+BYTES_PER_TASK, BATCH_ROWS = 64 << 20, 10_000
+
+
 def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def to_snapshots(v: DataFrame, table: str, columns: list[str], partitions: int) -> DataFrame:
-    """Rows as SQLite snapshots, one database (binary column ``content``) per partition."""
+def to_snapshots(v: DataFrame, table: str, columns: list[str], rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Rows as SQLite snapshots, databases (binary column ``content``) of at most ``rows_per_file`` rows; each partition makes as many as it needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        db = sqlite3.connect(":memory:")
-        db.execute(f"CREATE TABLE {quoted(table)} ({', '.join(map(quoted, columns))})")
+        db, held = None, 0
         for batch in batches:
-            db.executemany(f"INSERT INTO {quoted(table)} VALUES ({', '.join('?' * len(columns))})", zip(*(batch.column(c).to_pylist() for c in columns)))
-        db.commit()
-        yield pa.RecordBatch.from_arrays([pa.array([db.serialize()], pa.binary())], ["content"])
+            for low in range(0, batch.num_rows, rows_per_file):
+                part = batch.slice(low, rows_per_file)
+                if db is not None and held + part.num_rows > rows_per_file:
+                    yield _content(db)
+                    db, held = None, 0
+                if db is None:
+                    db = sqlite3.connect(":memory:")
+                    db.execute(f"CREATE TABLE {quoted(table)} ({', '.join(map(quoted, columns))})")
+                db.executemany(f"INSERT INTO {quoted(table)} VALUES ({', '.join('?' * len(columns))})", zip(*(part.column(c).to_pylist() for c in columns)))
+                held += part.num_rows
+        if db is not None:
+            yield _content(db)
+
+    return v.select(columns).mapInArrow(run, "content binary")
+
 
-    return v.select(columns).repartition(partitions).mapInArrow(run, "content binary")
+def _content(db: sqlite3.Connection) -> pa.RecordBatch:
+    db.commit()
+    return pa.RecordBatch.from_arrays([pa.array([db.serialize()], pa.binary())], ["content"])
 
 
 def scan_snapshots(snapshots: DataFrame, table: str, schema: str, where: dict[str, object] | None = None) -> DataFrame:
@@ -71,8 +91,8 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, table: str, names: list[str], partitions: int):
-        self.path, self.table, self.names, self.n, self.clauses = path, table, names, partitions, []
+    def __init__(self, path: str, table: str, schema: StructType, partitions: int | None):
+        self.path, self.table, self.schema, self.n, self.clauses = path, table, schema, partitions, []
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
@@ -87,18 +107,24 @@ class _Reader(DataSourceReader):
         low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
         if low is None:
             return [_Range(0, -1)]
-        step = max(1, -(-(high - low + 1) // self.n))
+        n = self.n or max(4, os.path.getsize(self.path) // BYTES_PER_TASK)
+        step = max(1, -(-(high - low + 1) // n))
         return [_Range(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
 
-    def read(self, partition: _Range):
-        db = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        db, arrow = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True), to_arrow_schema(self.schema)
         more = "".join(f" AND {c}" for c, _ in self.clauses)
-        sql = f"SELECT {', '.join(map(quoted, self.names))} FROM {quoted(self.table)} WHERE rowid BETWEEN ? AND ?{more}"
-        yield from db.execute(sql, [partition.low, partition.high, *[v for _, v in self.clauses]])
+        sql = f"SELECT {', '.join(map(quoted, self.schema.names))} FROM {quoted(self.table)} WHERE rowid BETWEEN ? AND ?{more}"
+        cursor = db.execute(sql, [partition.low, partition.high, *[v for _, v in self.clauses]])
+        while rows := cursor.fetchmany(BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
 class SqliteSnapshot(DataSource):
-    """``spark.read.format("sqlite_snapshot").schema(...).option("path", ...).option("table", ...)``; option ``partitions`` defaults to 4.
+    """``spark.read.format("sqlite_snapshot").schema(...).option("path", ...).option("table", ...)``; option ``partitions`` defaults to one for every 64 MB
+    of the file, 4 at least. Rows come in Arrow batches.
 
     Filters are pushed down with ``spark.sql.python.filterPushdown.enabled``."""
 
@@ -107,4 +133,4 @@ class SqliteSnapshot(DataSource):
         return "sqlite_snapshot"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options["table"], schema.names, int(self.options.get("partitions", "4")))
+        return _Reader(self.options["path"], self.options["table"], schema, int(self.options.get("partitions", "0")) or None)

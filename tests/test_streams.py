@@ -43,5 +43,5 @@ def test_unrouted_and_definitions(spark):
     df = events(spark, ROWS)
     subscribers = spark.createDataFrame([("view", "a")], "event string, subscriber string")
     assert {r["event_id"] for r in readers.stream_unrouted(df, subscribers).collect()} == {3, 4}
-    x = spark.createDataFrame([(1, "00007", 7, "o", "f", "t"), (0, "00007", 7, "g", "f", "t")], "dic_type int, sn string, num int, orig string, orig_fhl string, txt string")
+    x = spark.createDataFrame([(1, "00007", 7, "o", "f", "t"), (0, "00007", 7, "g", "f", "t")], "dic_type int, sn string, num int, orig string, orig_alt string, txt string")
     assert [tuple(r) for r in readers.stream_click_definition(df, x).collect()] == [(3, 7, "00007", "o")]

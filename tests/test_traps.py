@@ -58,7 +58,7 @@ def test_null_text_stays(spark):
 
 
 def test_lexicon_traps(spark, tmp_path):
-    x = spark.createDataFrame([(1, s, int(s[:5]), "o", "f", "t") for s in ("05238b", "05238", "00010", "05238a")], "dic_type int, sn string, num int, orig string, orig_fhl string, txt string")
+    x = spark.createDataFrame([(1, s, int(s[:5]), "o", "f", "t") for s in ("05238b", "05238", "00010", "05238a")], "dic_type int, sn string, num int, orig string, orig_alt string, txt string")
     assert [r["sn"] for r in lexicon.lexicon_natural_order(x).orderBy("place").collect()] == ["00010", "05238", "05238a", "05238b"]
     for bad in ((5, 5), (6, 5)):
         with pytest.raises(ValueError):
