@@ -126,7 +126,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """Turns (conv_id, turn, role, text) to one row per conversation: conv_id, formatted, loss_starts, loss_ends (code points).
 
     Turns stand by turn, null ones first; ties, and so repeated rows, which stay, by role and text. A null role or text is empty. Rows without
-    conv_id are one conversation, with a null id. Only exactly ``assistant`` texts are under the mask. Other columns are ignored."""
+    conv_id are one conversation, with a null id. Only exactly ``assistant`` texts are under the mask. Other columns are ignored. A conversation is one value
+    and made in one task, so its formatted text must stay below 2 GB; a longer one is an error."""
     rows = turns.select(F.col("conv_id").cast("long"), "turn", "role", "text")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_format, _FORMATTED)
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.tables import written
+from lectern.llm.tables import sized, written
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -90,4 +90,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item. Rows without an id stay."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(sized(contaminated(docs, benchmark).select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)

@@ -92,21 +92,25 @@ def _prints(min_words: int):
     return of
 
 
-def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without_lines(counts: tuple[str, str]):
     """Drops are (start, size) among the lines with a word."""
-    for batch in batches:
-        texts, drops = batch.column("text").to_pylist(), batch.column(_DROPS).to_pylist()
-        n_lines = [0 if text is None else text.count("\n") + 1 for text in texts]
-        n_removed = [0] * len(texts)
-        for i, (text, drop) in enumerate(zip(texts, drops)):
-            if drop:
-                lines = text.split("\n")
-                worded = [k for k, x in enumerate(lines) if _HAS_WORD.search(x)]
-                gone = {k for d in drop for k in worded[d["start"] : d["start"] + d["size"]]}
-                texts[i], n_removed[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
-        new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
-        names = [c for c in batch.schema.names if c not in (_DROPS, "n_lines", "n_removed")] + ["n_lines", "n_removed"]
-        yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, drops = batch.column("text").to_pylist(), batch.column(_DROPS).to_pylist()
+            n_lines = [0 if text is None else text.count("\n") + 1 for text in texts]
+            n_removed = [0] * len(texts)
+            for i, (text, drop) in enumerate(zip(texts, drops)):
+                if drop:
+                    lines = text.split("\n")
+                    worded = [k for k, x in enumerate(lines) if _HAS_WORD.search(x)]
+                    gone = {k for d in drop for k in worded[d["start"] : d["start"] + d["size"]]}
+                    texts[i], n_removed[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
+            names = [c for c in batch.schema.names if c != _DROPS]
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*names, *counts])
+
+    return of
 
 
 def _later_runs(docs: DataFrame, min_words: int) -> DataFrame:
@@ -120,17 +124,17 @@ def _later_runs(docs: DataFrame, min_words: int) -> DataFrame:
     return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "size")).alias("drops"))
 
 
-def edited_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents, all columns, with later repeated runs of lines taken out of text, and two more columns, n_lines and n_removed.
+def edited_documents(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The documents, all columns, with later repeated runs of lines taken out of text, and two more columns, the ``counts`` of lines and of lines removed.
 
     Lines end at \\n and are compared by two 64-bit hashes of their bytes; lines without a word are not compared and stay. A null text stays null with no
     lines, an empty one has one line. Texts of fewer than ``min_words`` words and rows without doc_id are returned as they are. Rows of one doc_id and
-    one text are one document. Columns named n_lines or n_removed are replaced; all others are passed on."""
-    docs = docs.drop("n_lines", "n_removed")
+    one text are one document. Columns named as the counts are replaced; all others are passed on."""
+    docs = docs.drop(*counts)
     drops = _later_runs(docs, min_words).select(F.col("doc_id").alias("_drops_doc"), F.col("text_key").alias("_drops_key"), F.col("drops").alias(_DROPS))
     joined = docs.join(drops, (F.col("doc_id") == F.col("_drops_doc")) & (F.xxhash64("text") == F.col("_drops_key")), "left").drop("_drops_doc", "_drops_key")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_removed long"
-    return joined.mapInArrow(_without_lines, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{counts[0]}` long, `{counts[1]}` long"
+    return joined.mapInArrow(_without_lines(counts), schema)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit
@@ -255,3 +255,13 @@ def _block_links(mates: DataFrame, texts: DataFrame, first: DataFrame, percent:
         torn.join(parts, "band").withColumn("own", own).select("band", F.col("rep").alias("doc_id"), "component", F.explode(meets).alias("meet")).select("band", "doc_id", "component", "meet.*")
     )
     return blocks.join(texts, "doc_id").groupBy("band", "kind", "i", "j").applyInArrow(_confirm_blocks(percent), "a long, b long").distinct()
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents, all columns, without those that ``near_duplicates`` does not keep, and of several rows of one doc_id the one with the least text,
+    a null text first. Rows without doc_id stay."""
+    docs = docs.join(sized(near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+    twice = sized(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id"))
+    order = Window.partitionBy("doc_id").orderBy("text", *[F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.simpleString() in ("string", "bigint", "int", "double")])
+    first = docs.join(twice, "doc_id", "left_semi").withColumn("_place_of_row", F.row_number().over(order)).where("_place_of_row = 1")
+    return docs.join(twice, "doc_id", "left_anti").select(docs.columns).unionAll(first.select(docs.columns))

@@ -155,17 +155,23 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, limit_byt
     return Model.fit(rows["text"].tolist(), rows["quality"].to_numpy(np.int64))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents (doc_id, text) to doc_id, held_out, score and predicted (1 if score >= threshold).
-
-    A null, empty or blank-line-only text gets the score of even odds. held_out is false for a null doc_id. Repeated rows are scored
-    each. Other columns of both tables are ignored."""
-    model = train(docs, labels)
+def with_score(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """The documents, all columns, with their score as one more column, which replaces one of that name. The model is fitted on documents with a doc_id; every
+    row has a score, also with a null or repeated doc_id."""
+    model, docs = train(docs, labels), docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in textkit.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(model.scores(data, offsets), pa.float64())], ["doc_id", "held_out", "score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(model.scores(data, offsets), pa.float64())], [*rows.schema.names, name])
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` double")
 
-    scored = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Documents (doc_id, text) to doc_id, held_out, score and predicted (1 if score >= threshold).
+
+    A null, empty or blank-line-only text gets the score of even odds. held_out is false for a null doc_id. Repeated rows are scored
+    each. Other columns of both tables are ignored."""
+    scored = with_score(docs.select(F.col("doc_id").cast("long"), "text"), labels, "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -89,3 +89,35 @@ def test_first_places_in_other_texts(spark):
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["start"], r["n_words"], r["source_doc_id"]) for r in got} >= {(101, 60, 70, 100), (102, 60, 70, 100)}
     assert all(r["source_doc_id"] >= 100 for r in got)
+
+
+@pytest.mark.parametrize("n_edits", [0, 1])
+def test_recall_of_edited_passages(spark, n_edits):
+    """Passages of 60 to 120 words shared by two texts, with a word replaced, put in or left out anywhere: nine in ten are found at the least, all if they are equal."""
+    rng = random.Random(20 + n_edits)
+    rows, pairs = [], []
+    for k in range(60):
+        words = prose(rng, rng.randrange(60, 121))
+        other = edited(rng, words, [("swap", "in", "out")[k % 3]] * n_edits)
+        if jaccard(tokens_of(words), tokens_of(other)) < 0.8:
+            continue
+        around = lambda x: " ".join(prose(rng, rng.randrange(0, 80)) + x + prose(rng, rng.randrange(0, 80)))
+        rows += [(2 * k, around(words)), (2 * k + 1, around(other))]
+        pairs.append((2 * k + 1, 2 * k, len(other)))
+    got = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        key = r["doc_id"], r["source_doc_id"]
+        got[key] = max(got.get(key, 0), r["n_words"])
+    found = sum(got.get((a, b), 0) >= 50 for a, b, _ in pairs)
+    assert len(pairs) > 50 and found >= (0.9 if n_edits else 1) * len(pairs)
+    if not n_edits:
+        assert all(got[a, b] >= n for a, b, n in pairs)
+
+
+def test_loops(spark):
+    """A text of one word over and over is a repeat as a whole, in its own text and of another; a loop at the end of a passage belongs to it."""
+    rng = random.Random(9)
+    shared = prose(rng, 60)
+    rows = [(0, "one " * 80), (1, "one " * 300), (2, " ".join(prose(rng, 30) + shared + ["end"] * 20)), (3, " ".join(shared + ["end"] * 90 + prose(rng, 30)))]
+    got = {(r["doc_id"], r["source_doc_id"]): r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, 0]["n_words"] == 300 and got[0, 0]["n_words"] >= 79 and got[3, 2]["n_words"] == 150
