@@ -11,40 +11,50 @@ from pyspark.sql import functions as F
 
 from lectern.llm import decontam, line_dedup, near_dedup, quality
 from lectern.llm.queries import packed_documents, table
-from lectern.llm.tables import sized, written
+from lectern.llm.tables import written
 
 #: Near copies of this similarity of five-word shingles are dropped. A pair at 0.8 shares no band with probability 5e-5.
 SIMILAR_PERCENT = 80
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among the rejected ones; rows without a doc_id stay."""
-    return docs.join(sized(rejected.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects."""
-    return _without(docs, quality.score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    """Drops the documents that the quality classifier rejects.
+
+    Each row is judged by its own text, also with a null or repeated doc_id; null and empty texts have the score of even odds, which the learned share
+    of good documents decides. An empty table stays empty, and without labels every row has score 0.5 and stays. Extra columns are passed on."""
+    return quality.with_score(docs, table(spark, sf_dir, "labels"), "_quality_score").where(F.col("_quality_score") >= quality.THRESHOLD).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of lines, and the documents of which no word is left."""
-    edited = line_dedup.edited_documents(docs)
-    return edited.withColumn("n_chars", F.length("text").cast("long")).where("n_removed = 0 OR text RLIKE '[^ \\\\t-\\\\r]'").select(docs.columns)
+    """Deletes later repeated runs of lines, and the documents of which no word is left; n_chars is counted anew.
+
+    Null, empty and blank texts and rows without a doc_id stay as they are. Rows of one doc_id and one text are one document, so neither loses lines to the
+    other. An empty table stays empty. Extra columns are passed on, also those named as the operator's own counts."""
+    edited = line_dedup.edited_documents(docs, counts=("_stage_lines", "_stage_removed"))
+    left = edited.where("_stage_removed = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near-duplicates."""
-    return _without(docs, near_dedup.near_duplicates(docs, SIMILAR_PERCENT).where("NOT kept"))
+    """Keeps the first document of each group of near-duplicates, and one row of each doc_id.
+
+    Null, empty and blank texts are like nothing and stay, as do rows without a doc_id. An empty table stays empty. Extra columns are passed on."""
+    return near_dedup.one_of_each(docs, SIMILAR_PERCENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
-    return _without(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    """Drops the documents that hold a benchmark item.
+
+    Null, empty and short texts hold none. All rows of a doc_id go if one of them holds an item; rows without a doc_id stay. An empty table on either
+    side drops nothing. Extra columns are passed on."""
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of token ids."""
+    """Packs the documents into sequences of token ids.
+
+    A null, empty or blank text is one piece of the end id alone. Each row is packed, also with a null or repeated doc_id. An empty table gives no pieces.
+    The result has the columns of ``packed_documents``, none of the documents' own."""
     return packed_documents(docs)
 
 
