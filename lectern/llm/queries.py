@@ -50,8 +50,9 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """Where each piece of each document goes, with a checksum of its ids, read back from the sequences."""
-    return packing.placements(written(packing.pack_documents(docs, word_tokenizer()), "sequences"))
+    """Where each piece of each document goes, with a checksum of its ids: those of ``packing.placements``, without moving the ids to their sequences."""
+    pieces = packing.token_pieces(docs, word_tokenizer())
+    return packing.pack(written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

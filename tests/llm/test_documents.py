@@ -276,6 +276,8 @@ def test_packed_ids(spark, corpus):
             assert at == p["offset"] and got[at : at + p["length"]] == ids[p["start"] : p["start"] + p["length"]]
             at += p["length"]
         assert at == len(got)
+    read_back = packing.placements(packing.pack_documents(table(spark, some), word_tokenizer())).drop("sequence_id", "offset").collect()
+    assert collections.Counter(map(tuple, read_back)) == collections.Counter(map(tuple, packed_documents(table(spark, some)).drop("sequence_id", "offset").collect()))
 
 
 def test_packing_passes_other_columns_on(spark):
