@@ -240,15 +240,23 @@ def _block_links(mates: DataFrame, texts: DataFrame, first: DataFrame, percent:
     def blocks_of(side: Column) -> Column:
         return F.ceil(F.greatest(F.count_if(side) / BLOCK, F.coalesce(F.sum(F.when(side, F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
 
-    parts = torn.groupBy("band").agg(blocks_of(F.col("is_main")).alias("mains"), blocks_of(~F.col("is_main")).alias("others"))
+    # the star has compared all with the centre: its component matters if it has more members here, the others if they are in several components
+    other = F.when(~F.col("is_main"), F.col("component"))
+    asked = torn.groupBy("band").agg(
+        blocks_of(F.col("is_main")).alias("mains"),
+        blocks_of(~F.col("is_main")).alias("others"),
+        (F.count_if("is_main") > 1).alias("with_mains"),
+        (F.min(other) < F.max(other)).alias("among_others"),
+    )
+    parts = sized(asked.where("with_mains OR among_others"))
     # rows of the centre's component meet only the others; the others also meet each other
     own = _split("rep", F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
-    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    up_to = lambda n, wanted: F.when(F.col(wanted), F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-    meets = F.when(F.col("is_main"), F.transform(up_to(F.col("others")), lambda j: pair("m", F.col("own"), j))).otherwise(
+    meets = F.when(F.col("is_main"), F.transform(up_to(F.col("others"), "with_mains"), lambda j: pair("m", F.col("own"), j))).otherwise(
         F.concat(
-            F.transform(up_to(F.col("mains")), lambda i: pair("m", i, F.col("own"))),
-            F.transform(up_to(F.col("others")), lambda j: pair("o", F.least(F.col("own"), j), F.greatest(F.col("own"), j))),
+            F.transform(up_to(F.col("mains"), "with_mains"), lambda i: pair("m", i, F.col("own"))),
+            F.transform(up_to(F.col("others"), "among_others"), lambda j: pair("o", F.least(F.col("own"), j), F.greatest(F.col("own"), j))),
         )
     )
     blocks = (

@@ -117,7 +117,7 @@ def shingle_hashes(hashes: np.ndarray, per: np.ndarray, size: int) -> tuple[np.n
     factors = mix64(np.arange(1, size + 1, dtype=np.uint64), 77) | np.uint64(1)
     summed = np.zeros(n, np.uint64)
     left = np.repeat(np.cumsum(per), per) - np.arange(n)  # words from here to the text's end
-    for k in range(size):
+    for k in range(min(size, n)):
         part = hashes[k:] * factors[k]
         summed[: n - k] += np.where(left[: n - k] > k, part, np.uint64(0))
     short = (per > 0) & (per < size)

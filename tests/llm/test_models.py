@@ -170,3 +170,14 @@ def test_many_languages(spark):
     rows = [(i, " ".join(random.Random(i).choices(words[names[i % 70]], k=25)), names[i % 70]) for i in range(1400)]
     got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert {r["lang_pred"] for r in got} == set(names) and sum(r["lang_pred"] == names[r["doc_id"] % 70] for r in got) > 1380
+
+
+@pytest.mark.parametrize("n_words", range(8))
+def test_shingles_of_few_words(n_words):
+    import pyarrow as pa
+
+    from lectern.llm import textkit
+
+    data = textkit.raw(textkit.texts_of(pa.array([" ".join("abcdefgh"[:n_words]), "", None], pa.string())))
+    hashes, per = textkit.shingle_hashes(*textkit.word_hashes(*data), 5)
+    assert per.tolist() == [min(n_words, 1) if n_words < 5 else n_words - 4, 0, 0] and len(np.unique(hashes)) == len(hashes) == per.sum()

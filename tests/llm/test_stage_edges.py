@@ -6,6 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from lectern.llm import quality
 
 SF = "/root/testdata/sf0.001"
 EXTRA = "n_lines long, n_removed long, before string, part string, rank int, score double, predicted int, component_id long, kept boolean, length long, ids binary, key string"
@@ -42,12 +43,15 @@ def test_columns_and_empty_table(spark, rows, name, stage):
     assert stage(spark, docs.limit(0), SF).collect() == []
 
 
-def test_quality_judges_each_row(spark, rows):
-    kept = of(corpus_pipeline.keep_good(spark, frame(spark, rows), SF))
-    junk = "\n".join("#$% !!! " * 12 for _ in range(5))
-    with_junk = of(corpus_pipeline.keep_good(spark, frame(spark, [*rows, (None, junk), (90, junk)]), SF))
-    assert with_junk == kept and kept <= collections.Counter(rows)
-    assert kept[None, rows[0][1]] == 1 and kept[0, rows[0][1]] == 3  # a good text stays, with an id, without one and repeated
+def test_quality_judges_each_row(spark):
+    """Rows without an id and repeated rows too; the model learns from the given table, whose ids the labels have."""
+    given, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    by_score = given.join(quality.score_quality(given, labels), "doc_id").where("text <> ''").orderBy("score").select("doc_id", "text").collect()
+    worst, best = by_score[0], by_score[-1]
+    docs = frame(spark, [*((r["doc_id"], r["text"]) for r in given.collect()), (None, worst["text"]), (None, best["text"]), (-5, None), (-6, ""), tuple(worst), tuple(best)])
+    out = of(corpus_pipeline.keep_good(spark, docs, SF))
+    assert out.total() == quality.score_quality(docs, labels).where("predicted = 1").count()
+    assert out[None, best["text"]] == 1 and out[tuple(best)] == 2 and not out[None, worst["text"]] and not out[tuple(worst)]
 
 
 def test_lines_of_repeated_rows(spark, rows):
