@@ -65,6 +65,18 @@ def _(c):
     return sqlite.scan_snapshots(snapshots, "kjv", "engs string, chap int, sec int, txt string", {"engs": BOOK})
 
 
+@query("sqlite_split_scan", "SELECT * FROM verses_tagged WHERE chap BETWEEN 3 AND 40", "verses_tagged")
+def _(c):
+    folder = landing_folder(c.spark, "snapshot-files").removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError("SQLite reads mounted files only; use sqlite_scan for other stores")
+    sqlite.write_files(sqlite.to_snapshots(c.verses_tagged, "kjv", [*KEY, "txt"]), folder)
+    c.spark.dataSource.register(sqlite.SqliteSnapshot)
+    reader = c.spark.read.format("sqlite_snapshot").schema("engs string, chap int, sec int, txt string").option("path", folder).option("table", "kjv")
+    pushdown = c.spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return reader.option("pushdown", pushdown).load().where("chap BETWEEN 3 AND 40")
+
+
 #: Columns of the tables in order, with Spark's type names (fixed values).
 _COLUMNS = {
     "region": "r_regionkey int, r_name string",

@@ -1,13 +1,14 @@
 """SQLite snapshots as a Spark source.
 
 ``snapshot_files`` reads whole snapshot files from any store that Spark reads, one
-task per file. ``SqliteSnapshot`` is a Python data source for one large file on a
-path that all executors see: it splits the file by rowid ranges and evaluates
+task per file. ``SqliteSnapshot`` is a Python data source for large files on a
+path that all executors see: it splits each file by rowid ranges and evaluates
 simple comparisons inside SQLite.
 """
 
 from __future__ import annotations
 
+import glob
 import os
 import sqlite3
 from collections.abc import Iterator
@@ -58,6 +59,27 @@ def _content(db: sqlite3.Connection) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([db.serialize()], pa.binary())], ["content"])
 
 
+def write_files(snapshots: DataFrame, folder: str) -> int:
+    """Writes snapshots (binary column ``content``) as files in a folder that all executors mount, and returns how many. A task that runs again writes its
+    files again under the same names."""
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = 0
+        for batch in batches:
+            for content in batch.column("content"):
+                name = f"{folder}/snapshot-{TaskContext.get().partitionId():05d}-{number:05d}.db"
+                with open(f"{name}.{os.getpid()}", "wb") as file:
+                    file.write(content.as_py())
+                os.replace(file.name, name)
+                number += 1
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], ["n"])
+
+    return snapshots.select("content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def scan_snapshots(snapshots: DataFrame, table: str, schema: str, where: dict[str, object] | None = None) -> DataFrame:
     """The rows of a table in snapshots with a binary column ``content``; equalities in ``where`` are evaluated inside SQLite."""
     fields = StructType.fromDDL(schema)
@@ -86,35 +108,33 @@ def snapshot_files(spark: SparkSession, path: str, table: str, schema: str, wher
 
 
 class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    def __init__(self, path: str, low: int, high: int):
+        self.path, self.low, self.high = path, low, high
 
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, table: str, schema: StructType, partitions: int | None):
         self.path, self.table, self.schema, self.n, self.clauses = path, table, schema, partitions, []
 
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            op = _OPS.get(type(f))
-            if op and len(f.attribute) == 1 and isinstance(f.value, (int, float, str)):
-                self.clauses.append((f"{quoted(f.attribute[0])} {op} ?", f.value))
-            else:
-                yield f
-
     def partitions(self):
-        db = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-        low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
-        if low is None:
-            return [_Range(0, -1)]
-        n = self.n or max(4, os.path.getsize(self.path) // BYTES_PER_TASK)
-        step = max(1, -(-(high - low + 1) // n))
-        return [_Range(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
+        files = sorted(glob.glob(f"{glob.escape(self.path)}/*.db")) if os.path.isdir(self.path) else [self.path]
+        found = []
+        for path in files:
+            db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
+            db.close()
+            if low is not None:
+                n = self.n or max(4 if len(files) == 1 else 1, os.path.getsize(path) // BYTES_PER_TASK)
+                step = max(1, -(-(high - low + 1) // n))
+                found += [_Range(path, a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
+        return found or [_Range(self.path, 0, -1)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        db, arrow = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True), to_arrow_schema(self.schema)
+        if partition.high < partition.low:
+            return
+        db, arrow = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True), to_arrow_schema(self.schema)
         more = "".join(f" AND {c}" for c, _ in self.clauses)
         sql = f"SELECT {', '.join(map(quoted, self.schema.names))} FROM {quoted(self.table)} WHERE rowid BETWEEN ? AND ?{more}"
         cursor = db.execute(sql, [partition.low, partition.high, *[v for _, v in self.clauses]])
@@ -122,15 +142,28 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
+class _PushingReader(_Reader):
+    """Spark accepts this method only where pushdown is on."""
+
+    def pushFilters(self, filters: list[Filter]):
+        for f in filters:
+            op = _OPS.get(type(f))
+            if op and len(f.attribute) == 1 and isinstance(f.value, (int, float, str)):
+                self.clauses.append((f"{quoted(f.attribute[0])} {op} ?", f.value))
+            else:
+                yield f
+
+
 class SqliteSnapshot(DataSource):
-    """``spark.read.format("sqlite_snapshot").schema(...).option("path", ...).option("table", ...)``; option ``partitions`` defaults to one for every 64 MB
-    of the file, 4 at least. Rows come in Arrow batches.
+    """``spark.read.format("sqlite_snapshot").schema(...).option("path", ...).option("table", ...)``; path is a file or a folder of ``.db``
+    files; option ``partitions``, of each file, defaults to one for every 64 MB, 4 at least for a single file. Rows come in Arrow batches.
 
-    Filters are pushed down with ``spark.sql.python.filterPushdown.enabled``."""
+    With option ``pushdown`` set to true, which needs ``spark.sql.python.filterPushdown.enabled``, simple comparisons are evaluated inside SQLite."""
 
     @classmethod
     def name(cls) -> str:
         return "sqlite_snapshot"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options["table"], schema, int(self.options.get("partitions", "0")) or None)
+        reader = _PushingReader if self.options.get("pushdown", "false").lower() == "true" else _Reader
+        return reader(self.options["path"], self.options["table"], schema, int(self.options.get("partitions", "0")) or None)

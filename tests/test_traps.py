@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
 from lectern.operators import align, lexicon, lookup, nesting, parallel
+from lectern.operators.numbering import numbered
 from lectern.plans.views import Corpus
 from lectern.sources import corpus_json, payloads, sqlite
 
@@ -114,6 +115,12 @@ def test_sqlite_source(spark, tmp_path):
     df = spark.read.format("sqlite_snapshot").schema(V).option("path", path).option("table", "kjv").load()
     assert df.rdd.getNumPartitions() == 4 and df.count() == 57
     assert df.where("chap = 3 AND sec >= 5").count() == 5
+    pushing = spark.read.format("sqlite_snapshot").schema(V).option("path", path).option("table", "kjv").option("pushdown", "true").load()
+    assert pushing.where("chap = 3 AND sec >= 5").count() == 5 and pushing.where("txt IS NULL").count() == 1
+    parts = sqlite.to_snapshots(df, "kjv", ["engs", "chap", "sec", "txt"], 10)
+    assert sqlite.write_files(parts, str(tmp_path / "files")) == 8  # four partitions of 15, 15, 15 and 12 rows, ten in a file
+    folder = spark.read.format("sqlite_snapshot").schema(V).option("path", str(tmp_path / "files")).option("table", "kjv").load()
+    assert folder.exceptAll(df).isEmpty() and df.exceptAll(folder).isEmpty()
     assert df.where("txt IS NULL").count() == 1
     assert spark.read.format("sqlite_snapshot").schema("engs string").option("path", path).option("table", "empty").load().count() == 0
     assert sqlite.snapshot_files(spark, path, "kjv", V, {"chap": 5}).count() == 7
@@ -125,3 +132,23 @@ def test_corpus_round_trip(spark, tmp_path):
     back = corpus_json.read_corpus_json(spark, str(tmp_path / "out")).drop("version")
     want = lookup.canonical_join(c.verses_tagged, c.main).drop("id")
     assert back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty()
+
+
+def test_stored_tables_are_pruned(spark):
+    c = Corpus(spark, SF)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    chapter = plan(lookup.chapter_verses(c.stored("verses_tagged"), "NATION_19", 1))
+    assert "(engs" in chapter.split("PartitionFilters")[1] and "EqualTo(chap,1)" in chapter and "lineitem" not in chapter
+    assert "GreaterThanOrEqual(num,40)" in plan(lexicon.lexicon_range(c.stored("lexicon"), 40, 120))
+    assert "EqualTo(sn,00013a)" in plan(lexicon.lexicon_entry(c.stored("lexicon"), "00013a"))
+    assert c.stored("verses_tagged").exceptAll(c.verses_tagged).isEmpty() and c.verses_tagged.exceptAll(c.stored("verses_tagged")).isEmpty()
+
+
+def test_numbered_over_many_ranges(spark):
+    rows = [(None if k % 5 == 4 else k % 5, k * 7919 % 1000) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g int, x int").repartition(7)
+    got = numbered(df, "g", ["x"], "place").collect()
+    for g in (0, 1, 2, 3, None):
+        own = sorted((r["place"], r["x"]) for r in got if r["g"] == g)
+        assert [p for p, _ in own] == list(range(1, 601)) and [x for _, x in own] == sorted(x for h, x in rows if h == g)
+    assert numbered(df.limit(0), "g", ["x"], "place").collect() == []
