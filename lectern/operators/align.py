@@ -1,8 +1,8 @@
 """Concordance, and word alignment between a tagged and an untagged version.
 
 The translation table is estimated by expectation maximisation (Model 1 of Brown
-et al., 1993): fixed rounds of one join and two grouped sums, each round's table
-written once.
+et al., 1993): rounds of one join and two grouped sums, each round's table
+written once. Rounds end at a number, or before when no probability moves by more than a given change.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from lectern.functions import text as fn
 from lectern.sources.landing import landed
 
 KEY = ["engs", "chap", "sec"]
-ROUNDS = 2
+ROUNDS = 5
 DIGITS = 6
+#: A translation table is sent to all executors up to so many rows, about 40 MB; beyond that it is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def tag_table(v: DataFrame) -> DataFrame:
@@ -80,31 +82,37 @@ def candidate_pairs(tagged: DataFrame, plain: DataFrame) -> DataFrame:
     return _words(plain).join(numbers, KEY)
 
 
-def model1_em(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """word, sn, p: the probability of a word given a number."""
-    place = Window.partitionBy(*KEY, "pos")
-    weighted = pairs.withColumn("p", F.lit(1.0))
-    for k in range(rounds):
-        if k:
-            weighted = pairs.join(table, ["word", "sn"])
+def _sized(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def model1_em(pairs: DataFrame, rounds: int = ROUNDS, change: float = 0.0) -> DataFrame:
+    """word, sn, p: the probability of a word given a number, after ``rounds`` rounds, or fewer if none has moved by more than ``change``."""
+    place, table = Window.partitionBy(*KEY, "pos"), None
+    for _ in range(rounds):
+        weighted = pairs.join(_sized(table), ["word", "sn"]) if table else pairs.withColumn("p", F.lit(1.0))
         share = weighted.withColumn("w", F.col("times") * F.col("p") / F.sum(F.col("times") * F.col("p")).over(place))
         counts = share.groupBy("word", "sn").agg(F.sum("w").alias("c"))
         totals = counts.groupBy("sn").agg(F.sum("c").alias("t"))
-        table = landed(counts.join(totals, "sn").select("word", "sn", (F.col("c") / F.col("t")).alias("p")), "model1")
+        before, table = table, landed(counts.join(totals, "sn").select("word", "sn", (F.col("c") / F.col("t")).alias("p")), "model1")
+        if change and before:
+            moved = table.join(before.withColumnRenamed("p", "q"), ["word", "sn"]).agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0]
+            if (moved or 0.0) <= change:
+                break
     return table
 
 
 def ranked_candidates(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """The numbers of each word place from the likeliest; probabilities are rounded first, and ties go to the smaller number."""
     place = Window.partitionBy(*KEY, "pos").orderBy(F.desc("p"), "sn")
-    rounded = pairs.join(table, ["word", "sn"]).withColumn("p", F.round("p", DIGITS))
+    rounded = pairs.join(_sized(table), ["word", "sn"]).withColumn("p", F.round("p", DIGITS))
     return rounded.withColumn("rank", F.row_number().over(place)).withColumn("next_p", F.lead("p").over(place))
 
 
 def best_alignment(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """The likeliest number of each word place, by one grouped minimum."""
     likelier = F.struct((-F.round("p", DIGITS)).alias("less"), "sn")
-    best = pairs.join(table, ["word", "sn"]).groupBy(*KEY, "pos", "word").agg(F.min(likelier).alias("b"))
+    best = pairs.join(_sized(table), ["word", "sn"]).groupBy(*KEY, "pos", "word").agg(F.min(likelier).alias("b"))
     return best.select(*KEY, "pos", "word", "b.sn", (-F.col("b.less")).alias("p"))
 
 

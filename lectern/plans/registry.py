@@ -635,17 +635,21 @@ def _(c):
     return align.cooccurrence(c.verses_tagged, c.verses_b)
 
 
+def _em_round(k: int) -> str:
+    """One round of expectation maximisation: the table t of round k from that of the round before."""
+    p, known = ("t.p", f" JOIN t{k - 1} t ON q.word = t.word AND q.sn = t.sn") if k > 1 else ("1.0::DOUBLE", "")
+    return f"""c{k} AS (SELECT word, sn, sum(w) AS c FROM (SELECT q.word, q.sn, q.times * {p} / sum(q.times * {p}) OVER (PARTITION BY engs, chap, sec, pos) AS w FROM pairs q{known}) GROUP BY 1, 2),
+t{k} AS (SELECT word, sn, c / sum(c) OVER (PARTITION BY sn) AS p FROM c{k})"""
+
+
 _EM = """last AS (SELECT engs, chap, sec, max(pos) AS n FROM tagged_tokens GROUP BY 1, 2, 3),
 places AS (SELECT t.engs, t.chap, t.sec, CAST(l.n + 1 - t.pos AS INT) AS pos, t.word_b AS word, t.lang || t.num AS gold FROM tagged_tokens t JOIN last l ON t.engs = l.engs AND t.chap = l.chap AND t.sec = l.sec),
 numbers AS (SELECT engs, chap, sec, lang || num AS sn, count(*) AS times FROM tagged_tokens GROUP BY 1, 2, 3, 4),
 pairs AS (SELECT p.engs, p.chap, p.sec, p.pos, p.word, n.sn, n.times FROM places p JOIN numbers n ON p.engs = n.engs AND p.chap = n.chap AND p.sec = n.sec),
-c1 AS (SELECT word, sn, sum(w) AS c FROM (SELECT word, sn, times * 1.0::DOUBLE / sum(times) OVER (PARTITION BY engs, chap, sec, pos) AS w FROM pairs) GROUP BY 1, 2),
-t1 AS (SELECT word, sn, c / sum(c) OVER (PARTITION BY sn) AS p FROM c1),
-c2 AS (SELECT word, sn, sum(w) AS c FROM (SELECT q.word, q.sn, q.times * t.p / sum(q.times * t.p) OVER (PARTITION BY engs, chap, sec, pos) AS w FROM pairs q JOIN t1 t ON q.word = t.word AND q.sn = t.sn) GROUP BY 1, 2),
-t2 AS (SELECT word, sn, c / sum(c) OVER (PARTITION BY sn) AS p FROM c2),
+{rounds},
 ranked AS (SELECT engs, chap, sec, pos, word, sn, p, row_number() OVER w AS rank, lead(p) OVER w AS next_p FROM
-  (SELECT q.engs, q.chap, q.sec, q.pos, q.word, q.sn, round(t.p, 6) AS p FROM pairs q JOIN t2 t ON q.word = t.word AND q.sn = t.sn) WINDOW w AS (PARTITION BY engs, chap, sec, pos ORDER BY p DESC, sn)),
-best AS (SELECT engs, chap, sec, pos, word, sn, p FROM ranked WHERE rank = 1)"""
+  (SELECT q.engs, q.chap, q.sec, q.pos, q.word, q.sn, round(t.p, 6) AS p FROM pairs q JOIN t{last} t ON q.word = t.word AND q.sn = t.sn) WINDOW w AS (PARTITION BY engs, chap, sec, pos ORDER BY p DESC, sn)),
+best AS (SELECT engs, chap, sec, pos, word, sn, p FROM ranked WHERE rank = 1)""".format(rounds=",\n".join(map(_em_round, range(1, align.ROUNDS + 1))), last=align.ROUNDS)
 
 
 def _em(c: Corpus) -> tuple[DataFrame, DataFrame]:
@@ -653,7 +657,7 @@ def _em(c: Corpus) -> tuple[DataFrame, DataFrame]:
     return pairs, align.model1_em(pairs)
 
 
-@query("model1_em", f"WITH {_EM} SELECT word, sn, round(p, 6) AS p FROM t2", "tagged_tokens")
+@query("model1_em", f"WITH {_EM} SELECT word, sn, round(p, 6) AS p FROM t{align.ROUNDS}", "tagged_tokens")
 def _(c):
     return _em(c)[1].select("word", "sn", F.round("p", 6).alias("p"))
 

@@ -152,3 +152,15 @@ def test_numbered_over_many_ranges(spark):
         own = sorted((r["place"], r["x"]) for r in got if r["g"] == g)
         assert [p for p, _ in own] == list(range(1, 601)) and [x for _, x in own] == sorted(x for h, x in rows if h == g)
     assert numbered(df.limit(0), "g", ["x"], "place").collect() == []
+
+
+def test_model1_on_a_known_text(spark):
+    """One number stands in both verses and so goes with the word that does; rounds end when nothing moves any more."""
+    tagged = spark.createDataFrame([("a", 1, 1, "x<H101>y<H102>"), ("a", 1, 2, "x<H101>z<H103>")], V)
+    plain = spark.createDataFrame([("a", 1, 1, "la maison"), ("a", 1, 2, "la fleur")], V)
+    pairs = align.candidate_pairs(tagged, plain)
+    p = [{(r["word"], r["sn"]): r["p"] for r in align.model1_em(pairs, rounds).collect()} for rounds in (1, 2, 5)]
+    assert p[0]["la", "H101"] == 0.5 and p[0]["la", "H101"] < p[1]["la", "H101"] < p[2]["la", "H101"] and p[2]["maison", "H102"] > 0.7
+    stopped = align.model1_em(pairs, 40, 0.05)
+    assert {r["word"]: r["sn"] for r in align.best_alignment(pairs, stopped).collect()} == {"la": "H101", "maison": "H102", "fleur": "H103"}
+    assert align.model1_em(pairs.limit(0)).collect() == []
