@@ -235,7 +235,7 @@ def _block_links(mates: DataFrame, texts: DataFrame, first: DataFrame, percent:
     placed = mates.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     centre = F.max(F.when(F.col("rep") == F.col("centre"), F.col("component")))
     torn = placed.groupBy("band").agg(centre.alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "main")
-    torn = written(placed.join(torn, "band").select("band", "rep", "n_shingles", "component", (F.col("component") == F.col("main")).alias("is_main")), "torn")
+    torn = written(placed.join(sized(torn), "band").select("band", "rep", "n_shingles", "component", (F.col("component") == F.col("main")).alias("is_main")), "torn")
 
     def blocks_of(side: Column) -> Column:
         return F.ceil(F.greatest(F.count_if(side) / BLOCK, F.coalesce(F.sum(F.when(side, F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
