@@ -12,6 +12,7 @@ at a time. Pieces find their place by their rank among the pieces of the same le
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,8 @@ class LatinIds(ChunkIds):
     def __init__(self, tokenizer):
         super().__init__(tokenizer)
         self.split, self.merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+        #: How the split writes each letter outside ASCII; words of letters stay whole.
+        self.letters = {k: "".join(x for x, _ in self.split(chr(k))) for k in range(0xA0, 0x100) if chr(k).isalpha()}
 
     def __missing__(self, chunk: str) -> bytes:
         if len(chunk) > 64 or max(chunk) > "\xff" or "|" in chunk[:-1]:  # the last may hold an added token's string
@@ -77,8 +80,9 @@ class LatinIds(ChunkIds):
         elif found := _WORD_AND_SIGNS.fullmatch(low):
             ids = self[found[1]] + self[found[2]]
         else:
-            parts = [low] if low.isascii() and low.isalpha() else [x for x, _ in self.split(low)]
-            ids = np.array([t.id for x in parts for t in self.merge(x)], "<u4").tobytes()
+            parts = [low.translate(self.letters)] if low.isalpha() else [x for x, _ in self.split(low)]
+            found = [t.id for x in parts for t in self.merge(x)]
+            ids = struct.pack(f"<{len(found)}I", *found)
         self[chunk] = ids
         return ids
 
