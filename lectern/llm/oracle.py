@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import chat, decontam, line_dedup, rules
+from lectern.llm import centroids, chat, decontam, line_dedup, rules
 
 _SPACE = "[\\x20\\x09-\\x0D]"
 _WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}+'), lambda w: w <> '')"
@@ -92,9 +92,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     NOT base_failed AND (chars < {rules.MIN_CHARS} OR char_distance <= {rules.MAX_CHAR_DISTANCE}) AND (n_words < {rules.MIN_COUNTED_WORDS} OR word_distance <= {rules.MAX_WORD_DISTANCE}) AS kept FROM failed"""
 
 
+def _clusters() -> str:
+    """Whole distances and means in every round."""
+    n = centroids.COMPONENTS
+    parts = [
+        f"""WITH kept AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+FROM embeddings WHERE len(embedding) = {n} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {n}),
+hashed AS (SELECT sha256('{centroids.SEED}:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT {centroids.CLUSTERS}),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM hashed)"""
+    ]
+    for r in range(centroids.ROUNDS + 1):
+        parts.append(f"""a{r} AS (SELECT i, arg_min(k, (d, k)) AS k, min(d) AS d FROM
+(SELECT i, k, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, c{r}) GROUP BY i)""")
+        if r < centroids.ROUNDS:
+            parts.append(f"""s{r} AS (SELECT k, j, sum(v[j]) AS s, count(*) AS n FROM a{r} JOIN kept USING (i), range(1, {n + 1}) t(j) GROUP BY k, j),
+m{r} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM s{r} GROUP BY k),
+c{r + 1} AS (SELECT c{r}.k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON c{r}.k = m{r}.k)""")
+    a, c = f"a{centroids.ROUNDS}", f"c{centroids.ROUNDS}"
+    parts.append(f"facts AS (SELECT k, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM {a} GROUP BY k)")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, cluster_inertia, CAST((SELECT sum(d) FROM {a}) AS BIGINT) AS inertia,
+    sha256(array_to_string(c, ',')) AS centroid_sha256 FROM kept JOIN {a} USING (i) JOIN facts USING (k) JOIN {c} USING (k)"""
+
+
 ORACLE_SQL = {
     "op4_chat_formatting": _chat(),
     "op6_line_dedup": _lines(),
     "op7_quality_rules": _rules(),
     "op10_benchmark_decontamination": _leaks(),
+    "op12_centroid_clustering": _clusters(),
 }

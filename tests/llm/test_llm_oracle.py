@@ -15,4 +15,4 @@ def test_query(spark, name):
 
 def test_names():
     assert set(ORACLE_SQL) <= set(QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
