@@ -557,6 +557,16 @@ def _stream(c: Corpus) -> DataFrame:
     return readers.event_stream(c.spark, path)
 
 
+def _replayed(c: Corpus, operator, mode: str = "append") -> str:
+    """Lands the events in four slices of their time, runs the operator's stream after each, going on from its state, and closes it. Returns what it has put out."""
+    path, out, state = (landing_folder(c.spark, x) for x in ("events", "stream", "stream-state"))
+    for _ in readers.in_time_order(c.reader_events, path, 4):
+        readers.run_available(operator(readers.event_stream(c.spark, path, 10_000)), out, state, mode)
+    readers.close_stream(c.spark, path, "30 days", c.reader_events)
+    readers.run_available(operator(readers.event_stream(c.spark, path, 10_000)), out, state, mode)
+    return out
+
+
 def _subscribers(c: Corpus) -> DataFrame:
     """view has two subscribers, click one, other events none."""
     names = c.reader_events.select("event").distinct()
@@ -584,14 +594,15 @@ def _(c):
 
 @query("stream_latest_position", "SELECT session, arg_max(k, (ts, event_id)) AS chap FROM reader_events WHERE event = 'view' GROUP BY 1", "reader_events")
 def _(c):
-    return readers.drained(readers.stream_latest_position(_stream(c)), "complete")
+    return readers.positions(c.spark, _replayed(c, readers.session_positions, "update")).select("session", "chap")
 
 
 @query("stream_debounce", """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM reader_events WINDOW w AS (PARTITION BY session ORDER BY ts, event_id)),
     b AS (SELECT *, sum(fresh) OVER (PARTITION BY session ORDER BY ts, event_id) AS burst FROM g)
     SELECT session, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n_events FROM b GROUP BY session, burst""", "reader_events")
 def _(c):
-    return readers.drained(readers.stream_debounce(_stream(c)), "complete")
+    out = _replayed(c, lambda events: readers.stream_debounce(events, late="10 minutes"))
+    return c.spark.read.schema("session long, event_id long, n_events long").parquet(out)
 
 
 @query("stream_click_definition", "SELECT e.event_id, e.k AS num, x.sn, x.orig FROM reader_events e LEFT JOIN (SELECT * FROM lexicon WHERE dic_type = 1) x ON e.k = x.num WHERE e.event = 'click'", "reader_events", "lexicon")

@@ -6,10 +6,13 @@ joins the verse's key once. ``Corpus.stored`` has the texts and the lexicon as t
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.sources import store
-from lectern.sources.landing import landing_folder
+from lectern.sources.landing import landing_base
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -90,24 +93,20 @@ _DUCK_AGG = {
 }
 
 
-#: Paths of stored views by application, folder of tables and view.
-_STORED: dict[tuple[str, str, str], str] = {}
-
-
 class Corpus:
     """The views of one folder of tables as DataFrames."""
 
     def stored(self, name: str) -> DataFrame:
-        """A text view or the lexicon as a stored table, written at its first use in an application."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _STORED:
-            path = landing_folder(self.spark, name)
-            if name == "lexicon":
-                store.write_lexicon(self.lexicon, path)
-            else:
-                store.write_verses(getattr(self, name), name, path)
-            _STORED[key] = path
-        return store.read_lexicon(self.spark, _STORED[key]) if name == "lexicon" else store.read_verses(self.spark, _STORED[key], name)
+        """A text view or the lexicon as a stored table that follows the files of the tables below it; only books that have changed are written anew.
+
+        The table stands below ``spark.checkpoint.dir``, by the folder of tables and the view, so later applications find it too."""
+        path = f"{landing_base(self.spark)}/stored/{name}-{hashlib.sha256(self.sf_dir.encode()).hexdigest()[:16]}"
+        table = store.lexicon(self.spark, path) if name == "lexicon" else store.verses(self.spark, path)
+        rows = self.lexicon if name == "lexicon" else getattr(self, name).withColumn("version", F.lit(name))
+        table.refresh(rows, store.fingerprint(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in tables_below(name)]))
+        if name == "lexicon":
+            return table.read().select("sn", "num", "orig", "orig_alt", "txt", "dic_type")
+        return table.read().where(F.col("version") == name).select("engs", "chap", "sec", "txt")
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
@@ -128,6 +127,11 @@ class Corpus:
         return self._made[name]
 
 
+def tables_below(view: str) -> list[str]:
+    """The tables that a view reads, by itself or through other views."""
+    return [view] if view in TABLES else sorted({t for read in VIEWS[view][1] for t in tables_below(read)})
+
+
 def duck(body: str, *views: str) -> str:
     """DuckDB SQL: ``body`` below the definitions of the views that it reads."""
     order: list[str] = []

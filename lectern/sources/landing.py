@@ -8,16 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def landing_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset and Spark runs in one process, as in tests, below a temporary one."""
+def landing_base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset and Spark runs in one process, as in tests, a new temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = getattr(landing_folder, "own", None) or tempfile.mkdtemp(prefix="lectern-landing-")
-        landing_folder.own = base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = getattr(landing_base, "own", None) or tempfile.mkdtemp(prefix="lectern-landing-")
+        landing_base.own = base
+    return base.rstrip("/")
+
+
+def landing_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``landing_base``."""
+    return f"{landing_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:

@@ -17,10 +17,65 @@ def test_out_of_order_files(spark, tmp_path):
     df = events(spark, ROWS)
     df.repartitionByRange(3, "event_id").write.parquet(str(tmp_path / "in"))
     stream = readers.event_stream(spark, str(tmp_path / "in"))
-    got = readers.drained(readers.stream_latest_position(stream), "complete").collect()
-    assert got == [(1, 4)]
-    bursts = readers.drained(readers.stream_debounce(readers.event_stream(spark, str(tmp_path / "in")), "30 minutes"), "complete")
-    assert sorted(map(tuple, bursts.collect())) == [(1, 2, 3), (1, 3, 1), (2, 4, 1)]
+    readers.run_available(readers.session_positions(stream, "1 day"), str(tmp_path / "out"), str(tmp_path / "state"), "update")
+    assert [(r["session"], r["chap"]) for r in readers.positions(spark, str(tmp_path / "out")).collect()] == [(1, 4)]
+    assert sorted(map(tuple, readers.stream_debounce(df, "30 minutes").collect())) == [(1, 2, 3), (1, 3, 1), (2, 4, 1)]
+
+
+def test_bursts_are_put_out_once_and_their_state_dropped(spark, tmp_path):
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rows = [(k, 40 * (k // 5) + k % 5, k % 5, "view", k) for k in range(300)]
+    df, seen, totals = events(spark, rows), [], []
+
+    def go():
+        progress = readers.run_available(readers.stream_debounce(readers.event_stream(spark, source, 100), "30 minutes", "10 minutes"), out, state)
+        totals.append(readers.state_rows(progress)[-1])
+        return readers.late_rows(progress)
+
+    for _ in readers.in_time_order(df, source, 5):
+        assert go() == 0  # each is a restart
+        seen.append(spark.read.parquet(out).count())
+    assert seen == sorted(seen) and 0 < seen[1] < seen[-1] and max(totals) <= 15  # sessions that are open, not bursts there were
+    readers.close_stream(spark, source, "1 day", df)
+    assert go() == 0
+    got = spark.read.parquet(out)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, readers.stream_debounce(df, "30 minutes").collect()))
+    events(spark, [(999, 3, 1, "view", 1)]).write.mode("append").parquet(source)
+    assert go() == 1 and spark.read.parquet(out).count() == got.count()  # too late: dropped and counted
+
+
+def test_positions_expire_and_outlive_restarts(spark, tmp_path):
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    day = 24 * 60
+    rows = [(k, 60 * k, k // 6, "view" if k % 3 else "scroll", None if k == 7 else k) for k in range(240)] + [(500, 60 * 6, None, "view", 77)]
+    df, totals, written = events(spark, rows), [], []
+
+    def go():
+        progress = readers.run_available(readers.session_positions(readers.event_stream(spark, source, 100), "1 hour", "1 day"), out, state, "update")
+        totals.append(readers.state_rows(progress)[-1])
+        written.append(sum(p["sink"].get("numOutputRows", 0) for p in progress))
+        return readers.late_rows(progress)
+
+    for _ in readers.in_time_order(df, source, 5):
+        assert go() == 0
+    assert max(totals) <= 14 and len(set(r["session"] for r in df.collect())) == 41  # of one day and a slice, not of all days
+    got = readers.positions(spark, out)
+    assert sorted(map(str, got.collect())) == sorted(map(str, readers.latest_position(df).collect()))
+    rewritten = spark.read.parquet(out)
+    assert rewritten.count() < 2 * 41  # a batch writes the sessions that moved in it, not all
+    readers.close_stream(spark, source, "9 days", df)
+    assert go() == 0 and totals[-1] == 0
+    events(spark, [(700, 30 * day, 3, "view", 55), (701, 10, 3, "view", 1)]).write.mode("append").parquet(source)
+    assert go() == 1  # the second is behind the watermark
+    assert readers.positions(spark, out).where("session = 3").first()["chap"] == 55
+
+
+def test_a_replay_of_no_events(spark, tmp_path):
+    df = events(spark, [])
+    for _ in readers.in_time_order(df, str(tmp_path / "in"), 3):
+        progress = readers.run_available(readers.stream_debounce(readers.event_stream(spark, str(tmp_path / "in")), late="1 hour"), str(tmp_path / "out"), str(tmp_path / "state"))
+    readers.close_stream(spark, str(tmp_path / "in"), "1 day", df)
+    assert readers.late_rows(progress) == 0
 
 
 def test_restart_from_checkpoint(spark, tmp_path):
