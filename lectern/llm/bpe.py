@@ -17,16 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import textkit
 from lectern.llm.tables import written
 
 #: Bounds of the table of frequent words that all executors hold.
 TABLE_WORDS, TABLE_BYTES = 1_000_000, 32 << 20
 #: Ids are put together for about so many words, and pieces for so many ids, at a time.
-SLICE_WORDS = 1 << 19
+SLICE_WORDS = 1 << 17
+#: Rows of a batch that are filled or encoded at a time.
+SLICE_ROWS = 1000
 
 #: White space as the tokenizer counts it (fixed values).
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -72,16 +74,39 @@ def split_words(text: Column, added: list[str]) -> Column:
     return words
 
 
+def byte_of_char() -> dict[str, int]:
+    """The characters in which byte-level vocabularies write bytes: printable Latin-1 ones stand for themselves, the others for those from U+0100 on, in order."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+
+
+def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word, by which it is known: equal in both only if the words are, up to a chance of 2^-128."""
+    data, offsets = textkit.raw(textkit.texts_of(words))
+    first, second = (textkit.span_hashes(data, offsets[:-1], offsets[1:], k) for k in (0, 1))
+    length = np.diff(offsets).astype(np.uint64)  # zero bytes do not count in a span's hash
+    return textkit.mix64(first, 3) ^ textkit.mix64(length, 4), textkit.mix64(second, 5) + textkit.mix64(length, 6)
+
+
 def _encoded_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(path)
-        kind = _kind(tokenizer)
+        tokenizer, kind, added = tokenizer_of(path), _kind(tokenizer_of(path)), set(added_strings(path))
+        chars = {b: c for c, b in byte_of_char().items()}
+        merge = tokenizer.model.tokenize
+
+        def ids_of(word: str) -> bytes:
+            # a word needs no further split, so its bytes go straight to the merges
+            ids = [tokenizer.token_to_id(word)] if word in added else [t.id for t in merge(word.encode().decode("latin-1").translate(chars))]
+            return np.array(ids, kind).tobytes()
+
         for batch in batches:
-            column = batch.column("word")
-            for first in range(0, len(column), 20_000):
-                some = column.slice(first, 20_000)
-                ids = [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch(some.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([some, batch.column("n").slice(first, 20_000), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(first, SLICE_ROWS)
+                column = rows.column("word")
+                hashes = [pa.array(h.view(np.int64)) for h in word_hashes(column)]
+                ids = pa.array([ids_of(w) for w in column.to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([column, rows.column("n"), ids, *hashes], ["word", "n", "ids", "hash_a", "hash_b"])
 
     return run
 
@@ -92,9 +117,9 @@ def _kind(tokenizer) -> str:
 
 
 def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """Texts (words) to their distinct words, the number of occurrences and the ids: word, n, ids (binary)."""
+    """Texts (words) to their distinct words, the number of occurrences, the ids as bytes, and hashes: word, n, ids, hash_a, hash_b."""
     counts = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return written(counts.mapInArrow(_encoded_words(path), "word string, n long, ids binary"), "words")
+    return written(counts.mapInArrow(_encoded_words(path), "word string, n long, ids binary, hash_a long, hash_b long"), "words")
 
 
 def _level(n: Column) -> Column:
@@ -103,19 +128,35 @@ def _level(n: Column) -> Column:
 
 
 class Lookup:
-    """The frequent words and where their ids lie in one array."""
+    """The frequent words by their hashes, and where their ids lie in one array."""
 
     def __init__(self, table: pa.Table, kind: str):
-        table = table.combine_chunks()
-        self.words = table.column("word").combine_chunks() if table.num_rows else pa.array([], pa.string())
+        keys, more = (table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("hash_a", "hash_b"))
+        order = np.argsort(keys)
         ids = table.column("ids").to_pylist()
-        self.kind, self.pool = kind, np.frombuffer(b"".join(ids), kind)
-        self.lengths = np.array([len(x) // np.dtype(kind).itemsize for x in ids], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        ids = [ids[k] for k in order.tolist()]
+        self.keys, self.more, self.kind = keys[order], more[order], kind
+        self.pool = np.frombuffer(b"".join(ids), kind)
+        self.lengths = np.array([len(x) // np.dtype(kind).itemsize for x in ids], np.int32)
+        self.starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
+        # about one key for each value of the leading bits
+        self.bits = np.uint64(64 - max(1, len(keys).bit_length()))
+        self.first = np.searchsorted(self.keys >> self.bits, np.arange((1 << int(64 - self.bits)) + 1, dtype=np.uint64)).astype(np.int32)
 
     def find(self, words: pa.Array) -> np.ndarray:
         """The place of each word in the table, or -1."""
-        return pc.fill_null(pc.index_in(words, value_set=self.words.cast(words.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        a, b = word_hashes(words)
+        lead = (a >> self.bits).astype(np.int64)
+        place, end, found = self.first[lead], self.first[lead + 1], np.full(len(a), -1, np.int32)
+        open_ = np.flatnonzero(place < end)
+        while len(open_):
+            at = place[open_]
+            hit = (self.keys[at] == a[open_]) & (self.more[at] == b[open_])
+            found[open_[hit]] = at[hit]
+            open_ = open_[~hit]
+            place[open_] += 1
+            open_ = open_[place[open_] < end[open_]]
+        return found
 
 
 def _gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -144,11 +185,13 @@ def _rare(lookup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, offsets = _flat(batch.column("words"))
-            at = np.flatnonzero(lookup.value.find(words) < 0)
-            row = np.searchsorted(offsets, at, "right") - 1
-            first = np.searchsorted(row, row)
-            keys = [batch.column(k).take(pa.array(row)) for k in ("key_a", "key_b")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(len(at)) - first, pa.int32()), words.take(pa.array(at))], ["key_a", "key_b", "place", "word"])
+            for first, last in _row_slices(offsets, SLICE_WORDS):
+                own, here = words.slice(offsets[first], offsets[last] - offsets[first]), offsets[first : last + 1] - offsets[first]
+                at = np.flatnonzero(lookup.value.find(own) < 0)
+                row = np.searchsorted(here, at, "right") - 1
+                place = np.arange(len(at)) - np.searchsorted(row, row)
+                keys = [batch.column(k).take(pa.array(row + first)) for k in ("key_a", "key_b")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(place, pa.int32()), own.take(pa.array(at))], ["key_a", "key_b", "place", "word"])
 
     return run
 
@@ -160,11 +203,11 @@ def _partial(lookup, path: str):
         table, tokenizer = lookup.value, None
         for batch in batches:
             words, offsets = _flat(batch.column("words"))
-            found, odd = table.find(words), batch.column("odd").to_numpy(zero_copy_only=False)
+            odd = batch.column("odd").to_numpy(zero_copy_only=False)
             for first, last in _row_slices(offsets, SLICE_WORDS):
-                at, here = found[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+                at, here = table.find(words.slice(offsets[first], offsets[last] - offsets[first])), offsets[first : last + 1] - offsets[first]
                 pool, known = table.pool, at >= 0
-                starts, lengths = (np.where(known, x[np.maximum(at, 0)], 0) if len(x) else np.zeros(len(at), np.int64) for x in (table.starts, table.lengths))
+                starts, lengths = (np.where(known, x[np.maximum(at, 0)], 0).astype(np.int64) if len(x) else np.zeros(len(at), np.int64) for x in (table.starts, table.lengths))
                 for row in first + np.flatnonzero(odd[first:last]):
                     tokenizer = tokenizer or tokenizer_of(path)
                     k = here[row - first]
@@ -185,30 +228,30 @@ def _partial(lookup, path: str):
     return run
 
 
-def _filled(kind: str, id_type: pa.DataType):
+def _filled(kind: str):
     """Puts the ids of the other words where they belong, and turns bytes to numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.dtype(kind).itemsize
-        for batch in batches:
-            gaps, fills = batch.column("gaps"), batch.column("fills")
-            gaps, at = _flat(gaps)
-            gaps = gaps.to_numpy()
-            out, lengths = [], []
-            for row, ids in enumerate(batch.column("ids")):
-                ids = ids.as_buffer().to_pybytes()
-                if at[row] < at[row + 1]:
-                    parts, last = [], 0
-                    for gap, fill in zip((gaps[at[row] : at[row + 1]] * size).tolist(), fills[row].as_py(), strict=True):
-                        parts += (ids[last:gap], fill)
-                        last = gap
-                    ids = b"".join([*parts, ids[last:]])
-                out.append(ids)
-                lengths.append(len(ids) // size)
-            for first, last in _row_slices(np.cumsum([0, *lengths]), SLICE_WORDS):
-                flat = np.frombuffer(b"".join(out[first:last]), kind).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths[first:last]]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), lists], ["doc_id", "ids"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(start, SLICE_ROWS)
+                fills = batch.column("fills")
+                gaps, at = _flat(batch.column("gaps"))
+                gaps, out = gaps.to_numpy() * size, []
+                for row, ids in enumerate(batch.column("ids").to_pylist()):
+                    if at[row] < at[row + 1]:
+                        parts, last = [], 0
+                        for gap, fill in zip(gaps[at[row] : at[row + 1]].tolist(), fills[row].as_py(), strict=True):
+                            parts += (ids[last:gap], fill)
+                            last = gap
+                        ids = b"".join([*parts, ids[last:]])
+                    out.append(ids)
+                ends = np.cumsum([0, *(len(x) // size for x in out)])
+                for first, last in _row_slices(ends, SLICE_WORDS):
+                    flat = np.frombuffer(b"".join(out[first:last]), kind).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends[first : last + 1] - ends[first], pa.int32()), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), lists], ["doc_id", "ids"])
 
     return run
 
@@ -225,7 +268,7 @@ def encode(docs: DataFrame, path: str, table_words: int = TABLE_WORDS, table_byt
     odd = is_odd(text)
     split = docs.select("doc_id", text.alias("text"), odd.alias("odd")).select("doc_id", "text", "odd", F.when(F.col("odd"), F.array("text")).otherwise(split_words(F.col("text"), added)).alias("words"))
     table = word_table(split.where("NOT odd"), path)
-    levels = table.groupBy(_level(F.col("n")).alias("level")).agg(F.count("*").alias("words"), F.sum(F.octet_length("word") + F.octet_length("ids")).alias("bytes")).collect()
+    levels = table.groupBy(_level(F.col("n")).alias("level")).agg(F.count("*").alias("words"), F.sum(F.octet_length("ids") + 16).alias("bytes")).collect()
     least, words, size = None, 0, 0
     for row in sorted(levels, key=lambda r: -r["level"]):
         words, size = words + row["words"], size + row["bytes"]
@@ -233,7 +276,7 @@ def encode(docs: DataFrame, path: str, table_words: int = TABLE_WORDS, table_byt
             break
         least = row["level"]
     frequent = F.lit(False) if least is None else _level(F.col("n")) >= least
-    lookup = spark.sparkContext.broadcast(Lookup(table.where(frequent).select("word", "ids").toArrow(), kind))
+    lookup = spark.sparkContext.broadcast(Lookup(table.where(frequent).select("hash_a", "hash_b", "ids").toArrow(), kind))
     # a text is known by two hashes; only texts with rare words, which have few copies, are joined by them
     keyed = split.select("doc_id", "odd", "words", F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b"))
     partial = keyed.mapInArrow(_partial(lookup, path), f"doc_id {doc_type}, key_a long, key_b long, ids binary, gaps array<int>")
@@ -248,14 +291,7 @@ def encode(docs: DataFrame, path: str, table_words: int = TABLE_WORDS, table_byt
         partial = dealt.join(fills, ["key_a", "key_b", "n_gaps"], "left").select("doc_id", "ids", "gaps", "fills")
     else:
         partial = partial.select("doc_id", "ids", "gaps", F.lit(None).cast("array<binary>").alias("fills"))
-    return partial.mapInArrow(_filled(kind, pa.int32()), f"doc_id {doc_type}, ids array<int>")
-
-
-def byte_of_char() -> dict[str, int]:
-    """The characters in which byte-level vocabularies write bytes: printable Latin-1 ones stand for themselves, the others for those from U+0100 on, in order."""
-    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+    return partial.mapInArrow(_filled(kind), f"doc_id {doc_type}, ids array<int>")
 
 
 def pieces_of(path: str) -> dict[int, bytes]:
