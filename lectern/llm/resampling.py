@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit
@@ -29,8 +29,8 @@ from lectern.llm.tables import written
 
 BUCKETS, NGRAM, SEED = 10_000, 1, 2024
 MIN_WORDS, PERCENT = 20, 10
-#: A digit of the sort has so many bits, at most 16; a chunk at most so many rows.
-DIGIT_BITS, CHUNK_ROWS = 12, 1 << 18
+#: A digit of the sort has so many bits at most; a chunk so many rows.
+DIGIT_BITS, CHUNK_ROWS = 14, 1 << 18
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -136,7 +136,7 @@ def destinations(digit: np.ndarray, position: np.ndarray, begins: dict[int, int]
     """New positions of a chunk's rows by counting: where their digit begins, and their place among the equal ones in order of position."""
     order = np.empty(len(position), np.int64)
     order[position - position.min()] = np.arange(len(position))  # positions of a chunk have no gaps
-    by_digit = order[np.argsort(digit[order].astype(np.uint16), kind="stable")]  # a counting sort for numbers of 16 bits
+    by_digit = order[np.argsort(digit[order].astype(np.uint16 if digit.max() < 1 << 16 else np.int64), kind="stable")]  # by counting, where numbers have 16 bits
     many = np.bincount(digit)
     values = np.flatnonzero(many)
     many = many[values]
@@ -146,45 +146,65 @@ def destinations(digit: np.ndarray, position: np.ndarray, begins: dict[int, int]
     return out
 
 
-def _moves(names: list[str], key: str, low_bit: int, digit_bits: int):
-    def run(rows: pa.Table, begins: pa.Table) -> pa.Table:
-        digit = (rows.column(key).to_numpy() >> low_bit) & ((1 << digit_bits) - 1)
-        to = destinations(digit, rows.column("position").to_numpy(), dict(zip(begins.column("digit").to_pylist(), begins.column("begin").to_pylist())))
+def _moves(names: list[str], smaller):
+    """``smaller`` has the rows with a smaller digit, for each digit; ``before`` those with the same digit in chunks before."""
+
+    def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        digit, before = counts.column("digit").to_numpy(), counts.column("before").to_numpy()
+        begins = dict(zip(digit.tolist(), (smaller.value[digit] + before).tolist()))
+        to = destinations(rows.column("digit").to_numpy(), rows.column("position").to_numpy(), begins)
         return pa.table([pa.array(to) if c == "position" else rows.column(c) for c in names], names)
 
     return run
 
 
+def composite_digits(keys: list[tuple[Column, int]], most_bits: int) -> list[tuple[Column, int]]:
+    """Digits of a composite key, from the least significant, each with its bits: the first key's bits are the lowest. A key is given with its number of bits."""
+    total = sum(bits for _, bits in keys)
+    size = -(-total // max(1, -(-total // most_bits)))
+    out = []
+    for low in range(0, total, size or 1):
+        digit, at = F.lit(0).cast("long"), 0
+        for key, bits in keys:
+            first, last = max(low, at), min(low + size, at + bits)
+            if first < last:
+                part = F.shiftright(key, first - at).bitwiseAND(F.lit((1 << (last - first)) - 1))
+                digit = digit.bitwiseOR(F.shiftleft(part.cast("long"), first - low))
+            at += bits
+        out.append((digit, min(size, total - low)))
+    return out
+
+
 def radix_ranked(rows: DataFrame, digit_bits: int = DIGIT_BITS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Rows (doc_id, n_words, n_features, weight, score), without nulls, with their rank from 1: greatest score first, then least doc_id, then fewest
     features. Rows that are alike in all three are alike in every column; they have different ranks, in any order."""
     spark, columns = rows.sparkSession, ["doc_id", "n_words", "n_features", "weight", "score"]
     rows = rows.select(columns)
-    span = rows.agg(F.count("*").alias("n"), F.max("score").alias("top"), *[f(c).alias(f"{a}_{c}") for c in ("doc_id", "n_features") for a, f in (("low", F.min), ("high", F.max))], F.min("score").alias("bottom")).first()
+    ends = [f(c).alias(f"{a}_{c}") for c in ("score", "doc_id", "n_features") for a, f in (("low", F.min), ("high", F.max))]
+    span = rows.agg(F.count("*").alias("n"), *ends).first()
     if not span["n"]:
         return rows.withColumn("rank", F.lit(0).cast("long"))
-    chunks = max(-(-span["n"] // chunk_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    size = -(-span["n"] // chunks)
-    # keys count from 0, so that only digits that differ make a pass
-    keyed = rows.withColumns({"key_score": F.lit(span["top"]) - F.col("score"), "key_doc": F.col("doc_id") - F.lit(span["low_doc_id"]), "key_words": F.col("n_features") - F.lit(span["low_n_features"])})
-    keyed = written(keyed.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
-    counts = keyed.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    shift = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n") - F.col("_first")).alias("_shift"))
-    names = [*columns, "key_score", "key_doc", "key_words", "position"]
-    state = written(keyed.join(F.broadcast(shift), "_range").withColumn("position", F.col("_at") + F.col("_shift")).select(names), "positions")
-    schema = ", ".join(f"{c} long" for c in names)
-    highest = {"key_words": span["high_n_features"] - span["low_n_features"], "key_doc": span["high_doc_id"] - span["low_doc_id"], "key_score": span["top"] - span["bottom"]}
-    for key, high in highest.items():
-        for low_bit in range(0, high.bit_length(), digit_bits):
-            digit = F.shiftright(key, low_bit).bitwiseAND(F.lit((1 << digit_bits) - 1)).cast("long")
-            chunk = F.floor(F.col("position") / size)
-            counted = written(state.groupBy(chunk.alias("chunk"), digit.alias("digit")).agg(F.count("*").alias("n")), "digits")
-            before = F.sum("n").over(Window.partitionBy("digit").orderBy("chunk")) - F.col("n")
-            totals = counted.groupBy("digit").agg(F.sum("n").alias("n"))  # one row per digit
-            smaller = totals.select("digit", (F.sum("n").over(Window.orderBy("digit")) - F.col("n")).alias("smaller"))
-            begins = counted.withColumn("before", before).join(F.broadcast(smaller), "digit").select("chunk", "digit", (F.col("before") + F.col("smaller")).alias("begin"))
-            moves = _moves(names, key, low_bit, digit_bits)
-            state = written(state.groupBy(chunk.alias("chunk")).cogroup(begins.groupBy("chunk")).applyInArrow(moves, schema), "positions")
+    size = -(-span["n"] // max(-(-span["n"] // chunk_rows), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # keys count from 0, so that there are no more digits than differ
+    bits = lambda c: (span[f"high_{c}"] - span[f"low_{c}"]).bit_length()
+    keys = [(F.col(c) - F.lit(span[f"low_{c}"]), bits(c)) for c in ("n_features", "doc_id")] + [(F.lit(span["high_score"]) - F.col("score"), bits("score"))]
+    at = written(rows.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    counts = at.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    shift = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n") - F.col("_first")).alias("_shift"))  # one row per partition
+    names = [*columns, "position"]
+    state = written(at.join(F.broadcast(shift), "_range").select(*columns, (F.col("_at") + F.col("_shift")).alias("position")), "positions")
+    schema, chunk, by_digit = ", ".join(f"{c} long" for c in names), F.floor(F.col("position") / size).alias("chunk"), Window.partitionBy("digit")
+    for digit, width in composite_digits(keys, digit_bits):
+        keyed = state.select(*names, digit.alias("digit"), chunk)
+        counted = keyed.groupBy("chunk", "digit").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(by_digit.orderBy("chunk")) - F.col("n")
+        counted = written(counted.select("chunk", "digit", before.alias("before"), F.sum("n").over(by_digit).alias("total")), "digits")
+        totals = np.zeros(1 << width, np.int64)
+        for row in counted.where("before = 0").select("digit", "total").collect():  # one row per digit
+            totals[row["digit"]] = row["total"]
+        smaller = spark.sparkContext.broadcast(np.cumsum(totals) - totals)
+        moved = keyed.groupBy("chunk").cogroup(counted.select("chunk", "digit", "before").groupBy("chunk")).applyInArrow(_moves(names, smaller), schema)
+        state = written(moved, "positions")
     return state.select(*columns, (F.col("position") + 1).alias("rank"))
 
 
