@@ -1,23 +1,29 @@
 """Concordance, and word alignment between a tagged and an untagged version.
 
 The translation table is estimated by expectation maximisation (Model 1 of Brown
-et al., 1993): rounds of one join and two grouped sums, each round's table
-written once. Rounds end at a number, or before when no probability moves by more than a given change.
+et al., 1993). The verses are stored with their words and numbers, bucketed by
+verse, so that a round joins the broadcast table, takes the shares of each word place in its
+partition, and moves sums by word and number only. A table beyond the bound for broadcasts is shuffled. Rounds end at a number, or
+before when no probability moves by more than a given change.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
-from lectern.sources.landing import landed
+from lectern.sources.landing import landed, landing_folder
 
 KEY = ["engs", "chap", "sec"]
 ROUNDS = 5
 DIGITS = 6
 #: A translation table is sent to all executors up to so many rows, about 40 MB; beyond that it is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Buckets of verses at least.
+BUCKETS = 16
 
 
 def tag_table(v: DataFrame) -> DataFrame:
@@ -77,24 +83,50 @@ def cooccurrence(tagged: DataFrame, plain: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(tagged: DataFrame, plain: DataFrame) -> DataFrame:
-    """Each word place of the plain version with each number of the same verse, and how often that number stands there."""
+    """Each verse of both versions: words, array<struct<pos, word>> of the plain version, and numbers, array<struct<sn, times>> of the tagged one.
+
+    The table is bucketed by verse, so that all that is done for a word place stays in its partition. A verse without words or without numbers is left out."""
     numbers = tag_table(tagged).groupBy(*KEY, F.concat("lang", F.col("num").cast("string")).alias("sn")).agg(F.count("*").alias("times"))
-    return _words(plain).join(numbers, KEY)
+    numbers = numbers.groupBy(*KEY).agg(F.collect_list(F.struct("sn", "times")).alias("numbers"))
+    words = F.transform(F.split("txt", " "), lambda w, p: F.struct((p + 1).alias("pos"), w.alias("word")))
+    verses = plain.where("txt <> ''").select(*KEY, words.alias("words")).join(numbers, KEY)
+    spark, name = tagged.sparkSession, f"verse_pairs_{uuid.uuid4().hex}"
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    verses.write.bucketBy(buckets, *KEY).option("path", landing_folder(spark, "pairs")).saveAsTable(name)
+    return spark.table(name)
 
 
 def _sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def _places(pairs: DataFrame) -> DataFrame:
+    """One row for each word place and number of its verse: KEY, pos, word, sn, times."""
+    words = pairs.select(*KEY, F.explode("words").alias("w"), "numbers")
+    return words.select(*KEY, "w.pos", "w.word", F.explode("numbers").alias("n")).select(*KEY, "pos", "word", "n.sn", "n.times")
+
+
+def _known(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The places with p, the probability of their word given their number."""
+    return _places(pairs).join(_sized(table), ["word", "sn"])
+
+
+def expected_counts(pairs: DataFrame, table: DataFrame | None) -> DataFrame:
+    """One round: the shares of each word place over the numbers of its verse, summed by word and number, and by number (word null), in one exchange."""
+    weighted = _known(pairs, table) if table else _places(pairs).withColumn("p", F.lit(1.0))
+    of_place = weighted.groupBy(*KEY, "pos", "word").agg(F.collect_list(F.struct("sn", (F.col("times") * F.col("p")).alias("w"))).alias("c"))
+    total = F.aggregate("c", F.lit(0.0), lambda s, x: s + x["w"])
+    shares = of_place.withColumn("z", total).select("word", F.explode(F.transform("c", lambda x: F.struct(x["sn"].alias("sn"), (x["w"] / F.col("z")).alias("c")))).alias("x"))
+    return shares.select("word", "x.sn", "x.c").groupingSets([["word", "sn"], ["sn"]], "word", "sn").agg(F.sum("c").alias("c"), F.grouping("word").alias("of_number"))
+
+
 def model1_em(pairs: DataFrame, rounds: int = ROUNDS, change: float = 0.0) -> DataFrame:
     """word, sn, p: the probability of a word given a number, after ``rounds`` rounds, or fewer if none has moved by more than ``change``."""
-    place, table = Window.partitionBy(*KEY, "pos"), None
+    table = None
     for _ in range(rounds):
-        weighted = pairs.join(_sized(table), ["word", "sn"]) if table else pairs.withColumn("p", F.lit(1.0))
-        share = weighted.withColumn("w", F.col("times") * F.col("p") / F.sum(F.col("times") * F.col("p")).over(place))
-        counts = share.groupBy("word", "sn").agg(F.sum("w").alias("c"))
-        totals = counts.groupBy("sn").agg(F.sum("c").alias("t"))
-        before, table = table, landed(counts.join(totals, "sn").select("word", "sn", (F.col("c") / F.col("t")).alias("p")), "model1")
+        sums = landed(expected_counts(pairs, table), "model1-sums")
+        totals = sums.where("of_number = 1").select("sn", F.col("c").alias("t"))
+        before, table = table, landed(sums.where("of_number = 0").join(_sized(totals), "sn").select("word", "sn", (F.col("c") / F.col("t")).alias("p")), "model1")
         if change and before:
             moved = table.join(before.withColumnRenamed("p", "q"), ["word", "sn"]).agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0]
             if (moved or 0.0) <= change:
@@ -102,17 +134,19 @@ def model1_em(pairs: DataFrame, rounds: int = ROUNDS, change: float = 0.0) -> Da
     return table
 
 
-def ranked_candidates(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """The numbers of each word place from the likeliest; probabilities are rounded first, and ties go to the smaller number."""
-    place = Window.partitionBy(*KEY, "pos").orderBy(F.desc("p"), "sn")
-    rounded = pairs.join(_sized(table), ["word", "sn"]).withColumn("p", F.round("p", DIGITS))
-    return rounded.withColumn("rank", F.row_number().over(place)).withColumn("next_p", F.lead("p").over(place))
+def best_two(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The likeliest number of each word place, and the probability of the next one, null where there is none: KEY, pos, word, sn, p, next_p. Probabilities are
+    rounded first, and ties go to the smaller number. A place's numbers are those of its verse, so they meet in its partition."""
+    likelier = F.array_sort(F.collect_list(F.struct((-F.round("p", DIGITS)).alias("less"), "sn")))
+    ranked = _known(pairs, table).groupBy(*KEY, "pos", "word").agg(likelier.alias("c"))
+    first, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
+    return ranked.select(*KEY, "pos", "word", first["sn"].alias("sn"), (-first["less"]).alias("p"), (-second["less"]).alias("next_p"))
 
 
 def best_alignment(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """The likeliest number of each word place, by one grouped minimum."""
     likelier = F.struct((-F.round("p", DIGITS)).alias("less"), "sn")
-    best = pairs.join(_sized(table), ["word", "sn"]).groupBy(*KEY, "pos", "word").agg(F.min(likelier).alias("b"))
+    best = _known(pairs, table).groupBy(*KEY, "pos", "word").agg(F.min(likelier).alias("b"))
     return best.select(*KEY, "pos", "word", "b.sn", (-F.col("b.less")).alias("p"))
 
 
@@ -138,7 +172,7 @@ def alignment_eval(best: DataFrame, gold: DataFrame) -> DataFrame:
 def review_queue(pairs: DataFrame, table: DataFrame, margin: float = 0.05) -> DataFrame:
     """Word places whose two likeliest numbers are closer than the margin."""
     gap = F.round(F.col("p") - F.coalesce("next_p", F.lit(0.0)), DIGITS)
-    return ranked_candidates(pairs, table).where("rank = 1").select(*KEY, "pos", "word", "sn", gap.alias("margin")).where(F.col("margin") < margin)
+    return best_two(pairs, table).select(*KEY, "pos", "word", "sn", gap.alias("margin")).where(F.col("margin") < margin)
 
 
 def tag_agreement(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
-from lectern.operators import align, lexicon, lookup, nesting, parallel
+from lectern.operators import align, lexicon, lookup, nesting, parallel, search
 from lectern.plans.views import TABLES, Corpus, duck
-from lectern.sources import corpus_json, payloads, sqlite
+from lectern.sources import corpus_document, corpus_json, payloads, snapshots, sqlite
 from lectern.sources.landing import landed, landing_folder
 from lectern.streaming import readers
 
@@ -162,14 +162,27 @@ _NEW = """new_verses AS (SELECT engs, chap, sec, CASE WHEN sec % 7 = 3 THEN txt
 UNION ALL SELECT engs, chap, sec + 1000, txt FROM verses_tagged WHERE sec = 2 AND chap % 10 = 5)"""
 
 
+def _edited(old: DataFrame) -> DataFrame:
+    """A later snapshot: some verses gone, some changed, some new."""
+    chap, sec = F.col("chap"), F.col("sec")
+    kept = old.where(~((sec == 1) & (chap % 10 == 0))).withColumn("txt", F.when(sec % 7 == 3, F.concat("txt", F.lit(" new"))).otherwise(F.col("txt")))
+    return kept.unionByName(old.where((sec == 2) & (chap % 10 == 5)).withColumn("sec", sec + 1000))
+
+
 @query("snapshot_diff", f"""WITH {_NEW} SELECT coalesce(o.engs, n.engs) AS engs, coalesce(o.chap, n.chap) AS chap, coalesce(o.sec, n.sec) AS sec,
     CASE WHEN o.engs IS NULL THEN 'insert' WHEN n.engs IS NULL THEN 'delete' ELSE 'update' END AS change, o.txt AS old_txt, n.txt AS new_txt
     FROM verses_tagged o FULL JOIN new_verses n ON o.engs = n.engs AND o.chap = n.chap AND o.sec = n.sec WHERE o.txt IS DISTINCT FROM n.txt OR o.engs IS NULL OR n.engs IS NULL""", "verses_tagged")
 def _(c):
-    old, chap, sec = c.verses_tagged, F.col("chap"), F.col("sec")
-    kept = old.where(~((sec == 1) & (chap % 10 == 0))).withColumn("txt", F.when(sec % 7 == 3, F.concat("txt", F.lit(" new"))).otherwise(F.col("txt")))
-    added = old.where((sec == 2) & (chap % 10 == 5)).withColumn("sec", sec + 1000)
-    return parallel.snapshot_diff(old, kept.unionByName(added))
+    return parallel.snapshot_diff(c.verses_tagged, _edited(c.verses_tagged))
+
+
+@query("snapshot_diff_stored", ORACLE_SQL["snapshot_diff"])
+def _(c):
+    old, new = landing_folder(c.spark, "snapshot-old"), landing_folder(c.spark, "snapshot-new")
+    verses = c.stored("verses_tagged")
+    snapshots.write_snapshot(verses, old)
+    snapshots.write_snapshot(_edited(verses), new)
+    return snapshots.stored_diff(c.spark, old, new)
 
 
 # ---- filters
@@ -234,7 +247,12 @@ def _(c):
 
 @query("keyword_verses", "SELECT * FROM verses_plain WHERE contains(txt, 'small_ring')", "verses_plain")
 def _(c):
-    return lookup.keyword_verses(c.verses_plain, "small_ring")
+    return search.keyword_search(c.pair_index("verses_plain"), c.stored("verses_plain"), "small_ring")
+
+
+@query("keyword_scan", "SELECT * FROM verses_plain WHERE contains(txt, 'z')", "verses_plain")
+def _(c):
+    return search.keyword_search(c.pair_index("verses_plain"), c.stored("verses_plain"), "z")
 
 
 # ---- joins
@@ -343,6 +361,28 @@ def _(c):
     return nesting.nest_corpus(c.verses_tagged, c.main, "kjv", "lectern")
 
 
+_LINES = f"""{_CHAPTERS}, ends AS (SELECT id, min(chap) AS a, max(chap) AS z FROM chapters GROUP BY id), lines AS (SELECT 1 AS part, c.id, c.engs, c.chap,
+    CASE WHEN chap = a THEN CASE WHEN c.id = (SELECT min(id) FROM ends) THEN '' ELSE ',' END || '{{"engs":"' || engs || '","chapters":[' ELSE ',' END || '{{"chap":' || chap || ',"verses":' || verses || '}}' || CASE WHEN chap = z THEN ']}}' ELSE '' END AS line
+    FROM chapters c JOIN ends e ON c.id = e.id UNION ALL SELECT 0, NULL, NULL, 0, '{{"version":"kjv","producer":"lectern","text":[' UNION ALL SELECT 2, NULL, NULL, 1, ']}}')"""
+
+
+def _document(c: Corpus) -> str:
+    path = landing_folder(c.spark, "document")
+    corpus_document.write_corpus_document(c.verses_tagged, c.main, "kjv", "lectern", path)
+    return path
+
+
+@query("nest_corpus_files", f"WITH {_LINES} SELECT line AS value FROM lines", "verses_tagged", "main")
+def _(c):
+    return corpus_document.read_document_lines(c.spark, _document(c))
+
+
+@query("nest_corpus_places", f"""WITH {_LINES}, placed AS (SELECT *, CAST(sum(strlen(line) + 1) OVER (ORDER BY part, id, chap) - strlen(line) - 1 AS BIGINT) AS "begin" FROM lines)
+    SELECT id, engs, chap, "begin", CAST(strlen(line) AS INTEGER) AS bytes FROM placed WHERE part = 1""", "verses_tagged", "main")
+def _(c):
+    return corpus_document.read_places(c.spark, _document(c))
+
+
 @query("nest_corpus_encoded", f"""WITH {_CHAPTERS}, q AS (SELECT id, engs, '[' || string_agg('{{"chap":' || chap || ',"verses":"' || replace(replace(verses, '\\', '\\\\'), '"', '\\"') || '"}}', ',' ORDER BY chap) || ']' AS c FROM chapters GROUP BY 1, 2)
     SELECT id, engs, '{{"engs":"' || engs || '","chapters":"' || replace(replace(c, '\\', '\\\\'), '"', '\\"') || '"}}' AS doc FROM q""", "verses_tagged", "main")
 def _(c):
@@ -664,7 +704,7 @@ best AS (SELECT engs, chap, sec, pos, word, sn, p FROM ranked WHERE rank = 1)"""
 
 
 def _em(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    pairs = landed(align.candidate_pairs(c.verses_tagged, c.verses_b), "pairs")
+    pairs = align.candidate_pairs(c.verses_tagged, c.verses_b)
     return pairs, align.model1_em(pairs)
 
 

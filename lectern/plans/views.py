@@ -7,10 +7,12 @@ joins the verse's key once. ``Corpus.stored`` has the texts and the lexicon as t
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators import search
 from lectern.sources import store
 from lectern.sources.landing import landing_base
 
@@ -100,13 +102,20 @@ class Corpus:
         """A text view or the lexicon as a stored table that follows the files of the tables below it; only books that have changed are written anew.
 
         The table stands below ``spark.checkpoint.dir``, by the folder of tables and the view, so later applications find it too."""
-        path = f"{landing_base(self.spark)}/stored/{name}-{hashlib.sha256(self.sf_dir.encode()).hexdigest()[:16]}"
-        table = store.lexicon(self.spark, path) if name == "lexicon" else store.verses(self.spark, path)
-        rows = self.lexicon if name == "lexicon" else getattr(self, name).withColumn("version", F.lit(name))
-        table.refresh(rows, store.fingerprint(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in tables_below(name)]))
         if name == "lexicon":
-            return table.read().select("sn", "num", "orig", "orig_alt", "txt", "dic_type")
-        return table.read().where(F.col("version") == name).select("engs", "chap", "sec", "txt")
+            return self._refreshed(name, store.lexicon, lambda: self.lexicon).select("sn", "num", "orig", "orig_alt", "txt", "dic_type")
+        rows = self._refreshed(name, store.verses, lambda: getattr(self, name).withColumn("version", F.lit(name)))
+        return rows.where(F.col("version") == name).select("engs", "chap", "sec", "txt")
+
+    def pair_index(self, name: str) -> DataFrame:
+        """The index of character pairs of a text view, stored in the same way."""
+        return self._refreshed(name, store.pair_index, lambda: search.postings(self.stored(name)), "-pairs")
+
+    def _refreshed(self, name: str, kind: Callable[[SparkSession, str], store.StoredTable], rows: Callable[[], DataFrame], suffix: str = "") -> DataFrame:
+        path = f"{landing_base(self.spark)}/stored/{name}{suffix}-{hashlib.sha256(self.sf_dir.encode()).hexdigest()[:16]}"
+        table = kind(self.spark, path)
+        table.refresh(rows, store.fingerprint(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in tables_below(name)]))
+        return table.read()
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}

@@ -12,6 +12,7 @@ Rows are sorted inside, so that the bounds of a chapter or of a range of numbers
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern import schemas
+from lectern.operators.search import POSTINGS
 
 _MANIFEST = "fingerprint string, partition string, snapshot string, n_rows long, digest string, commit long"
 _FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType())])
@@ -64,13 +66,14 @@ class StoredTable:
         ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
         ordered.withColumn("snapshot", F.lit(snapshot)).write.mode("append").partitionBy("snapshot", *self.parts).parquet(f"{self.path}/data")
 
-    def refresh(self, rows: DataFrame, source: str) -> list[str]:
-        """Makes the stored table equal to ``rows``, which the sources of that fingerprint give. Returns the partitions that were written."""
-        rows, before = rows.select(*self.schema.fieldNames()), self.manifest()
+    def refresh(self, source_rows: Callable[[], DataFrame], source: str) -> list[str]:
+        """Makes the stored table equal to the rows that the sources of that fingerprint give. Returns the partitions that were written."""
+        before = self.manifest()
         old = {} if before is None else {r["partition"]: r for r in before.where("partition IS NOT NULL").collect()}
         at = None if before is None else before.select("fingerprint", "commit").first()
         if at and at["fingerprint"] == source:
             return []
+        rows = source_rows().select(*self.schema.fieldNames())
         snapshot = uuid.uuid4().hex
         if old:
             now = {r["partition"]: r for r in self._digests(rows).collect()}
@@ -118,3 +121,7 @@ def verses(spark: SparkSession, path: str) -> StoredTable:
 
 def lexicon(spark: SparkSession, path: str) -> StoredTable:
     return StoredTable(spark, path, schemas.LEXICON, ("dic_type",), ("num", "sn"))
+
+
+def pair_index(spark: SparkSession, path: str) -> StoredTable:
+    return StoredTable(spark, path, POSTINGS, ("bucket",), ("pair", "engs", "chap"))

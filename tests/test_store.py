@@ -58,28 +58,29 @@ def test_only_changed_books_are_written(spark, tmp_path):
     rows = [("kjv", b, c, s, f"{b} {c} {s}") for b in ("Gen", "Exo", "Lev") for c in (1, 2) for s in (1, 2, 3)]
     table = store.verses(spark, str(tmp_path / "t"))
     df = lambda r: spark.createDataFrame(r, V)
+    refresh = lambda r, source: table.refresh(lambda: df(r), source)
     assert table.read().collect() == []
-    assert len(table.refresh(df(rows), "one")) == 3
+    assert len(refresh(rows, "one")) == 3
     first = files_of(table)
     early = table.read()
-    assert table.refresh(df([]), "one") == []  # the same sources: nothing is looked at
+    assert refresh([], "one") == []  # the same sources: nothing is looked at
     changed = [r if r[1] != "Exo" or r[2] != 2 else (*r[:4], None) for r in rows if r[1] != "Lev"] + [("kjv", "Num", 1, 1, "new")]
-    assert [p.count("Exo") + 2 * p.count("Num") for p in table.refresh(df(changed), "two")] == [1, 2]
+    assert [p.count("Exo") + 2 * p.count("Num") for p in refresh(changed, "two")] == [1, 2]
     assert first < files_of(table)
     assert sorted(map(str, table.read().collect())) == sorted(map(str, df(changed).collect()))
     assert early.count() == 18  # who read before still reads what was
-    assert table.refresh(df(changed[::-1]), "three") == []  # other files, the same rows
-    assert table.refresh(df(rows), "four") and sorted(map(tuple, table.read().collect())) == sorted(rows)
-    assert table.refresh(df([]), "five") == [] and table.read().collect() == []
-    assert len(table.refresh(df(rows), "six")) == 3 and table.read().count() == 18
+    assert refresh(changed[::-1], "three") == []  # other files, the same rows
+    assert refresh(rows, "four") and sorted(map(tuple, table.read().collect())) == sorted(rows)
+    assert refresh([], "five") == [] and table.read().collect() == []
+    assert len(refresh(rows, "six")) == 3 and table.read().count() == 18
 
 
 def test_partitions_with_nulls_and_odd_names(spark, tmp_path):
     rows = [("kjv", None, 1, 1, "a"), ("kjv", "1 Sam/uel=%", 1, 1, "b"), ("kjv", "", 1, 1, "c")]
     table = store.verses(spark, str(tmp_path / "t"))
-    table.refresh(spark.createDataFrame(rows[:2], V), "one")
+    table.refresh(lambda: spark.createDataFrame(rows[:2], V), "one")
     assert sorted(map(str, table.read().collect())) == sorted(map(str, spark.createDataFrame(rows[:2], V).collect()))
-    assert len(table.refresh(spark.createDataFrame(rows[:1] + [("kjv", "1 Sam/uel=%", 1, 1, "x")], V), "two")) == 1
+    assert len(table.refresh(lambda: spark.createDataFrame(rows[:1] + [("kjv", "1 Sam/uel=%", 1, 1, "x")], V), "two")) == 1
     assert {r["txt"] for r in table.read().collect()} == {"a", "x"}
 
 
