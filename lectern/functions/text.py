@@ -23,6 +23,12 @@ def pad_key(s: Column) -> Column:
     return F.concat(F.when(F.length(digits) < 5, F.lpad(digits, 5, "0")).otherwise(digits), rest)
 
 
+def ascii_json(json: Column) -> Column:
+    """JSON in ASCII: every other character as \\uXXXX, those beyond U+FFFF as two of them."""
+    units = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    return F.array_join(F.transform(F.split(json, ""), lambda x: F.when(F.octet_length(x) > 1, units(x)).otherwise(x)), "")
+
+
 def has_loose_tag(txt: Column) -> Column:
     return txt.rlike(LOOSE_TAG)
 

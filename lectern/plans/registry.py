@@ -505,10 +505,8 @@ def _(c):
 
 @query("decode_escapes", "SELECT doc_id, text AS decoded FROM documents")
 def _(c):
-    # every character outside ASCII is landed as \uXXXX
-    chars = F.split(F.to_json(F.struct(F.col("text").alias("t"))), "")
-    escape = lambda x: F.when(F.length(F.encode(x, "UTF-8")) > 1, F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.encode(x, "UTF-16BE"))), 4, "0"))).otherwise(x)
-    return c.documents.select("doc_id", F.from_json(F.array_join(F.transform(chars, escape), ""), "t string")["t"].alias("decoded"))
+    landed_text = fn.ascii_json(F.to_json(F.struct(F.col("text").alias("t"))))
+    return c.documents.select("doc_id", F.from_json(landed_text, "t string")["t"].alias("decoded"))
 
 
 @query("lexicon_block", "SELECT sn, dic_type, sn || chr(10) || txt || chr(10) || 'null' || chr(10) || orig AS block FROM lexicon", "lexicon")
