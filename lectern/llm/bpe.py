@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit
@@ -26,9 +26,11 @@ from lectern.llm.tables import written
 #: Bounds of the table of frequent words that all executors hold.
 TABLE_WORDS, TABLE_BYTES = 1_000_000, 32 << 20
 #: Ids are put together for about so many words, and pieces for so many ids, at a time.
-SLICE_WORDS = 1 << 17
+SLICE_WORDS = 1 << 16
 #: Rows of a batch that are filled or encoded at a time.
-SLICE_ROWS = 1000
+SLICE_ROWS = 500
+#: Ids of rare words are sent to all executors up to so many texts and bytes; beyond that texts and ids are shuffled to each other.
+FILL_TEXTS, FILL_BYTES = 300_000, 48 << 20
 
 #: White space as the tokenizer counts it (fixed values).
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -224,6 +226,7 @@ def _partial(lookup, path: str):
                 binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(tokens * size), pa.py_buffer(ids.tobytes())])
                 lists = pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), pa.array(places, pa.int32()))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key_a"), rows.column("key_b"), binary.cast(pa.binary()), lists], ["doc_id", "key_a", "key_b", "ids", "gaps"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -256,12 +259,18 @@ def _filled(kind: str):
     return run
 
 
-def encode(docs: DataFrame, path: str, table_words: int = TABLE_WORDS, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def encode(docs: DataFrame, path: str, table_words: int = TABLE_WORDS, table_bytes: int = TABLE_BYTES, fill_texts: int = FILL_TEXTS) -> DataFrame:
     """Documents (doc_id, text) to doc_id and ids, array<int>: those of the tokenizer file at ``path`` without the special tokens it adds around a text.
 
     The file is read on all machines; it holds a byte-level BPE. A null or empty text has no ids. Each row is a text of its own, also with a null or
     repeated doc_id; equal texts have equal ids. An empty table stays empty. Other columns are ignored, whatever their names. A text with characters
     of a later Unicode version than the JVM's is encoded whole where it stands, as only the tokenizer can split it."""
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    return _in_parts(docs, path, table_words, table_bytes, fill_texts).mapInArrow(_filled(_kind(tokenizer_of(path))), f"doc_id {doc_type}, ids array<int>")
+
+
+def _in_parts(docs: DataFrame, path: str, table_words: int, table_bytes: int, fill_texts: int) -> DataFrame:
+    """doc_id, the ids of frequent words as bytes, where each rare word stands among them (gaps), and the ids of those (fills)."""
     added, kind = added_strings(path), _kind(tokenizer_of(path))
     spark, doc_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
@@ -285,13 +294,16 @@ def encode(docs: DataFrame, path: str, table_words: int = TABLE_WORDS, table_byt
         found = rare.join(table.where(~frequent).select("word", "ids"), "word").groupBy("key_a", "key_b").agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("found"))
         # a table, so that the join can split what it has to
         fills = written(found.select("key_a", "key_b", F.size("found").alias("n_gaps"), F.transform("found", lambda x: x["ids"]).alias("fills")), "fills")
+        size = fills.agg(F.count("*").alias("n"), F.sum(F.aggregate("fills", F.lit(0), lambda a, x: a + 16 + F.octet_length(x))).alias("bytes")).first()
+        if size["n"] <= fill_texts and (size["bytes"] or 0) <= FILL_BYTES:
+            fills = F.broadcast(fills)
         # texts without rare words are dealt out by document, as there may be many copies of one
         n_gaps = F.size("gaps")
         dealt = partial.withColumns({"n_gaps": n_gaps, "key_a": F.when(n_gaps > 0, F.col("key_a")).otherwise(F.xxhash64("doc_id", "ids"))})
         partial = dealt.join(fills, ["key_a", "key_b", "n_gaps"], "left").select("doc_id", "ids", "gaps", "fills")
     else:
         partial = partial.select("doc_id", "ids", "gaps", F.lit(None).cast("array<binary>").alias("fills"))
-    return partial.mapInArrow(_filled(kind), f"doc_id {doc_type}, ids array<int>")
+    return partial
 
 
 def pieces_of(path: str) -> dict[int, bytes]:
@@ -300,6 +312,14 @@ def pieces_of(path: str) -> dict[int, bytes]:
     return {i: bytes(known[c] for c in t) if all(c in known for c in t) else t.encode() for t, i in tokenizer_of(path).get_vocab(True).items()}
 
 
+def _piece_table(spark: SparkSession, path: str):
+    """All pieces end to end, and where each id's lies; the last entry is for numbers that are no id."""
+    pieces = pieces_of(path)
+    by_id = [pieces.get(i, b"") for i in range(max(pieces) + 1)] + [b""]
+    lengths = np.array([len(x) for x in by_id], np.int64)
+    return spark.sparkContext.broadcast((np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(lengths) - lengths, lengths))
+
+
 def _decoded(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool, starts, lengths = table.value
@@ -323,17 +343,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     Null and empty ids give an empty text, numbers that are no id nothing. A column named text is replaced, all others are passed on."""
     encoded = encoded.drop("text")
-    pieces = pieces_of(path)
-    by_id = [pieces.get(i, b"") for i in range(max(pieces) + 1)] + [b""]  # the last for numbers that are no id
-    lengths = np.array([len(x) for x in by_id], np.int64)
-    table = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(lengths) - lengths, lengths))
+    table = _piece_table(encoded.sparkSession, path)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields) + ", text string"
     return encoded.mapInArrow(_decoded(table), schema)
 
 
+def round_trip(docs: DataFrame, path: str, table_words: int = TABLE_WORDS, table_bytes: int = TABLE_BYTES, fill_texts: int = FILL_TEXTS) -> DataFrame:
+    """doc_id, ids and text as ``decode(encode(docs))`` gives them, in one pass of Python workers."""
+    fill, read = _filled(_kind(tokenizer_of(path))), _decoded(_piece_table(docs.sparkSession, path))
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    return _in_parts(docs, path, table_words, table_bytes, fill_texts).mapInArrow(lambda batches: read(fill(batches)), f"doc_id {doc_type}, ids array<int>, text string")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """What a round trip gives for documents (doc_id, text): doc_id, n_tokens, and SHA-256 of the ids, as decimals joined by commas, and of the decoded text."""
-    both = decode(encode(docs, path), path)
+    both = round_trip(docs, path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

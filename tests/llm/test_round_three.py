@@ -23,13 +23,14 @@ def odd_texts(n):
     return ["", None, "<|endoftext|>", "a  <|endoftext|>  b<|endoftext|>", "word " * 3000, "x" * 30_000 + " y", *made, *made[:50]]
 
 
-@pytest.mark.parametrize("words", [1_000_000, 40, 0])
-def test_ids_and_texts_are_those_of_the_tokenizer(spark, words):
-    """With a table of all words, of the most frequent ones, and of none, so that all are joined by shuffles."""
+@pytest.mark.parametrize(("words", "texts_sent"), [(1_000_000, 1000), (40, 1000), (40, 0), (0, 0)])
+def test_ids_and_texts_are_those_of_the_tokenizer(spark, words, texts_sent):
+    """With a table of all words, of the most frequent ones, and of none, so that all are joined, by broadcasts and by shuffles."""
     texts = odd_texts(1500)
     rows = [(None if k % 9 == 4 else k // 2, t, "clash") for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(5)
-    got = bpe.decode(bpe.encode(docs, BPE, table_words=words), BPE).collect()
+    got = bpe.decode(bpe.encode(docs, BPE, table_words=words, fill_texts=texts_sent), BPE).collect()
+    assert sorted(map(str, bpe.round_trip(docs, BPE, table_words=words, fill_texts=texts_sent).collect())) == sorted(map(str, got))
     tokenizer = bpe.tokenizer_of(BPE)
     want = Counter()
     for k, t, _ in rows:
