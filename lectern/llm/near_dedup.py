@@ -10,7 +10,10 @@ confirmed on the full shingle sets.
 A star can miss a link between two members that are both unlike the centre. So
 buckets whose members are not all in one component after the stars are gone over
 again in blocks of at most ``BLOCK`` rows: members are compared inside the tasks,
-and only the edges of a spanning forest leave them.
+and only the edges of a spanning forest leave them. The members of a bucket of more than ``BLOCK``
+are dealt out anew before, to buckets by the rarest shingles of their texts: two sets
+that are alike share one of the few rarest of each (prefix filtering; Chaudhuri et al., 2006), while a template
+that thousands of unlike texts have is among the frequent ones and brings none together.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ BANDS, ROWS = 25, 5
 BINS = BANDS * ROWS
 #: Rows and shingles of each side of a comparison block on average, and followers of one copy of a centre.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Counters of shingles, by which the rarest of a text are told.
+SLOTS = 1 << 18
 
 _PROBES = np.random.default_rng(5).integers(0, BINS, (4096, BINS))
 _SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
@@ -230,26 +235,78 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def _token_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the texts have a shingle in each slot."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for _, data, offsets in textkit.slices(batch, "text"):
+            for own in shingle_sets(data, offsets):
+                np.add.at(counts, (own % np.uint64(SLOTS)).astype(np.int64), 1)
+    has = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array(counts[has])], ["slot", "n"])
+
+
+def prefix(own: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, so many that it shares one of them with the rarest of every set that is alike. Any order does that is the same for all sets."""
+    keep = len(own) - -(-percent * len(own) // 100) + 1
+    return own[np.lexsort((own, counts[(own % np.uint64(SLOTS)).astype(np.int64)]))[:keep]]
+
+
+def _prefixes(counts, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in textkit.slices(batch, "text"):
+                parts = [prefix(own, counts.value, percent) for own in shingle_sets(data, offsets)]
+                row = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
+                kept = [rows.column(c).take(row) for c in ("doc_id", "n_shingles", "component")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), *kept], ["band", "rep", "n_shingles", "component"])
+
+    return run
+
+
+def _rare_buckets(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Members of large buckets (rep, n_shingles, component) in buckets by the rarest shingles of their texts: what many share, as a template, brings none together."""
+    held = texts.join(sized(members.withColumnRenamed("rep", "doc_id")), "doc_id")
+    slots = held.select("text").mapInArrow(_token_slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    counts = np.zeros(SLOTS, np.int32)
+    counts[slots["slot"].to_numpy(np.int64)] = np.minimum(slots["n"], 2**31 - 1)
+    tokens = written(held.select("doc_id", "n_shingles", "component", "text").mapInArrow(_prefixes(members.sparkSession.sparkContext.broadcast(counts), percent), "band long, rep long, n_shingles long, component long"), "rare")
+    torn = tokens.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main")).where("low <> high").select("band", "main")
+    return written(tokens.join(sized(torn), "band").select("band", "rep", "n_shingles", "component", (F.col("component") == F.col("main")).alias("is_main")), "torn")
+
+
 def _block_links(mates: DataFrame, texts: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     """Links between members of a bucket that the stars left in different components."""
     placed = mates.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     centre = F.max(F.when(F.col("rep") == F.col("centre"), F.col("component")))
-    torn = placed.groupBy("band").agg(centre.alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "main")
-    torn = written(placed.join(sized(torn), "band").select("band", "rep", "n_shingles", "component", (F.col("component") == F.col("main")).alias("is_main")), "torn")
+    torn = placed.groupBy("band").agg(centre.alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
+    torn = placed.join(sized(torn.select("band", "main", "n")), "band").select("band", "rep", "n_shingles", "component", (F.col("component") == F.col("main")).alias("is_main"), "n")
+    torn = written(torn, "torn")
+    large = torn.where(F.col("n") > BLOCK).select("rep", "n_shingles", "component").distinct()
+    # the star has compared all of a small bucket with its centre
+    meetings = _meetings(torn.where(F.col("n") <= BLOCK).drop("n"), 2)
+    if not large.isEmpty():
+        meetings = meetings.unionByName(_meetings(_rare_buckets(written(large, "large"), texts, percent), 1))
+    return meetings.join(texts, "doc_id").groupBy("band", "kind", "i", "j").applyInArrow(_confirm_blocks(percent), "a long, b long").distinct()
+
+
+def _meetings(torn: DataFrame, least_mains: int) -> DataFrame:
+    """Members of torn buckets (band, rep, n_shingles, component, is_main) in blocks that are compared: band, doc_id, component, kind, i, j.
+
+    The main component meets the others if it has ``least_mains`` members; the others meet each other if they are in several components."""
 
     def blocks_of(side: Column) -> Column:
         return F.ceil(F.greatest(F.count_if(side) / BLOCK, F.coalesce(F.sum(F.when(side, F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
 
-    # the star has compared all with the centre: its component matters if it has more members here, the others if they are in several components
     other = F.when(~F.col("is_main"), F.col("component"))
     asked = torn.groupBy("band").agg(
         blocks_of(F.col("is_main")).alias("mains"),
         blocks_of(~F.col("is_main")).alias("others"),
-        (F.count_if("is_main") > 1).alias("with_mains"),
+        (F.count_if("is_main") >= least_mains).alias("with_mains"),
         (F.min(other) < F.max(other)).alias("among_others"),
     )
     parts = sized(asked.where("with_mains OR among_others"))
-    # rows of the centre's component meet only the others; the others also meet each other
+    # rows of the main component meet only the others; the others also meet each other
     own = _split("rep", F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     up_to = lambda n, wanted: F.when(F.col(wanted), F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
@@ -259,10 +316,7 @@ def _block_links(mates: DataFrame, texts: DataFrame, first: DataFrame, percent:
             F.transform(up_to(F.col("others"), "among_others"), lambda j: pair("o", F.least(F.col("own"), j), F.greatest(F.col("own"), j))),
         )
     )
-    blocks = (
-        torn.join(parts, "band").withColumn("own", own).select("band", F.col("rep").alias("doc_id"), "component", F.explode(meets).alias("meet")).select("band", "doc_id", "component", "meet.*")
-    )
-    return blocks.join(texts, "doc_id").groupBy("band", "kind", "i", "j").applyInArrow(_confirm_blocks(percent), "a long, b long").distinct()
+    return torn.join(parts, "band").withColumn("own", own).select("band", F.col("rep").alias("doc_id"), "component", F.explode(meets).alias("meet")).select("band", "doc_id", "component", "meet.*")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
