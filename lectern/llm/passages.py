@@ -435,6 +435,7 @@ def _missed_by_stars(checked: DataFrame) -> DataFrame:
     """Windows of crowded centres that are in no passage, with the first text that has the same tokens on one side of the centre, as lists for ``_compared``."""
     sides = checked.where("side IS NOT NULL").select("side", "doc_id", F.col("start").alias("centre"), F.col("source_doc_id").alias("compared"))
     first = sides.groupBy("side").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("side", "source")
+    first = written(first, "first")  # a table, for the same reason as the keys of windows
     shared = written(sides.join(first, "side"), "sides")
     places = checked.where("side IS NULL").select(F.col("doc_id").alias("d"), F.col("start").alias("begin"), (F.col("start") + F.col("n_words") - SHINGLE_WORDS).alias("last"))
     missed = shared.where("doc_id <> source AND source <> compared").join(places, F.expr("doc_id = d AND centre BETWEEN begin AND last"), "left_anti")
@@ -457,8 +458,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     their square; a passage repeated in the first document that has it is listed as well. Texts of fewer than 50 words, null and empty ones have
     none. Rows without doc_id are left out, repeated rows are one document, and other columns are ignored."""
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    windows = docs.mapInArrow(_windows, _WINDOWS)
-    first = windows.groupBy("key").agg(F.min("doc_id").alias("source"), F.count("*").alias("n")).where("n > 1")
+    windows = written(docs.mapInArrow(_windows, _WINDOWS), "windows")
+    # a table, so that the join can split the windows of a key with very many
+    first = written(windows.groupBy("key").agg(F.min("doc_id").alias("source"), F.count("*").alias("n")).where("n > 1"), "keys")
     lists = _listed(windows.join(first, "key").select("doc_id", "source", "span", (F.col("n") > 2).alias("crowded")))
     checked = written(_compared(docs, lists), "checked")
     again = _missed_by_stars(checked)
