@@ -2,7 +2,7 @@
 
 Merges never cross a word, so Spark splits the texts into words with the tokenizer's
 own pattern, counts the distinct ones and encodes each of them once. The ids then go
-back to the places of the words. Words are joined by place in two ways, which give the
+back to the places of the words, in order. Words are joined by place in two ways, which give the
 same: the most frequent ones, at most ``TABLE_WORDS`` and ``TABLE_BYTES``, are sent to
 all executors and looked up for a whole batch of words at a time; the occurrences of
 the rest, few each, are shuffled to the table by word and back to their text by its
@@ -60,9 +60,13 @@ def _literal(s: str) -> str:
     return "".join(c if c.isalnum() else f"\\x{{{ord(c):X}}}" for c in s)
 
 
+#: Stands between the words of a text on their way to Python workers.
+_BETWEEN = "\x00"
+
+
 def is_odd(text: Column) -> Column:
-    """Whether a text has characters that this JVM's Unicode tables do not know, which the tokenizer's may."""
-    return text.rlike(r"\p{Cn}")
+    """Whether a text has characters that this JVM's Unicode tables do not know, which the tokenizer's may, or the one that stands between words."""
+    return text.rlike(r"[\p{Cn}\x00]")
 
 
 def split_words(text: Column, added: list[str]) -> Column:
@@ -83,11 +87,10 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each word, by which it is known: equal in both only if the words are, up to a chance of 2^-128."""
-    data, offsets = textkit.raw(textkit.texts_of(words))
-    first, second = (textkit.span_hashes(data, offsets[:-1], offsets[1:], k) for k in (0, 1))
-    length = np.diff(offsets).astype(np.uint64)  # zero bytes do not count in a span's hash
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word, a span of bytes, by which it is known: equal in both only if the words are, up to a chance of 2^-128."""
+    first, second = (textkit.span_hashes(data, starts, ends, k) for k in (0, 1))
+    length = (ends - starts).astype(np.uint64)  # zero bytes do not count in a span's hash
     return textkit.mix64(first, 3) ^ textkit.mix64(length, 4), textkit.mix64(second, 5) + textkit.mix64(length, 6)
 
 
@@ -106,7 +109,8 @@ def _encoded_words(path: str):
             for first in range(0, batch.num_rows, SLICE_ROWS):
                 rows = batch.slice(first, SLICE_ROWS)
                 column = rows.column("word")
-                hashes = [pa.array(h.view(np.int64)) for h in word_hashes(column)]
+                data, offsets = textkit.raw(textkit.texts_of(column))
+                hashes = [pa.array(h.view(np.int64)) for h in word_hashes(data, offsets[:-1], offsets[1:])]
                 ids = pa.array([ids_of(w) for w in column.to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([column, rows.column("n"), ids, *hashes], ["word", "n", "ids", "hash_a", "hash_b"])
 
@@ -145,9 +149,9 @@ class Lookup:
         self.bits = np.uint64(64 - max(1, len(keys).bit_length()))
         self.first = np.searchsorted(self.keys >> self.bits, np.arange((1 << int(64 - self.bits)) + 1, dtype=np.uint64)).astype(np.int32)
 
-    def find(self, words: pa.Array) -> np.ndarray:
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place of each word in the table, or -1."""
-        a, b = word_hashes(words)
+        a, b = word_hashes(data, starts, ends)
         lead = (a >> self.bits).astype(np.int64)
         place, end, found = self.first[lead], self.first[lead + 1], np.full(len(a), -1, np.int32)
         open_ = np.flatnonzero(place < end)
@@ -181,19 +185,31 @@ def _row_slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def _words_of(data: np.ndarray, offsets: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of joined texts, and len + 1 offsets into them. An odd text is taken for one word."""
+    cut = data == 0
+    for row in np.flatnonzero(odd):
+        cut[offsets[row] : offsets[row + 1]] = False
+    between = np.flatnonzero(cut)
+    some = np.flatnonzero(np.diff(offsets) > 0)
+    starts = np.sort(np.concatenate([offsets[some], between + 1]))
+    ends = np.sort(np.concatenate([between, offsets[some + 1]]))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def _rare(lookup):
     """Each text's words that are not in the table of frequent ones, numbered in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, offsets = _flat(batch.column("words"))
-            for first, last in _row_slices(offsets, SLICE_WORDS):
-                own, here = words.slice(offsets[first], offsets[last] - offsets[first]), offsets[first : last + 1] - offsets[first]
-                at = np.flatnonzero(lookup.value.find(own) < 0)
+            for rows, data, offsets in textkit.slices(batch, "joined"):
+                starts, ends, here = _words_of(data, offsets, np.zeros(len(offsets) - 1, bool))
+                at = np.flatnonzero(lookup.value.find(data, starts, ends) < 0)
                 row = np.searchsorted(here, at, "right") - 1
                 place = np.arange(len(at)) - np.searchsorted(row, row)
-                keys = [batch.column(k).take(pa.array(row + first)) for k in ("key_a", "key_b")]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(place, pa.int32()), own.take(pa.array(at))], ["key_a", "key_b", "place", "word"])
+                keys = [rows.column(k).take(pa.array(row)) for k in ("key_a", "key_b")]
+                words = pa.array([data[a:b].tobytes().decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())], pa.string())
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(place, pa.int32()), words], ["key_a", "key_b", "place", "word"])
 
     return run
 
@@ -204,16 +220,16 @@ def _partial(lookup, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, tokenizer = lookup.value, None
         for batch in batches:
-            words, offsets = _flat(batch.column("words"))
-            odd = batch.column("odd").to_numpy(zero_copy_only=False)
-            for first, last in _row_slices(offsets, SLICE_WORDS):
-                at, here = table.find(words.slice(offsets[first], offsets[last] - offsets[first])), offsets[first : last + 1] - offsets[first]
+            for rows, data, offsets in textkit.slices(batch, "joined"):
+                odd = rows.column("odd").to_numpy(zero_copy_only=False)
+                begin, end, here = _words_of(data, offsets, odd)
+                at = table.find(data, begin, end)
                 pool, known = table.pool, at >= 0
                 starts, lengths = (np.where(known, x[np.maximum(at, 0)], 0).astype(np.int64) if len(x) else np.zeros(len(at), np.int64) for x in (table.starts, table.lengths))
-                for row in first + np.flatnonzero(odd[first:last]):
+                for row in np.flatnonzero(odd):
                     tokenizer = tokenizer or tokenizer_of(path)
-                    k = here[row - first]
-                    ids = np.array(tokenizer.encode(words[int(offsets[row])].as_py(), add_special_tokens=False).ids, table.kind)
+                    k = here[row]
+                    ids = np.array(tokenizer.encode(data[begin[k] : end[k]].tobytes().decode(), add_special_tokens=False).ids, table.kind)
                     starts[k], lengths[k], known[k] = len(pool), len(ids), True
                     pool = np.concatenate([pool, ids])
                 ends = np.r_[0, np.cumsum(lengths)]
@@ -222,11 +238,9 @@ def _partial(lookup, path: str):
                 gaps = np.flatnonzero(~known)
                 per_row = np.searchsorted(gaps, here)
                 places = ends[gaps] - np.repeat(tokens[:-1], np.diff(per_row))
-                rows = batch.slice(first, last - first)
-                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(tokens * size), pa.py_buffer(ids.tobytes())])
+                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(odd), [None, pa.py_buffer(tokens * size), pa.py_buffer(ids.tobytes())])
                 lists = pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), pa.array(places, pa.int32()))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key_a"), rows.column("key_b"), binary.cast(pa.binary()), lists], ["doc_id", "key_a", "key_b", "ids", "gaps"])
-            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -275,8 +289,9 @@ def _in_parts(docs: DataFrame, path: str, table_words: int, table_bytes: int, fi
     spark, doc_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
     odd = is_odd(text)
-    split = docs.select("doc_id", text.alias("text"), odd.alias("odd")).select("doc_id", "text", "odd", F.when(F.col("odd"), F.array("text")).otherwise(split_words(F.col("text"), added)).alias("words"))
-    table = word_table(split.where("NOT odd"), path)
+    split = docs.select("doc_id", text.alias("text"), odd.alias("odd"))
+    in_order = split_words(F.col("text"), added)
+    table = word_table(split.where("NOT odd").select(in_order.alias("words")), path)
     levels = table.groupBy(_level(F.col("n")).alias("level")).agg(F.count("*").alias("words"), F.sum(F.octet_length("ids") + 16).alias("bytes")).collect()
     least, words, size = None, 0, 0
     for row in sorted(levels, key=lambda r: -r["level"]):
@@ -287,10 +302,11 @@ def _in_parts(docs: DataFrame, path: str, table_words: int, table_bytes: int, fi
     frequent = F.lit(False) if least is None else _level(F.col("n")) >= least
     lookup = spark.sparkContext.broadcast(Lookup(table.where(frequent).select("hash_a", "hash_b", "ids").toArrow(), kind))
     # a text is known by two hashes; only texts with rare words, which have few copies, are joined by them
-    keyed = split.select("doc_id", "odd", "words", F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b"))
+    joined = F.when(F.col("odd"), F.col("text")).otherwise(F.array_join(in_order, _BETWEEN)).alias("joined")
+    keyed = split.select("doc_id", "odd", joined, F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b"))
     partial = keyed.mapInArrow(_partial(lookup, path), f"doc_id {doc_type}, key_a long, key_b long, ids binary, gaps array<int>")
     if len(levels) and least != min(r["level"] for r in levels):
-        rare = keyed.where("NOT odd").select("key_a", "key_b", "words").mapInArrow(_rare(lookup), "key_a long, key_b long, place int, word string")
+        rare = keyed.where("NOT odd").select("key_a", "key_b", "joined").mapInArrow(_rare(lookup), "key_a long, key_b long, place int, word string")
         found = rare.join(table.where(~frequent).select("word", "ids"), "word").groupBy("key_a", "key_b").agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("found"))
         # a table, so that the join can split what it has to
         fills = written(found.select("key_a", "key_b", F.size("found").alias("n_gaps"), F.transform("found", lambda x: x["ids"]).alias("fills")), "fills")
