@@ -296,19 +296,66 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*names, "_pack_rank").mapInArrow(run, schema)
 
 
+_PLACE = ("offset", "doc_id", "piece", "start", "length")
+
+
+def _by_sequence(packed: DataFrame) -> DataFrame:
+    """sequence_id and its pieces with their ids, in order."""
+    return packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct(*_PLACE, "ids"))).alias("p"))
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """Packed pieces with ids to one row per sequence: sequence_id, ids, and the pieces in order (offset, doc_id, piece, start, length)."""
-    names = ["offset", "doc_id", "piece", "start", "length"]
-    grouped = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct(*names, "ids"))).alias("p"))
     joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda all_, x: F.concat(all_, x["ids"]))
-    return grouped.select("sequence_id", joined.alias("ids"), F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in names])).alias("pieces"))
+    return _by_sequence(packed).select("sequence_id", joined.alias("ids"), F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in _PLACE])).alias("pieces"))
+
+
+def _small(ids: bytes) -> bytes:
+    """Ids in two bytes each where they fit, compressed; the first byte tells how wide they are."""
+    numbers = np.frombuffer(ids, "<u4")
+    wide = 2 if not len(numbers) or numbers.max() < 1 << 16 else 4
+    return bytes([wide]) + struct.pack("<I", wide * len(numbers)) + pa.compress(numbers.astype(f"<u{wide}"), codec="zstd", asbytes=True)
+
+
+def _large(small: bytes) -> bytes:
+    size = struct.unpack_from("<I", small, 1)[0]
+    numbers = np.frombuffer(pa.decompress(small[5:], size, codec="zstd", asbytes=True), f"<u{small[0]}") if size else np.zeros(0)
+    return numbers.astype("<u4").tobytes()
+
+
+def _small_pieces(path: str, capacity: int):
+    pieces = _pieces(path, capacity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            ids = pa.array([_small(x) for x in batch.column("ids").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], batch.schema.names)
+
+    return run
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, 500):
+            rows = batch.slice(first, 500)
+            lists = rows.column("p")
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            parts = lists.flatten()
+            ids = [_large(x) for x in parts.field("ids").to_pylist()]
+            whole = pa.array([b"".join(ids[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.binary())
+            places = pa.StructArray.from_arrays([parts.field(c) for c in _PLACE], list(_PLACE))
+            yield pa.RecordBatch.from_arrays([rows.column("sequence_id"), whole, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)], ["sequence_id", "ids", "pieces"])
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Documents (doc_id, text) to packed ``sequences``. Only lengths and keys are sorted and ranked; ids move once, to their sequence."""
-    pieces = written(token_pieces(docs, tokenizer_path, capacity).withColumn("key", F.monotonically_increasing_id()), "pieces")
+    """Documents (doc_id, text) to packed ``sequences``. Only lengths and keys are sorted and ranked; ids move once, compressed, to their sequence.
+
+    Beyond the bound for broadcasts they move once before, to the places of their pieces."""
+    small = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_small_pieces(tokenizer_path, capacity), _PIECES)
+    pieces = written(small.withColumn("key", F.monotonically_increasing_id()), "pieces")
     placed = pack(pieces.drop("ids"), capacity)
-    return sequences(pieces.select("key", "ids").join(sized(placed), "key"))
+    grouped = _by_sequence(pieces.select("key", "ids").join(sized(placed), "key"))
+    return grouped.mapInArrow(_assembled, "sequence_id long, ids binary, pieces array<struct<offset:bigint,doc_id:bigint,piece:int,start:bigint,length:bigint>>")
 
 
 def placements(packed_sequences: DataFrame) -> DataFrame:

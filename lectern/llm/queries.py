@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, centroids, chat, decontam, html, langid, line_dedup, near_dedup, packing, passages, quality, resampling, rules
 from lectern.llm.oracle import ORACLE_SQL
-from lectern.llm.tables import written
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -54,9 +53,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """Where each piece of each document goes, with a checksum of its ids: those of ``packing.placements``, without moving the ids to their sequences."""
-    pieces = packing.token_pieces(docs, word_tokenizer())
-    return packing.pack(written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"))
+    """Where each piece of each document goes, with a checksum of its ids, read back from the packed sequences."""
+    return packing.placements(packing.pack_documents(docs, word_tokenizer()))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
