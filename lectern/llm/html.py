@@ -32,8 +32,10 @@ PAGES_AT_ONCE = 200
 
 #: Elements without content, elements whose content is never text of a page, and elements inside a line (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style title noscript template svg iframe select textarea button object canvas math audio video".split())
+SKIPPED = frozenset("script style title noscript template svg iframe select textarea button object canvas annotation annotation-xml audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements of a formula, which are inside a line too.
+INLINE |= frozenset("math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 #: A start tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Tags by what they say about their content.
@@ -314,15 +316,34 @@ class Forest:
 
 def weak_labels(page: Page) -> list[bool] | None:
     """Labels of the runs of a page whose tags name its article: those inside it, outside of marked parts."""
-    inside, bad = [False] * len(page.tag), [False] * len(page.tag)
-    for i, (parent, tag, kinds) in enumerate(zip(page.parent, page.tag, page.kinds)):
-        if parent >= 0:
-            inside[i], bad[i] = inside[parent], bad[parent]
-        inside[i] |= tag in ("article", "main")
-        bad[i] |= tag in ("nav", "header", "footer", "aside", "form") or bool(kinds & 0b11111111)
+    inside, bad = [False] * len(page.tag), marked_parts(page)
+    for i, (parent, tag) in enumerate(zip(page.parent, page.tag)):
+        inside[i] = (parent >= 0 and inside[parent]) or tag in ("article", "main")
     return [a and not b for a, b in zip(inside, bad)] if any(inside) else None
 
 
+def marked_parts(page: Page) -> list[bool]:
+    """Whether a node is in an element that its tag or its names mark as something else than an article."""
+    bad = [False] * len(page.tag)
+    for i, (parent, tag, kinds) in enumerate(zip(page.parent, page.tag, page.kinds)):
+        bad[i] = (parent >= 0 and bad[parent]) or tag in ("nav", "header", "footer", "aside", "form") or bool(kinds & 0b11111111)
+    return bad
+
+
+def plain_runs(page: Page, kept: set[int]) -> list[int]:
+    """The kept runs of a page, and those that the page's marks cannot have told from them.
+
+    Where nothing is kept, these are the runs outside of all marked parts that hold a sentence and are not mainly links. On a page without any mark, runs
+    that are like a kept one are kept with it: in blocks of the same tag below the same element, with a sentence and not mainly links."""
+    bad = marked_parts(page)
+    if kept and (any(bad) or any(page.kinds)):
+        return sorted(kept)
+    plain = [i for i, t in enumerate(page.text) if t and not bad[i] and 2 * page.linked[i] < len(t) and _SENTENCE.search(t)]
+    block = lambda i: (page.parent[page.parent[i]], page.tag[page.parent[i]])
+    like = {block(i) for i in kept if page.parent[i] > 0}
+    return sorted(kept.union(i for i in plain if not kept or (page.parent[i] > 0 and block(i) in like)))
+
+
 def layouts(runs: list[str], n: int, seed: int = 1) -> list[tuple[Page, list[bool]]]:
     """Pages in many layouts, made from texts that occur; main text is marked while building and known for each run."""
     rng = np.random.default_rng(seed)
@@ -415,10 +436,10 @@ class Model:
             pages = [Page(s or "") for s in sources[low : low + PAGES_AT_ONCE]]
             forest = Forest(pages)
             keep = forest.decode(self.trees.margins(forest.features)) & forest.is_run
-            texts: list[list[str]] = [[] for _ in pages]
+            kept: list[set[int]] = [set() for _ in pages]
             for i in np.flatnonzero(keep).tolist():
-                texts[forest.page[i]].append(forest.text[i])
-            out += ["\n".join(t) for t in texts]
+                kept[forest.page[i]].add(i - int(forest.first[forest.page[i]]))
+            out += ["\n".join(p.text[i] for i in plain_runs(p, k)) for p, k in zip(pages, kept)]
         return out
 
 
@@ -432,7 +453,7 @@ def train(pages: DataFrame, limit: int = TRAIN_PAGES, limit_bytes: int = TRAIN_B
 def extract_text(pages: DataFrame) -> DataFrame:
     """Pages (page_id, url, html) to page_id, url, text and n_chars: the blocks of main text in page order, joined by \\n.
 
-    Character references are decoded and white space inside a block, line breaks included, is one blank. A null, empty or text-free page
+    Where the trees keep nothing, and on pages without any mark, ``plain_runs`` adds what is like an article. Character references are decoded and white space inside a block, line breaks included, is one blank. A null, empty or text-free page
     gives an empty text. Each row is a page of its own, also with a null or repeated id; other columns are ignored."""
     model = train(pages)
 
