@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -76,7 +77,18 @@ def test_leaks(spark, rows):
 
 
 def test_packing_of_odd_rows(spark, rows):
-    out = corpus_pipeline.pack(spark, frame(spark, rows), SF).collect()
-    assert collections.Counter(r["doc_id"] for r in out if r["piece"] == 0) == collections.Counter(i for i, _ in rows)
-    assert all(r["length"] == 1 for r in out if r["doc_id"] in (20, 21, 22))
+    """The sequences hold the ids of every row's text, in the places that they name."""
+    from tokenizers import Tokenizer
+
+    from lectern.llm.queries import word_tokenizer
+
+    tokenizer = Tokenizer.from_file(word_tokenizer())
+    want = collections.Counter((i, (*tokenizer.encode(t or "", add_special_tokens=False).ids, 0)) for i, t in rows)
+    got = collections.Counter()
+    for r in corpus_pipeline.pack(spark, frame(spark, rows), SF).collect():
+        ids = np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+        assert r["n_tokens"] == len(ids) <= 2048 and r["doc_ids"] == [p["doc_id"] for p in r["pieces"]]
+        for p in r["pieces"]:
+            got[p["doc_id"], tuple(ids[p["offset"] : p["offset"] + p["length"]])] += 1
+    assert got == want
     assert corpus_pipeline.pack(spark, frame(spark, rows).limit(0), SF).collect() == []
