@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontam, line_dedup, near_dedup, quality
-from lectern.llm.queries import packed_documents, table
+from lectern.llm import decontam, line_dedup, near_dedup, packing, quality
+from lectern.llm.queries import table, word_tokenizer
 from lectern.llm.tables import written
 
 #: Near copies of this similarity of five-word shingles are dropped. A pair at 0.8 shares no band with probability 5e-5.
@@ -51,11 +51,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of token ids.
+    """Packs the documents into sequences of token ids, one row each: sequence_id, n_tokens, doc_ids of its pieces in order, ids (little-endian unsigned
+    32-bit numbers), and pieces (offset in the sequence, doc_id, piece, start in the document, length).
 
-    A null, empty or blank text is one piece of the end id alone. Each row is packed, also with a null or repeated doc_id. An empty table gives no pieces.
-    The result has the columns of ``packed_documents``, none of the documents' own."""
-    return packed_documents(docs)
+    A null, empty or blank text is one piece of the end id alone. Each row is packed, also with a null or repeated doc_id. An empty table gives no
+    sequences. None of the documents' own columns are passed on."""
+    packed = packing.pack_documents(docs, word_tokenizer())
+    return packed.select("sequence_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.transform("pieces", lambda x: x["doc_id"]).alias("doc_ids"), "ids", "pieces")
 
 
 STAGES = [
