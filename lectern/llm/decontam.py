@@ -49,7 +49,7 @@ def _sized(table: DataFrame, rows: int) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (doc_id, item_id, n_item, n_shared, containment) where a document holds at least that share of an item's distinct shingles.
 
-    Items of fewer than five words have no shingle and match nothing, like null or empty texts on either side. Rows without an id are
+    Items of fewer than five words have no shingle and match nothing here, see ``short_matches``; null or empty texts on either side match nothing. Rows without an id are
     left out, rows of one id are one document or item, repeated rows count once, and other columns are ignored."""
     items = _hashed(benchmark.where("item_id IS NOT NULL"), "item_id").select("key", F.explode_outer("hashes").alias("hash")).where("hash IS NOT NULL").distinct()
     sizes = items.groupBy("key").agg(F.count("*").alias("n_item"), F.sort_array(F.collect_list("hash")).alias("hashes"))
@@ -88,6 +88,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     return exact.join(candidates, ["doc_id", "item_id"], "left_semi").withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item. Rows without an id stay."""
-    return docs.join(sized(contaminated(docs, benchmark).select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+def short_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Pairs (doc_id, item_id, n_words) where a document holds all words of an item of one to four words, next to each other and whole.
+
+    Such items have no shingle. They are compared as they stand, word by word: for each number of words that an item has, all runs of so many words of
+    every document meet the items in a join. Without such items nothing of the documents is read. Nulls, repeats and ids as in ``contaminated``."""
+    words = words_of(F.col("text"))
+    items = benchmark.where("item_id IS NOT NULL").select("item_id", words.alias("words")).where(F.size("words").between(1, SHINGLE_WORDS - 1))
+    items = written(items.select("item_id", F.size("words").alias("n_words"), F.array_join("words", " ").alias("run")).distinct(), "short")
+    sizes = {r["n_words"]: r["n"] for r in items.groupBy("n_words").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return items.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", "n_words").where("false")
+    run = lambda k: lambda i: F.struct(F.lit(k).alias("n_words"), F.array_join(F.slice("words", i, k), " ").alias("run"))
+    runs = [F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), run(k))).otherwise(F.array().cast("array<struct<n_words:int,run:string>>")) for k in sorted(sizes)]
+    worded = docs.where("doc_id IS NOT NULL").select("doc_id", words.alias("words")).select("doc_id", F.array_distinct(F.concat(*runs)).alias("runs"))
+    each = worded.select("doc_id", F.explode_outer("runs").alias("r")).select("doc_id", "r.n_words", "r.run").where("run IS NOT NULL")
+    return each.join(_sized(items, sum(sizes.values())), ["n_words", "run"]).select("doc_id", "item_id", "n_words").distinct()
+
+
+def all_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contaminated``, and ``short_matches`` as a class of their own: whole_item is true for these. They have one piece, which is the whole item."""
+    short = short_matches(docs, benchmark).select("doc_id", "item_id", F.lit(1).cast("long").alias("n_item"), F.lit(1).cast("long").alias("n_shared"), F.lit(1.0).alias("containment"), F.lit(True).alias("whole_item"))
+    return contaminated(docs, benchmark).withColumn("whole_item", F.lit(False)).unionByName(short)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, short_items: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no benchmark item. Rows without an id stay.
+
+    Items of one to four words count only if ``short_items`` is given: so short a run of words stands in many clean documents."""
+    found = contaminated(docs, benchmark).select("doc_id")
+    if short_items:
+        found = found.unionByName(short_matches(docs, benchmark).select("doc_id"))
+    return docs.join(sized(found.distinct()), "doc_id", "left_anti").select(docs.columns)

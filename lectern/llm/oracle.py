@@ -48,9 +48,16 @@ def _leaks() -> str:
         worded = f"SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM {table}"
         return f"SELECT DISTINCT {key}, array_to_string(w[i : i + {n - 1}], ' ') AS gram FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM ({worded}))"
 
+    def worded(table: str, key: str) -> str:
+        return f"SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM {table}"
+
+    runs = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, unnest(list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i : i + {k - 1}], ' ')))) AS run FROM words WHERE len(w) >= {k}" for k in range(1, decontam.SHINGLE_WORDS))
     return f"""WITH d AS ({grams("documents", "doc_id")}), b AS ({grams("benchmark", "item_id")}), n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY 1),
-p AS (SELECT d.doc_id, b.item_id, count(*) AS n_shared FROM d JOIN b ON d.gram = b.gram GROUP BY 1, 2)
-SELECT p.doc_id, p.item_id, n.n_item, p.n_shared, p.n_shared / n.n_item AS containment FROM p JOIN n ON p.item_id = n.item_id WHERE 100 * p.n_shared >= {decontam.PERCENT} * n.n_item"""
+p AS (SELECT d.doc_id, b.item_id, count(*) AS n_shared FROM d JOIN b ON d.gram = b.gram GROUP BY 1, 2),
+short AS (SELECT DISTINCT item_id, len(w) AS k, array_to_string(w, ' ') AS run FROM ({worded("benchmark", "item_id")}) WHERE len(w) BETWEEN 1 AND {decontam.SHINGLE_WORDS - 1}),
+words AS (SELECT * FROM ({worded("documents", "doc_id")}) WHERE EXISTS (SELECT 1 FROM short)), runs AS ({runs})
+SELECT p.doc_id, p.item_id, n.n_item, p.n_shared, p.n_shared / n.n_item AS containment, false AS whole_item FROM p JOIN n ON p.item_id = n.item_id WHERE 100 * p.n_shared >= {decontam.PERCENT} * n.n_item
+UNION ALL SELECT DISTINCT r.doc_id, s.item_id, 1, 1, 1.0::DOUBLE, true FROM runs r JOIN short s ON r.k = s.k AND r.run = s.run"""
 
 
 def _rules() -> str:
