@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from lectern.operators import align, lexicon, lookup, nesting, parallel, search
 from lectern.plans.views import TABLES, Corpus, duck
 from lectern.sources import corpus_document, corpus_json, payloads, snapshots, sqlite
 from lectern.sources.landing import landed, landing_folder
+from lectern.sources.store import asked_chapters
 from lectern.streaming import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,8 +306,10 @@ _REQUESTS = "requests AS (SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'kjv' E
 @query("chapter_requests", f"WITH {_UNION}, {_REQUESTS} SELECT v.version, v.engs, v.chap, v.sec, v.txt FROM all_versions v JOIN requests r ON v.version = r.version AND v.chap = r.chap", *_V3)
 def _(c):
     asked = c.reader_events.where("event = 'view'").select(F.when(F.col("session") % 2 == 0, "kjv").otherwise("rev").alias("version"), F.col("k").alias("chap")).distinct()
-    chapters = c.verses_tagged.select("engs", "chap").distinct()
-    return parallel.chapter_requests(asked.join(chapters, "chap"), _versions(c))
+    names = {"kjv": "verses_tagged", "rev": "verses_b"}
+    verses = reduce(DataFrame.unionAll, [asked_chapters(c.by_chapter(view), asked.where(F.col("version") == version)).withColumn("version", F.lit(version)) for version, view in names.items()])
+    chapters = verses.select("version", "engs", "chap").distinct()
+    return parallel.chapter_requests(asked.join(chapters, ["version", "chap"]), verses)
 
 
 _TAGS = f"""tags AS (SELECT engs, chap, sec, CAST(u.i AS INT) AS pos, u.raw, regexp_extract(u.raw, '([HG])', 1) AS lang, CAST(regexp_extract(u.raw, '([0-9]+)', 1) AS INT) AS num
@@ -627,7 +631,9 @@ def _(c):
 
 @query("stream_chapter_join", "SELECT e.event_id, v.engs, v.chap, v.sec, v.txt FROM reader_events e JOIN verses_plain v ON e.k = v.chap WHERE e.event = 'view'", "reader_events", "verses_plain")
 def _(c):
-    return readers.drained(readers.stream_chapter_join(_stream(c), c.verses_plain))
+    verses, out = c.by_chapter("verses_plain"), landing_folder(c.spark, "stream")
+    readers.run_available(_stream(c), out, landing_folder(c.spark, "stream-state"), each=lambda batch: readers.chapters_of_batch(batch, verses))
+    return c.spark.read.schema("event_id long, engs string, chap int, sec int, txt string, batch long").parquet(out).drop("batch")
 
 
 @query("stream_latest_position", "SELECT session, arg_max(k, (ts, event_id)) AS chap FROM reader_events WHERE event = 'view' GROUP BY 1", "reader_events")

@@ -107,6 +107,11 @@ class Corpus:
         rows = self._refreshed(name, store.verses, lambda: getattr(self, name).withColumn("version", F.lit(name)))
         return rows.where(F.col("version") == name).select("engs", "chap", "sec", "txt")
 
+    def by_chapter(self, name: str) -> DataFrame:
+        """A text view stored by chapter: version, engs, chap, sec, txt, bucket."""
+        rows = lambda: self.stored(name).withColumns({"version": F.lit(name), "bucket": store.chapter_bucket(F.col("chap"))})
+        return self._refreshed(name, store.by_chapter, rows, "-by-chapter")
+
     def pair_index(self, name: str) -> DataFrame:
         """The index of character pairs of a text view, stored in the same way."""
         return self._refreshed(name, store.pair_index, lambda: search.postings(self.stored(name)), "-pairs")

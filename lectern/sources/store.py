@@ -16,7 +16,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,5 +123,35 @@ def lexicon(spark: SparkSession, path: str) -> StoredTable:
     return StoredTable(spark, path, schemas.LEXICON, ("dic_type",), ("num", "sn"))
 
 
+#: Folders of chapters by their number.
+CHAPTER_BUCKETS = 64
+#: Up to so many chapters are named in the filter of a scan, which then passes over parts of files too.
+NAMED_CHAPTERS = 1000
+
+
+def chapter_bucket(chap: Column) -> Column:
+    return F.pmod(chap, F.lit(CHAPTER_BUCKETS)).cast("int")
+
+
+def by_chapter(spark: SparkSession, path: str) -> StoredTable:
+    """Verses (version, engs, chap, sec, txt) of all books in folders by version and a bucket of the chapter's number."""
+    schema = T.StructType([*schemas.VERSES.fields, T.StructField("bucket", T.IntegerType())])
+    return StoredTable(spark, path, schema, ("version", "bucket"), ("chap", "engs", "sec"))
+
+
+def asked_chapters(stored: DataFrame, asked: DataFrame, *keys: str) -> DataFrame:
+    """The rows of a table by chapter that a join of it with ``asked`` (chap, and other ``keys``) can need, without the rest of its folders.
+
+    The chapters' buckets, ``CHAPTER_BUCKETS`` at most, and up to ``NAMED_CHAPTERS`` chapters are looked up first and named in the scan. Rows without a chapter meet nothing."""
+    numbers = asked.where("chap IS NOT NULL").select("chap").distinct()
+    buckets = [r["b"] for r in numbers.select(chapter_bucket(F.col("chap")).alias("b")).distinct().collect()]
+    some = [r["chap"] for r in numbers.limit(NAMED_CHAPTERS + 1).collect()]
+    rows = stored.where(F.col("bucket").isin(buckets))
+    rows = rows.where(F.col("chap").isin(some)) if len(some) <= NAMED_CHAPTERS else rows
+    for key in keys:  # as versions, of which there are few
+        rows = rows.where(F.col(key).isin([r[key] for r in asked.select(key).distinct().collect()]))
+    return rows
+
+
 def pair_index(spark: SparkSession, path: str) -> StoredTable:
     return StoredTable(spark, path, POSTINGS, ("bucket",), ("pair", "engs", "chap"))

@@ -6,7 +6,7 @@ Event times are timestamps (not TIMESTAMP_NTZ, which a watermark rejects).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.schemas import READER_EVENTS
 from lectern.sources.landing import landing_folder
+from lectern.sources.store import asked_chapters
 
 #: The name of the event with which a replay ends.
 _END = "end"
@@ -33,15 +34,17 @@ def drained(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_available(stream: DataFrame, out: str, state: str, mode: str = "append") -> list[dict[str, Any]]:
+def run_available(stream: DataFrame, out: str, state: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> list[dict[str, Any]]:
     """Runs a stream over the files that are there and not done yet, going on from the state of the run before, and returns the progress of its batches.
 
-    In update mode a batch writes the rows that it has changed, to a folder of its own, so that a batch that is run again replaces what it wrote."""
+    In update mode a batch writes the rows that it has changed, to a folder of its own, so that a batch that is run again replaces what it wrote; so it
+    does with ``each``, which makes the rows that are written of a batch's rows."""
     writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).outputMode(mode)
-    if mode == "append":
+    if mode == "append" and not each:
         query = writer.format("parquet").start(out)
     else:
-        query = writer.foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")).start()
+        made = each or (lambda batch: batch)
+        query = writer.foreachBatch(lambda batch, batch_id: made(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")).start()
     query.awaitTermination()
     return [p if isinstance(p, dict) else p.jsonValue() if hasattr(p, "jsonValue") else dict(p) for p in query.recentProgress]
 
@@ -91,6 +94,12 @@ def stream_chapter_join(events: DataFrame, v: DataFrame) -> DataFrame:
     return events.where("event = 'view'").join(v, F.col("k") == F.col("chap")).select("event_id", "engs", "chap", "sec", "txt")
 
 
+def chapters_of_batch(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """``stream_chapter_join`` of one batch of a stream with verses stored by chapter: only the folders of the chapters that the batch asks for are read."""
+    views = batch.where("event = 'view'")
+    return stream_chapter_join(views, asked_chapters(stored, views.select(F.col("k").alias("chap"))))
+
+
 def latest_position(events: DataFrame) -> DataFrame:
     """The last chapter of each session of a table, with the event that led to it. ``session_positions`` is the same on a stream."""
     views = events.where("event = 'view'")

@@ -100,3 +100,28 @@ def test_unrouted_and_definitions(spark):
     assert {r["event_id"] for r in readers.stream_unrouted(df, subscribers).collect()} == {3, 4}
     x = spark.createDataFrame([(1, "00007", 7, "o", "f", "t"), (0, "00007", 7, "g", "f", "t")], "dic_type int, sn string, num int, orig string, orig_alt string, txt string")
     assert [tuple(r) for r in readers.stream_click_definition(df, x).collect()] == [(3, 7, "00007", "o")]
+
+
+def test_a_batch_reads_the_chapters_it_asks_for(spark, tmp_path):
+    from lectern.sources import store
+
+    rows = [("v", b, c, s, f"{b} {c} {s}", c % store.CHAPTER_BUCKETS) for b in ("Gen", "Exo") for c in range(200) for s in (1, 2)]
+    table = store.by_chapter(spark, str(tmp_path / "t"))
+    table.refresh(lambda: spark.createDataFrame(rows, "version string, engs string, chap int, sec int, txt string, bucket int"), "one")
+    df, verses = events(spark, [*ROWS, (6, 9, 3, "view", None), (7, 9, 3, "view", 999)]), table.read()
+    want = readers.stream_chapter_join(df, verses)
+    got = readers.chapters_of_batch(df, verses)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 12
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = store.asked_chapters(verses, spark.createDataFrame([(3,), (67,), (None,)], "chap int"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and "In(chap" in plan
+    assert store.asked_chapters(verses, spark.createDataFrame([(3,)], "chap int")).select("chap", "bucket").distinct().collect() == [(3, 3)]
+    many = spark.createDataFrame([(c,) for c in range(2000)], "chap int")
+    assert store.asked_chapters(verses, many).count() == 800
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df.repartitionByRange(3, "event_id").write.parquet(source)
+    readers.run_available(readers.event_stream(spark, source), out, str(tmp_path / "state"), each=lambda batch: readers.chapters_of_batch(batch, verses))
+    assert sorted(map(tuple, spark.read.parquet(out).drop("batch").collect())) == sorted(map(tuple, want.collect()))
