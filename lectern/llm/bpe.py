@@ -13,6 +13,7 @@ the size of the vocabulary.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,9 @@ SLICE_WORDS = 1 << 16
 #: Rows of a batch that are filled or encoded at a time.
 SLICE_ROWS = 500
 #: Ids of rare words are sent to all executors up to so many texts and bytes; beyond that texts and ids are shuffled to each other.
-FILL_TEXTS, FILL_BYTES = 300_000, 48 << 20
+FILL_TEXTS, FILL_BYTES = 20_000, 4 << 20
+#: Words are counted in slices of about so many bytes before the counts are summed.
+COUNT_BYTES = 2 << 20
 
 #: White space as the tokenizer counts it (fixed values).
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -122,9 +125,26 @@ def _kind(tokenizer) -> str:
     return "<u2" if tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each slice of texts, and how often they stand there."""
+    for batch in batches:
+        for _, data, offsets in textkit.slices(batch, "joined", COUNT_BYTES):
+            starts, ends, _ = _words_of(data, offsets, np.zeros(len(offsets) - 1, bool))
+            if not len(starts):
+                continue
+            a, b = word_hashes(data, starts, ends)
+            _, first, inverse, n = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
+            odd = np.flatnonzero(b != b[first][inverse])  # other words of the same first hash
+            np.subtract.at(n, inverse[odd], 1)
+            at, n = np.r_[first, odd], np.r_[n, np.ones(len(odd), np.int64)]
+            lengths = (ends - starts)[at]
+            words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.r_[0, np.cumsum(lengths)]), pa.py_buffer(_gathered(data, starts[at], lengths).tobytes()))
+            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(n)], ["word", "n"])
+
+
 def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """Texts (words) to their distinct words, the number of occurrences, the ids as bytes, and hashes: word, n, ids, hash_a, hash_b."""
-    counts = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """Texts (joined) to their distinct words, the number of occurrences, the ids as bytes, and hashes: word, n, ids, hash_a, hash_b."""
+    counts = texts.mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return written(counts.mapInArrow(_encoded_words(path), "word string, n long, ids binary, hash_a long, hash_b long"), "words")
 
 
@@ -177,6 +197,19 @@ def _flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return column.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _small(data: bytes) -> bytes:
+    """Compressed, with the length in front."""
+    return struct.pack("<I", len(data)) + (_ZSTD.compress(data, asbytes=True) if data else b"")
+
+
+def _whole(small: bytes) -> bytes:
+    size = struct.unpack_from("<I", small)[0]
+    return _ZSTD.decompress(small[4:], size, asbytes=True) if size else b""
+
+
 def _row_slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     first = 0
     while first < len(offsets) - 1:
@@ -238,9 +271,10 @@ def _partial(lookup, path: str):
                 gaps = np.flatnonzero(~known)
                 per_row = np.searchsorted(gaps, here)
                 places = ends[gaps] - np.repeat(tokens[:-1], np.diff(per_row))
-                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(odd), [None, pa.py_buffer(tokens * size), pa.py_buffer(ids.tobytes())])
+                ids, at = ids.tobytes(), (tokens * size).tolist()
+                binary = pa.array([_small(ids[a:b]) for a, b in zip(at, at[1:])], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), pa.array(places, pa.int32()))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key_a"), rows.column("key_b"), binary.cast(pa.binary()), lists], ["doc_id", "key_a", "key_b", "ids", "gaps"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key_a"), rows.column("key_b"), binary, lists], ["doc_id", "key_a", "key_b", "ids", "gaps"])
 
     return run
 
@@ -256,7 +290,7 @@ def _filled(kind: str):
                 fills = batch.column("fills")
                 gaps, at = _flat(batch.column("gaps"))
                 gaps, out = gaps.to_numpy() * size, []
-                for row, ids in enumerate(batch.column("ids").to_pylist()):
+                for row, ids in enumerate(map(_whole, batch.column("ids").to_pylist())):
                     if at[row] < at[row + 1]:
                         parts, last = [], 0
                         for gap, fill in zip(gaps[at[row] : at[row + 1]].tolist(), fills[row].as_py(), strict=True):
@@ -290,8 +324,8 @@ def _in_parts(docs: DataFrame, path: str, table_words: int, table_bytes: int, fi
     text = F.coalesce("text", F.lit(""))
     odd = is_odd(text)
     split = docs.select("doc_id", text.alias("text"), odd.alias("odd"))
-    in_order = split_words(F.col("text"), added)
-    table = word_table(split.where("NOT odd").select(in_order.alias("words")), path)
+    in_order = F.array_join(split_words(F.col("text"), added), _BETWEEN)
+    table = word_table(split.where("NOT odd").select(in_order.alias("joined")), path)
     levels = table.groupBy(_level(F.col("n")).alias("level")).agg(F.count("*").alias("words"), F.sum(F.octet_length("ids") + 16).alias("bytes")).collect()
     least, words, size = None, 0, 0
     for row in sorted(levels, key=lambda r: -r["level"]):
@@ -302,7 +336,7 @@ def _in_parts(docs: DataFrame, path: str, table_words: int, table_bytes: int, fi
     frequent = F.lit(False) if least is None else _level(F.col("n")) >= least
     lookup = spark.sparkContext.broadcast(Lookup(table.where(frequent).select("hash_a", "hash_b", "ids").toArrow(), kind))
     # a text is known by two hashes; only texts with rare words, which have few copies, are joined by them
-    joined = F.when(F.col("odd"), F.col("text")).otherwise(F.array_join(in_order, _BETWEEN)).alias("joined")
+    joined = F.when(F.col("odd"), F.col("text")).otherwise(in_order).alias("joined")
     keyed = split.select("doc_id", "odd", joined, F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b"))
     partial = keyed.mapInArrow(_partial(lookup, path), f"doc_id {doc_type}, key_a long, key_b long, ids binary, gaps array<int>")
     if len(levels) and least != min(r["level"] for r in levels):
