@@ -132,27 +132,27 @@ class Model:
         return model
 
     def predict(self, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text of a batch."""
-        emits, pers, weights = [], [], []
-        for _, data, offsets in textkit.slices(batch, "text"):
-            words = Words(data, offsets)
-            emits.append(words.scores(self.tables))
-            pers.append(words.per)
-            weights.append(words.ends - words.starts)
-        if not emits:
-            return [], np.zeros(0)
-        per, weight = np.concatenate(pers), np.concatenate(weights)
+        """Language and score of each text of a batch, a slice of texts at a time, which bounds the numbers held for words times languages."""
+        langs, scores = [], [np.zeros(0)]
+        for rows, data, offsets in textkit.slices(batch, "text"):
+            found, score = self._predict(rows.column("text"), data, offsets)
+            langs += found
+            scores.append(score)
+        return langs, np.concatenate(scores)
+
+    def _predict(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+        words = Words(data, offsets)
+        per, weight = words.per, words.ends - words.starts
         n = len(self.langs)
         share = np.zeros((len(per), max(n, 1)))
         if n:
-            node = marginals(np.concatenate(emits), Lattice(per), self.trans.astype(np.float32), self.start.astype(np.float32))
+            node = marginals(words.scores(self.tables), Lattice(per), self.trans.astype(np.float32), self.start.astype(np.float32))
             owner = np.repeat(np.arange(len(per)), per)
             for k in range(n):
                 share[:, k] = np.bincount(owner, node[:, k] * weight, len(per))
             share /= np.maximum(np.bincount(owner, weight, len(per)), 1)[:, None]
         best = share.argmax(1)
         score = np.clip(share[np.arange(len(per)), best], 0, 1)
-        texts = batch.column("text")
         lettered = [p > 0 and n > 0 and has_letter(texts[i].as_py()) for i, p in enumerate(per.tolist())]
         return [self.langs[b] if ok else NONE for b, ok in zip(best.tolist(), lettered)], np.where(lettered, score, 0.0)
 

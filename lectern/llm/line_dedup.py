@@ -119,8 +119,8 @@ def _later_runs(docs: DataFrame, min_words: int) -> DataFrame:
     prints = written(keyed.mapInArrow(_prints(min_words), _PRINTS), "prints")
     shared = prints.groupBy("print").agg(F.count_if("leads").alias("n")).where("n > 1").select("print")
     around = written(prints.join(sized(shared), "print").drop("print", "leads"), "around")
-    first = around.groupBy("run_a", "run_b").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = around.join(sized(first), ["run_a", "run_b"]).where("struct(doc_id, start) > first")
+    first = around.groupBy("run_a", "run_b").agg(F.min(F.struct("doc_id", "text_key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = around.join(sized(first), ["run_a", "run_b"]).where("struct(doc_id, text_key, start) > first")
     return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "size")).alias("drops"))
 
 
@@ -129,7 +129,7 @@ def edited_documents(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple[
 
     Lines end at \\n and are compared by two 64-bit hashes of their bytes; lines without a word are not compared and stay. A null text stays null with no
     lines, an empty one has one line. Texts of fewer than ``min_words`` words and rows without doc_id are returned as they are. Rows of one doc_id and
-    one text are one document. Columns named as the counts are replaced; all others are passed on."""
+    one text are one document; of rows of one doc_id with different texts that share a run, the one whose text has the smaller hash keeps it. Columns named as the counts are replaced; all others are passed on."""
     docs = docs.drop(*counts)
     drops = _later_runs(docs, min_words).select(F.col("doc_id").alias("_drops_doc"), F.col("text_key").alias("_drops_key"), F.col("drops").alias(_DROPS))
     joined = docs.join(drops, (F.col("doc_id") == F.col("_drops_doc")) & (F.xxhash64("text") == F.col("_drops_key")), "left").drop("_drops_doc", "_drops_key")
