@@ -61,7 +61,6 @@ UNION ALL SELECT DISTINCT r.doc_id, s.item_id, 1, 1, 1.0::DOUBLE, true FROM runs
 
 
 def _rules() -> str:
-    listed = ", ".join(f"('{lang}', '{w}')" for lang, words in rules.COMMON.items() for w in words)
     left, steps, classes = "t", [], []
     for name, pattern in rules.CLASSES.items():
         steps.append(f"regexp_replace({left}, '{pattern}', '', 'g') AS less_{name}")
@@ -74,18 +73,20 @@ def _rules() -> str:
 chars AS (SELECT rid, lang, t, {", ".join(steps)} FROM docs),
 long AS ({long}),
 sizes AS (SELECT rid, sum(n) AS chars FROM long GROUP BY 1),
-listed AS (SELECT * FROM (VALUES {listed}) x(lang, word)),
-char_ref AS (SELECT lang, class, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM long WHERE lang IN (SELECT lang FROM listed) GROUP BY 1, 2),
+char_ref AS (SELECT lang, class, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM long WHERE lang IS NOT NULL GROUP BY 1, 2),
 words AS (SELECT rid, lang, unnest(w) AS word FROM docs),
-found AS (SELECT rid, lang, word, count(*) AS n FROM words WHERE word IN (SELECT word FROM listed) GROUP BY 1, 2, 3),
+listed AS (SELECT lang, word, count(*) AS n FROM words WHERE lang IS NOT NULL AND regexp_matches(word, '{rules.LETTERS}') GROUP BY 1, 2
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) <= {rules.N_COMMON}),
+found AS (SELECT rid, word, count(*) AS n FROM words WHERE word IN (SELECT word FROM listed) GROUP BY 1, 2),
 totals AS (SELECT lang, sum(len(w)) AS n FROM docs GROUP BY 1),
-word_ref AS (SELECT f.lang, f.word, sum(f.n) / any_value(t.n) AS q FROM found f JOIN listed l ON f.lang = l.lang AND f.word = l.word JOIN totals t ON f.lang = t.lang GROUP BY 1, 2),
+word_ref AS (SELECT l.lang, l.word, l.n / sum(l.n) OVER (PARTITION BY l.lang) AS q, sum(l.n) OVER (PARTITION BY l.lang) / t.n AS cover FROM listed l JOIN totals t ON l.lang = t.lang),
 langs AS (SELECT DISTINCT lang FROM char_ref),
 char_d AS (SELECT rid, min(d) AS d FROM (SELECT l.rid, r.lang, sqrt(greatest(sum({term}) / 2, 0)) AS d
     FROM (SELECT l.rid, l.class, CASE WHEN s.chars > 0 THEN l.n / s.chars ELSE 0 END AS p FROM long l JOIN sizes s ON l.rid = s.rid) l JOIN char_ref r ON l.class = r.class GROUP BY 1, 2) GROUP BY 1),
-bins AS (SELECT d.rid, r.lang, r.q, coalesce(f.n, 0) / len(d.w) AS p FROM docs d, word_ref r LEFT JOIN found f ON f.rid = d.rid AND f.word = r.word WHERE len(d.w) > 0),
-word_d AS (SELECT rid, min(d) AS d FROM (SELECT rid, lang, sqrt(greatest(sum({term}) / 2, 0)) AS d FROM (SELECT rid, lang, p, q FROM bins
-    UNION ALL SELECT rid, lang, greatest(1 - sum(p), 0), greatest(1 - sum(q), 0) FROM bins GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1),
+bins AS (SELECT d.rid, len(d.w) AS n_words, r.lang, r.q, r.cover, coalesce(f.n, 0) AS n FROM docs d, word_ref r LEFT JOIN found f ON f.rid = d.rid AND f.word = r.word WHERE len(d.w) > 0),
+shares AS (SELECT *, sum(n) OVER (PARTITION BY rid, lang) AS every FROM bins),
+word_d AS (SELECT rid, min(d) AS d FROM (SELECT rid, lang, CASE WHEN any_value(every) >= {rules.MIN_COVER}::DOUBLE * any_value(cover) * any_value(n_words) THEN sqrt(greatest(sum({term}) / 2, 0)) ELSE 1 END AS d
+    FROM (SELECT *, CASE WHEN every > 0 THEN n / every ELSE 0 END AS p FROM shares) GROUP BY 1, 2) GROUP BY 1),
 grams AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
 twice AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
 covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(3) r(k) GROUP BY 1),

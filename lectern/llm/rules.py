@@ -2,17 +2,21 @@
 
 Counts of character classes and of common words of each document are compared
 with those of each language by the Jensen-Shannon distance (base 2, so from 0 to
-1). A language's reference is what all documents marked with it add up to. A
-document is kept if it is near to one language in both respects. Short texts
+1). A language's reference is what all documents marked with it add up to; its
+common words are the most frequent ones of these documents, for every language that
+occurs. The common words of a document are compared among themselves, so the distance
+does not hang on their share of the text; that they are there at all is a rule of its own,
+relative to the language's share. A
+document is kept if it is near to a language in both respects. Short texts
 scatter widely, so a distance counts from a least length on only.
 
-All counts are taken inside the row, without a shuffle; only the references, a
+Words are counted by language with partial sums; the counts of a document are taken inside the row. Only the references, a
 few numbers per language, reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.tables import written
@@ -23,18 +27,15 @@ SYMBOLS = "[^#*$%&|<>]+"
 #: Character classes in the order in which they are taken out of the text (fixed patterns).
 CLASSES = {"lower": "[a-z]+", "space": SPACE, "upper": "[A-Z]+", "wide": "[^\\x00-\\x7F]+", "symbol": "[#*$%&|<>]+", "digit": "[0-9]+"}
 REST = "other"
-#: Frequent words by language, as the rules look for them (fixed values).
-COMMON = {
-    "en": "the of and to in is that it for was with as on be by at are this from or an have not but".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se avec il".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden".split(),
-    "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus".split(),
-}
+#: Common words are the most frequent tokens of a language that are letters only; so many of each.
+LETTERS, N_COMMON = "^\\p{L}+$", 24
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A document is kept up to these distances, counted from these lengths on.
 MAX_CHAR_DISTANCE, MIN_CHARS = 0.3, 200
-MAX_WORD_DISTANCE, MIN_COUNTED_WORDS = 0.31, 100
+MAX_WORD_DISTANCE, MIN_COUNTED_WORDS = 0.7, 100
+#: Common words must make up this part, at least, of the share that they have in the language.
+MIN_COVER = 0.25
 
 
 def _words(text: Column) -> Column:
@@ -60,14 +61,24 @@ def _covered(places: Column) -> Column:
     return F.when(F.size(places) > 0, F.aggregate(steps, F.lit(0), lambda s, x: s + x)).otherwise(F.lit(0))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
+def common_words(docs: DataFrame) -> dict[str, dict[str, int]]:
+    """Per language that occurs, its ``N_COMMON`` most frequent words of letters with their counts; ties go to the smaller word."""
+    words = docs.where("lang IS NOT NULL").select("lang", F.explode_outer(_words(F.coalesce("text", F.lit("")))).alias("w")).where(F.col("w").rlike(LETTERS))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "w")  # with its limit, each partition sends on N_COMMON rows of a language only
+    ranked = words.groupBy("lang", "w").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= N_COMMON)
+    out: dict[str, dict[str, int]] = {}
+    for row in ranked.collect():
+        out.setdefault(row["lang"], {})[row["w"]] = row["n"]
+    return out
+
+
+def base_counts(docs: DataFrame, listed: list[str]) -> DataFrame:
     """doc_id, lang, the counts of the base rules, and per document the histograms ``chars`` (struct) and ``common`` (words with counts)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", "lang", text.alias("text"), _words(text).alias("words"))
     window = lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("g"), i.alias("i"))
     three = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), window)).otherwise(F.array().cast("array<struct<g:bigint,i:int>>"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
-    listed = sorted({w for words in COMMON.values() for w in words})
     rows = rows.select(
         "doc_id",
         "lang",
@@ -123,36 +134,34 @@ def _distance(parts: list[tuple[Column, float]]) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def _word_distance(reference: dict[str, float], n_words: Column) -> Column:
-    """Distance of the ``common`` histogram to a reference, the words not listed taken as one bin.
+def _word_distance(reference: dict[str, float], cover: float, n_words: Column) -> Column:
+    """Distance of the ``common`` histogram to a reference, both among its words; 1 where these words are too few of the text.
 
     Only the words that occur are looked at: each other one adds half its share."""
     if not reference:
         return F.lit(1.0)
     shares = F.create_map(*[F.lit(x) for pair in sorted(reference.items()) for x in pair])
+    known = F.filter("common", lambda x: F.map_contains_key(shares, x["w"]))
+    every = F.aggregate(known, F.lit(0).cast("long"), lambda a, x: a + x["n"])
 
-    def add(s: Column, x: Column) -> Column:
-        q, p = shares[x["w"]], x["n"] / n_words
+    def add(d: Column, x: Column) -> Column:
+        q, p = shares[x["w"]], x["n"] / every
         half = (p + q) / 2
-        gain = (p * F.log2(p / half) + q * F.log2(q / half) - q) / 2
-        return F.when(q.isNotNull(), F.struct((s["d"] + gain).alias("d"), (s["p"] + p).alias("p"))).otherwise(s)
+        return d + (p * F.log2(p / half) + q * F.log2(q / half) - q) / 2
 
-    total = sum(reference.values())
-    found = F.aggregate("common", F.struct(F.lit(total / 2).alias("d"), F.lit(0.0).alias("p")), add)
-    rest = _term(F.greatest(1 - found["p"], F.lit(0.0)), max(1 - total, 0.0))
-    return F.sqrt(F.greatest(found["d"] + rest, F.lit(0.0)))
+    divergence = F.aggregate(known, F.lit(sum(reference.values()) / 2), add)
+    return F.when(every >= MIN_COVER * cover * n_words, F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(F.lit(1.0))
 
 
-def references(counts: DataFrame) -> dict[str, tuple[dict[str, float], dict[str, float]]]:
-    """Per language of COMMON that some document is marked with: shares of character classes and of its common words."""
+def references(counts: DataFrame, common: dict[str, dict[str, int]]) -> dict[str, tuple[dict[str, float], dict[str, float], float]]:
+    """Per language that some document is marked with: shares of character classes, shares of its common words among them, and their share of all words."""
     names = [*CLASSES, REST]
-    some = counts.where(F.col("lang").isin(list(COMMON)))
-    chars = some.groupBy("lang").agg(*[F.sum(f"chars.{c}").alias(c) for c in names], F.sum("n_words").alias("n_words")).collect()
-    words = some.select("lang", F.explode("common").alias("c")).groupBy("lang", "c.w").agg(F.sum("c.n").alias("n")).collect()
+    chars = counts.where("lang IS NOT NULL").groupBy("lang").agg(*[F.sum(f"chars.{c}").alias(c) for c in names], F.sum("n_words").alias("n_words")).collect()
     out = {}
     for row in chars:
-        every, n = sum(row[c] for c in names) or 1, row["n_words"] or 1
-        out[row["lang"]] = ({c: row[c] / every for c in names}, {r["w"]: r["n"] / n for r in words if r["lang"] == row["lang"] and r["w"] in COMMON[r["lang"]]})
+        every, words = sum(row[c] for c in names) or 1, common.get(row["lang"], {})
+        listed = sum(words.values())
+        out[row["lang"]] = ({c: row[c] / every for c in names}, {w: n / listed for w, n in words.items()}, listed / (row["n_words"] or 1))
     return out
 
 
@@ -160,17 +169,19 @@ def judge(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text, lang) to doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance.
 
     A null text has no words. A document without words has distance 0 to anything, but fails by length. Without any document marked with a
-    known language only the base rules decide. lang is used for the references alone. Each row is a document of its own, also with a null or
+    language only the base rules decide; every language that a document is marked with has a reference. lang is used for the references alone. Each row is a document of its own, also with a null or
     repeated doc_id; other columns are ignored."""
-    counts = written(base_counts(docs.select(F.col("doc_id").cast("long"), "text", "lang")), "rules")
-    found = references(counts)
+    docs = docs.select(F.col("doc_id").cast("long"), "text", "lang")
+    common = common_words(docs)
+    counts = written(base_counts(docs, sorted({w for words in common.values() for w in words})), "rules")
+    found = references(counts, common)
     chars = sum((F.col(f"chars.{c}") for c in [*CLASSES, REST]), F.lit(0))
     n_words = F.col("n_words")
     share = lambda n, of: F.when(of > 0, n / of).otherwise(F.lit(0.0))
     char_far, word_far = [], []
-    for char_ref, word_ref in (found[x] for x in sorted(found)):
+    for char_ref, word_ref, cover in (found[x] for x in sorted(found)):
         char_far.append(_distance([(share(F.col(f"chars.{c}"), chars), q) for c, q in char_ref.items()]))
-        word_far.append(_word_distance(word_ref, n_words))
+        word_far.append(_word_distance(word_ref, cover, n_words))
     nearest = lambda x: F.least(*x, F.lit(1.0)) if x else F.lit(0.0)
     rows = counts.select(
         "doc_id",
