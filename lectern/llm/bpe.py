@@ -25,7 +25,7 @@ from lectern.llm import textkit
 from lectern.llm.tables import written
 
 #: Bounds of the table of frequent words that all executors hold.
-TABLE_WORDS, TABLE_BYTES = 1_000_000, 32 << 20
+TABLE_WORDS, TABLE_BYTES = 1_500_000, 48 << 20
 #: Ids are put together for about so many words, and pieces for so many ids, at a time.
 SLICE_WORDS = 1 << 16
 #: Rows of a batch that are filled or encoded at a time.
@@ -69,7 +69,8 @@ _BETWEEN = "\x00"
 
 def is_odd(text: Column) -> Column:
     """Whether a text has characters that this JVM's Unicode tables do not know, which the tokenizer's may, or the one that stands between words."""
-    return text.rlike(r"[\p{Cn}\x00]")
+    # all of Latin below U+0300 is known
+    return F.when(text.rlike(r"[\x00\x{300}-\x{10FFFF}]"), text.rlike(r"[\p{Cn}\x00]")).otherwise(F.lit(False))
 
 
 def split_words(text: Column, added: list[str]) -> Column:
@@ -133,9 +134,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(starts):
                 continue
             a, b = word_hashes(data, starts, ends)
-            _, first, inverse, n = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
-            odd = np.flatnonzero(b != b[first][inverse])  # other words of the same first hash
-            np.subtract.at(n, inverse[odd], 1)
+            code = pa.array(a).dictionary_encode().indices.to_numpy()
+            n = np.bincount(code)
+            first = np.empty(len(n), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            odd = np.flatnonzero(b != b[first][code])  # other words of the same first hash
+            np.subtract.at(n, code[odd], 1)
             at, n = np.r_[first, odd], np.r_[n, np.ones(len(odd), np.int64)]
             lengths = (ends - starts)[at]
             words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.r_[0, np.cumsum(lengths)]), pa.py_buffer(_gathered(data, starts[at], lengths).tobytes()))
@@ -223,11 +227,15 @@ def _words_of(data: np.ndarray, offsets: np.ndarray, odd: np.ndarray) -> tuple[n
     cut = data == 0
     for row in np.flatnonzero(odd):
         cut[offsets[row] : offsets[row + 1]] = False
-    between = np.flatnonzero(cut)
     some = np.flatnonzero(np.diff(offsets) > 0)
-    starts = np.sort(np.concatenate([offsets[some], between + 1]))
-    ends = np.sort(np.concatenate([between, offsets[some + 1]]))
-    return starts, ends, np.searchsorted(starts, offsets)
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1:] = cut
+    begins[offsets[some]] = True
+    stops = np.zeros(len(data) + 1, bool)
+    stops[:-1] = cut
+    stops[offsets[some + 1]] = True
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(stops), np.searchsorted(starts, offsets)
 
 
 def _rare(lookup):
