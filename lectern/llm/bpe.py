@@ -25,7 +25,7 @@ from lectern.llm import textkit
 from lectern.llm.tables import written
 
 #: Bounds of the table of frequent words that all executors hold.
-TABLE_WORDS, TABLE_BYTES = 1_500_000, 48 << 20
+TABLE_WORDS, TABLE_BYTES = 1_000_000, 32 << 20
 #: Ids are put together for about so many words, and pieces for so many ids, at a time.
 SLICE_WORDS = 1 << 16
 #: Rows of a batch that are filled or encoded at a time.
@@ -113,10 +113,8 @@ def _encoded_words(path: str):
             for first in range(0, batch.num_rows, SLICE_ROWS):
                 rows = batch.slice(first, SLICE_ROWS)
                 column = rows.column("word")
-                data, offsets = textkit.raw(textkit.texts_of(column))
-                hashes = [pa.array(h.view(np.int64)) for h in word_hashes(data, offsets[:-1], offsets[1:])]
                 ids = pa.array([ids_of(w) for w in column.to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([column, rows.column("n"), ids, *hashes], ["word", "n", "ids", "hash_a", "hash_b"])
+                yield pa.RecordBatch.from_arrays([column, rows.column("n"), ids], ["word", "n", "ids"])
 
     return run
 
@@ -147,9 +145,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """Texts (joined) to their distinct words, the number of occurrences, the ids as bytes, and hashes: word, n, ids, hash_a, hash_b."""
+    """Texts (joined) to their distinct words, the number of occurrences, and the ids as bytes: word, n, ids."""
     counts = texts.mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return written(counts.mapInArrow(_encoded_words(path), "word string, n long, ids binary, hash_a long, hash_b long"), "words")
+    return written(counts.mapInArrow(_encoded_words(path), "word string, n long, ids binary"), "words")
 
 
 def _level(n: Column) -> Column:
@@ -161,7 +159,11 @@ class Lookup:
     """The frequent words by their hashes, and where their ids lie in one array."""
 
     def __init__(self, table: pa.Table, kind: str):
-        keys, more = (table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("hash_a", "hash_b"))
+        hashes = [(np.zeros(0, np.uint64),) * 2]
+        for words in table.column("word").chunks:
+            data, offsets = textkit.raw(textkit.texts_of(words))
+            hashes.append(word_hashes(data, offsets[:-1], offsets[1:]))
+        keys, more = (np.concatenate(x) for x in zip(*hashes))
         order = np.argsort(keys)
         ids = table.column("ids").to_pylist()
         ids = [ids[k] for k in order.tolist()]
@@ -201,7 +203,7 @@ def _flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return column.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
 
 
-_ZSTD = pa.Codec("zstd", compression_level=1)
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def _small(data: bytes) -> bytes:
@@ -334,7 +336,7 @@ def _in_parts(docs: DataFrame, path: str, table_words: int, table_bytes: int, fi
     split = docs.select("doc_id", text.alias("text"), odd.alias("odd"))
     in_order = F.array_join(split_words(F.col("text"), added), _BETWEEN)
     table = word_table(split.where("NOT odd").select(in_order.alias("joined")), path)
-    levels = table.groupBy(_level(F.col("n")).alias("level")).agg(F.count("*").alias("words"), F.sum(F.octet_length("ids") + 16).alias("bytes")).collect()
+    levels = table.groupBy(_level(F.col("n")).alias("level")).agg(F.count("*").alias("words"), F.sum(F.octet_length("word") + F.octet_length("ids") + 16).alias("bytes")).collect()
     least, words, size = None, 0, 0
     for row in sorted(levels, key=lambda r: -r["level"]):
         words, size = words + row["words"], size + row["bytes"]
@@ -342,7 +344,7 @@ def _in_parts(docs: DataFrame, path: str, table_words: int, table_bytes: int, fi
             break
         least = row["level"]
     frequent = F.lit(False) if least is None else _level(F.col("n")) >= least
-    lookup = spark.sparkContext.broadcast(Lookup(table.where(frequent).select("hash_a", "hash_b", "ids").toArrow(), kind))
+    lookup = spark.sparkContext.broadcast(Lookup(table.where(frequent).select("word", "ids").toArrow(), kind))
     # a text is known by two hashes; only texts with rare words, which have few copies, are joined by them
     joined = F.when(F.col("odd"), F.col("text")).otherwise(in_order).alias("joined")
     keyed = split.select("doc_id", "odd", joined, F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b"))
